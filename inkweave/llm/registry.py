@@ -1,11 +1,15 @@
 """The queries of this subpackage and their SQL."""
 
 from .mixing import OP5_SQL, op5_mixing
+from .packing import op9_packing
+from .tokenbin import op6_token_binary
 from .urls import OP7_SQL, op7_url_filter
 
 QUERIES = {
     "op5_mixing": op5_mixing,
+    "op6_token_binary": op6_token_binary,
     "op7_url_filter": op7_url_filter,
+    "op9_packing": op9_packing,
 }
 
 #: The others have no SQL form; tests/llm holds them against brute force.
