@@ -59,15 +59,17 @@ def compress(seq, base: int, rounds: int = ROUNDS, pairs: int = PAIRS, least: in
         new = np.stack([keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
         number = base + len(rules) + np.arange(len(keys), dtype=np.uint32)
         rules = np.concatenate([rules, new])
-        heads = np.zeros(base + len(rules), dtype=bool)
-        tails = heads.copy()
-        heads[new[:, 0]], tails[new[:, 1]] = True, True
-        maybe = np.flatnonzero(heads[seq[:-1]] & tails[seq[1:]])
-        order = np.argsort(keys)
-        held = (seq[maybe].astype(np.uint64) << np.uint64(32)) | seq[maybe + 1]
-        place = np.minimum(np.searchsorted(keys[order], held), len(keys) - 1)
-        right = keys[order][place] == held
-        at, put = maybe[right], number[order][place[right]]
+        first, head = np.unique(new[:, 0], return_inverse=True)
+        second, tail = np.unique(new[:, 1], return_inverse=True)
+        heads, tails = np.full(base + len(rules), -1, dtype=np.int32), np.zeros(base + len(rules), dtype=np.int32)
+        heads[first], tails[second] = np.arange(len(first)), np.arange(1, len(second) + 1)
+        #: The new symbol of a pair by its two places; 0 where the pair isn't replaced.
+        put_for = np.zeros((len(first), len(second) + 1), dtype=np.uint32)
+        put_for[head, tail + 1] = number
+        left = heads[seq[:-1]]
+        maybe = np.flatnonzero(left >= 0)
+        put = put_for[left[maybe], tails[seq[maybe + 1]]]
+        at, put = maybe[put > 0], put[put > 0]
         run = np.flatnonzero(np.diff(at, prepend=-2) != 1)  # of overlapping pairs, every other one is replaced
         within = np.arange(len(at)) - np.repeat(run, np.diff(run, append=len(at)))
         at, put = at[within % 2 == 0], put[within % 2 == 0]

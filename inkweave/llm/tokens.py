@@ -1,9 +1,9 @@
 """Token ids of whole texts, through the tokenizers library and a bounded cache of words.
 
-Both vocabularies split a text at white space before any merge, so a text's ids are its words' ids one after the
-other. :class:`ByteIds` relies on that only between single spaces and line feeds that stand between other
-characters, :class:`WordIds` wherever white space as the tokenizer defines it stands; any other text is encoded
-as a whole. Ids are little-endian unsigned 32-bit bytes.
+Both vocabularies split a text at white space before any merge, and between letters and the stops behind them, so
+a text's ids are its pieces' ids one after the other. :class:`ByteIds` relies on that only between single spaces
+and line feeds that stand between other characters, :class:`WordIds` wherever white space as the tokenizer defines
+it stands; any other text is encoded as a whole. Ids are little-endian unsigned 32-bit bytes.
 """
 
 from __future__ import annotations
@@ -12,8 +12,8 @@ import os
 import sys
 from array import array
 
-#: Words kept by each worker; beyond that the cache starts anew.
-CACHED = 300_000
+#: Words kept by each worker, about 200 bytes each.
+CACHED = 800_000
 
 
 def vocabulary(name: str) -> str:
@@ -30,89 +30,173 @@ def packed(ids) -> bytes:
     return out.tobytes()
 
 
-class _Ids:
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+def _classes() -> bytes:
+    """Latin-1 bytes by what the tokenizers' patterns make of them: s space and line feed, w other white space, 0 NUL,
+    a letters and digits, "." full stop and comma, p what joins these in one run."""
+    import unicodedata
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+    def kind(c: str) -> str:
+        if c in " \n\0.,":
+            return {" ": "s", "\n": "s", "\0": "0"}.get(c, ".")
+        return "w" if c.isspace() else "a" if unicodedata.category(c)[0] in "LN" else "p"
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [packed(x.ids) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    return "".join(kind(chr(i)) for i in range(256)).encode()
 
-    def _learn(self, cache: dict, words: set, before: str = "") -> None:
-        missing = list(words.difference(cache))
-        if missing:
-            if len(cache) + len(missing) > CACHED:
-                cache.clear()
-                missing = list(words)
-            for i in range(0, len(missing), 4096):
-                part = missing[i : i + 4096]
-                cache.update(zip(part, self._encode([before + w for w in part])))
 
+_CLASS, _SPACE = _classes(), ord("s")
 
-class ByteIds(_Ids):
-    """Byte-level BPE: a word's ids depend on the space before it, and on nothing else."""
 
-    def __init__(self, path: str):
-        super().__init__(path)
-        self.first, self.later = {}, {}
+def _kinds(text: str) -> bytes | None:
+    """The class of each character; None unless all are Latin-1."""
+    try:
+        return text.encode("latin-1").translate(_CLASS)
+    except UnicodeEncodeError:
+        return None
 
-    @staticmethod
-    def _plain(text: str) -> bool:
-        """White space is single spaces and line feeds between other characters only."""
-        if not text or text[0].isspace() or text[-1].isspace() or "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
-            return False
-        return len(text.split()) == text.count(" ") + text.count("\n") + 1
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(texts)
-        lines, odd, later, first = {}, [], set(), set()
-        for i, text in enumerate(texts):
-            if self._plain(text):
-                lines[i] = [line.split(" ") for line in text.split("\n")]
-                for line in lines[i]:
-                    first.add(line[0])
-                    later.update(line[1:])
-            elif text:
-                odd.append(i)
-        self._learn(self.first, first)
-        self._learn(self.later, later, " ")
-        feed = self._encode(["\n"])[0]
-        one, get = self.first, self.later.__getitem__
-        for i, words in lines.items():
-            out[i] = feed.join([one[w[0]] + b"".join(map(get, w[1:])) for w in words])
-        for i, ids in zip(odd, self._encode([texts[i] for i in odd])):
-            out[i] = ids
-        return out
+def _stops_stand_alone(kinds: bytes) -> bool:
+    """No full stop or comma follows another sign, so that the tokenizers cut before each."""
+    return b"p." not in kinds and b".." not in kinds and b"0." not in kinds
 
 
-class WordIds(_Ids):
-    """BPE with word ends, which drops white space."""
+#: Words encoded in one call's text; their ids are told apart by the tokens that start or end a word.
+TOGETHER = 64
+
+
+def _parts(ids: list[int], starts, ends) -> list[bytes]:
+    raw = packed(ids)
+    return [raw[4 * a : 4 * b] for a, b in zip(starts, ends)]
 
+
+class _Ids:
     def __init__(self, path: str):
-        super().__init__(path)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.cache: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.mark = bytearray(max(vocab.values()) + 1)
+        for token, i in vocab.items():
+            self.mark[i] = self._marks(token)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [packed(x.ids) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: set) -> None:
+        """Puts ``words`` into the cache. A full cache becomes the one before, out of which what is still in use comes back."""
+        if len(self.cache) > CACHED // 2:
+            self.cache, self.before = {}, self.cache
+        missing = words.difference(self.cache)
+        if known := missing.intersection(self.before):
+            self.cache.update(zip(known, map(self.before.__getitem__, known)))
+            missing -= known
+        simple = [w for w in missing if self._simple(w)]
+        for i in range(0, len(simple), 64 * TOGETHER):
+            groups = [simple[k : k + TOGETHER] for k in range(i, min(i + 64 * TOGETHER, len(simple)), TOGETHER)]
+            texts = ["".join([self._alone(w) for w in g]) for g in groups]
+            for g, x in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+                self.cache.update(zip(g, self._apart(x.ids, len(g))))
+        rest = [w for w in missing if not self._simple(w)]
+        for i in range(0, len(rest), 4096):
+            part = rest[i : i + 4096]
+            self.cache.update(zip(part, self._encode([self._alone(w) for w in part])))
+
+    def _apart(self, ids: list[int], n: int) -> list[bytes]:
+        raise NotImplementedError
 
     def __call__(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids."""
         out: list[bytes] = [b""] * len(texts)
         words, odd, seen = {}, [], set()
         for i, text in enumerate(texts):
-            if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to split(), not to the tokenizer
+            if (pieces := self._pieces(text)) is None:
                 odd.append(i)
             else:
-                words[i] = text.split()
-                seen.update(words[i])
-        self._learn(self.cache, seen)
+                words[i] = pieces
+                seen.update(pieces)
+        self._learn(seen)
         get = self.cache.__getitem__
-        for i, w in words.items():
-            out[i] = b"".join(map(get, w))
+        for i, pieces in words.items():
+            out[i] = b"".join(map(get, pieces))
         for i, ids in zip(odd, self._encode([texts[i] for i in odd])):
             out[i] = ids
         return out
 
 
+class ByteIds(_Ids):
+    """Byte-level BPE: a piece's ids depend on the space before it, and on nothing else. Pieces that stand behind no space
+    begin with a NUL."""
+
+    @staticmethod
+    def _marks(token: str) -> bool:
+        return token.startswith("\u0120")  # how a space is written
+
+    @staticmethod
+    def _simple(word: str) -> bool:
+        return word[0] != "\0"
+
+    @staticmethod
+    def _alone(word: str) -> str:
+        return word[1:] if word[0] == "\0" else " " + word
+
+    def _apart(self, ids, n):
+        mark = self.mark
+        starts = [k for k, i in enumerate(ids) if mark[i]]
+        if len(starts) != n:
+            raise ValueError("words can't be told apart")
+        return _parts(ids, starts, [*starts[1:], len(ids)])
+
+    @staticmethod
+    def _pieces(text: str):
+        """None unless white space is single spaces and line feeds between other characters only."""
+        if not text:
+            return []
+        if (kinds := _kinds(text)) is None:
+            if text[0].isspace() or text[-1].isspace() or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or "\0" in text:
+                return None
+            if len(text.split()) != text.count(" ") + text.count("\n") + 1:
+                return None
+        elif kinds[0] == _SPACE or kinds[-1] == _SPACE or b"ss" in kinds or b"w" in kinds or b"0" in kinds:
+            return None
+        elif _stops_stand_alone(kinds):
+            text = text.replace(".", " \0.").replace(",", " \0,")
+        return ("\0" + text.replace("\n", " \0\n \0")).split(" ")
+
+
+class WordIds(_Ids):
+    """BPE with word ends, which lower-cases and drops white space."""
+
+    @staticmethod
+    def _marks(token: str) -> bool:
+        return token.endswith("</w>")
+
+    @staticmethod
+    def _simple(word: str) -> bool:
+        return word.isascii() and word.isalpha()
+
+    @staticmethod
+    def _alone(word: str) -> str:
+        return word + " "
+
+    def _apart(self, ids, n):
+        mark = self.mark
+        ends = [k + 1 for k, i in enumerate(ids) if mark[i]]
+        if len(ends) != n:
+            raise ValueError("words can't be told apart")
+        return _parts(ids, [0, *ends], ends)
+
+    @staticmethod
+    def _pieces(text: str):
+        if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to split(), not to the tokenizer
+            return None
+        if (kinds := _kinds(text)) is not None and _stops_stand_alone(kinds):
+            text = text.lower().replace(".", " .").replace(",", " ,")
+        return text.split()
+
+
 _LOADED: dict[tuple, _Ids] = {}
 
 
