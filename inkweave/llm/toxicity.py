@@ -7,7 +7,7 @@ learns the features' weights and the transitions from these, and forward-backwar
 being toxic. A logistic function of the expected number of toxic tokens and of the largest probability, fitted on
 the sample's labels, is the score.
 
-The sample is bounded: ``SAMPLE`` documents of either label at most, none over ``LONGEST`` characters, those with the smallest
+The sample is bounded: ``SAMPLE`` toxic documents and ``CLEAN`` others at most, none over ``LONGEST`` characters, those with the smallest
 hashes of their ids; rows whose crc32(doc_id) mod 4 is 2 are never in it. Scores cover every token of every whole text, and take no input
 but the text. Tokens without features are stretches of known effect, so they cost one matrix power a stretch.
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .tokens import slices
 
-SAMPLE, LONGEST = 1500, 20_000
+SAMPLE, CLEAN, LONGEST = 700, 1400, 20_000
 HELD_OUT, BAR = 2, 0.3
 LEAST_DOCS, LEAST_ODDS = 4, 25.0
 CACHED = 400_000
@@ -47,15 +47,15 @@ def features(token: str) -> set[str]:
     return found
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, longest: int = LONGEST) -> list[tuple[str, int]]:
-    """At most ``most`` texts of either label, none held out."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, clean: int = CLEAN, longest: int = LONGEST) -> list[tuple[str, int]]:
+    """At most ``most`` toxic texts and ``clean`` others, none held out."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(fold("doc_id") != HELD_OUT)
     texts = docs.where(F.length("text").between(1, longest)).select("doc_id", "text")
     order = F.xxhash64("doc_id"), F.col("doc_id")
     #: Twice as many as are wanted are drawn, as long texts fall out; the ids are few enough to broadcast.
-    drawn = known.where("toxic = 1").orderBy(*order).limit(2 * most).unionByName(known.where("toxic = 0").orderBy(*order).limit(2 * most))
+    drawn = known.where("toxic = 1").orderBy(*order).limit(2 * most).unionByName(known.where("toxic = 0").orderBy(*order).limit(2 * clean))
     rows = texts.join(F.broadcast(drawn), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
-    kept = rows.where("toxic = 1").orderBy(*order).limit(most).unionByName(rows.where("toxic = 0").orderBy(*order).limit(most))
+    kept = rows.where("toxic = 1").orderBy(*order).limit(most).unionByName(rows.where("toxic = 0").orderBy(*order).limit(clean))
     return [(r.text, int(r.toxic)) for r in kept.select("text", "toxic").collect()]
 
 
@@ -165,7 +165,7 @@ def fit(sample: list[tuple[str, int]]) -> Model:
     def pull(g):
         return np.concatenate([np.bincount(columns, weights=g[rows], minlength=size - 1)[: size - 1], [g.sum()]])
 
-    w, trans = train(scores, pull, size, y, Sequences(lengths))
+    w, trans = train(scores, pull, size, y, Sequences(lengths), steps=80)
     model = Model({x: float(w[k]) for x, k in number.items()}, trans.tolist(), float(w[-1]), (0.0, 0.0, 0.0)).prepare()
     inputs = [(lambda p: (1.0, math.log1p(float(p.sum())) if len(p) else 0.0, float(p.max()) if len(p) else 0.0))(model.marginals(words)[1]) for words, _ in docs]
     x, label, c = np.array(inputs), np.array([v for _, v in docs], dtype=float), np.zeros(3)
