@@ -26,7 +26,7 @@ from .common import stored, table
 from .tokens import ByteIds, encoder, slices, vocabulary
 
 SHARD = 1 << 20
-ROUNDS, PAIRS, LEAST = 5, 768, 32
+PAIRS, LEAST, WORTH = 2048, 32, 0.05
 MAGIC = b"RPG1"
 NO_ID = -(2**63)  # written for a null doc_id
 FILES = "part int, shard int, n_docs bigint, n_tokens bigint, blob binary"
@@ -48,12 +48,15 @@ def frequent_pairs(seq, pairs: int, least: int):
     return keys[order][n[order] >= least]
 
 
-def compress(seq, base: int, rounds: int = ROUNDS, pairs: int = PAIRS, least: int = LEAST):
-    """Symbols and rules (k x 2) of a sequence of ids below ``base``; symbol base + k stands for rule k."""
+def compress(seq, base: int, pairs: int = PAIRS, least: int = LEAST, worth: float = WORTH):
+    """Symbols and rules (k x 2) of a sequence of ids below ``base``; symbol base + k stands for rule k. Rounds end when one
+    has taken less than ``worth`` of the symbols."""
     import numpy as np
 
     seq, rules = np.asarray(seq, dtype=np.uint32), np.empty((0, 2), dtype=np.uint32)
-    for _ in range(rounds):
+    before = 2 * len(seq)
+    while before - len(seq) > worth * before:
+        before = len(seq)
         if len(seq) < 2 or not len(keys := frequent_pairs(seq, pairs, least)):
             break
         new = np.stack([keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
@@ -81,13 +84,25 @@ def compress(seq, base: int, rounds: int = ROUNDS, pairs: int = PAIRS, least: in
     return seq, rules
 
 
+def _blocks(rules, base: int):
+    """Runs of rules whose symbols all stand before the run: what a round has made, or several rounds."""
+    import numpy as np
+
+    start, high = 0, rules.max(axis=1) if len(rules) else np.empty(0)
+    while start < len(rules):
+        late = np.flatnonzero(high[start:] >= base + start)
+        end = start + int(late[0]) if len(late) else len(rules)
+        yield start, end
+        start = end
+
+
 def write_shard(ids: list[bytes], docs: list, base: int) -> bytes:
     import numpy as np
 
     seq, rules = compress(np.frombuffer(b"".join(ids), dtype="<u4"), base)
     lengths = np.ones(base + len(rules), dtype=np.uint32)
-    for k, (a, b) in enumerate(rules):
-        lengths[base + k] = lengths[a] + lengths[b]
+    for start, end in _blocks(rules, base):
+        lengths[base + start : base + end] = lengths[rules[start:end]].sum(axis=1)
     width = 2 if base + len(rules) <= 1 << 16 else 4
     symbol = f"<u{width}"
     head = MAGIC + struct.pack("<5I", base, len(rules), len(seq), len(docs), width)
@@ -119,14 +134,16 @@ class Shard:
         self.lengths = np.concatenate([np.ones(self.base, dtype=np.int64), expansion.astype(np.int64)])
         self.ends = np.cumsum(self.lengths[self.symbols])
         self.starts = np.cumsum(self.counts) - self.counts
-        flat = [np.arange(self.base, dtype="<u4")]
-        for k, (a, b) in enumerate(self.rules):
-            flat.append(np.concatenate([self._one(flat, a), self._one(flat, b)]))
-        self.flat = np.concatenate(flat)
         self.first = np.cumsum(self.lengths) - self.lengths
+        self.flat = np.arange(self.base, dtype="<u4")  # the expansions of all symbols, one after the other
+        for start, end in _blocks(self.rules, self.base):
+            self.flat = np.concatenate([self.flat, self._expand(self.rules[start:end].ravel())])
 
-    def _one(self, flat, symbol):
-        return flat[0][symbol : symbol + 1] if symbol < self.base else flat[int(symbol) - self.base + 1]
+    def _expand(self, symbols):
+        import numpy as np
+
+        n = self.lengths[symbols]
+        return self.flat[np.repeat(self.first[symbols] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
 
     def ids(self, start: int, stop: int):
         """The ids from start to stop, expanding no symbol outside."""
@@ -135,11 +152,7 @@ class Shard:
         if stop <= start:
             return np.empty(0, dtype="<u4")
         low, high = np.searchsorted(self.ends, [start, stop - 1], side="right")
-        symbols = self.symbols[low : high + 1]
-        n = self.lengths[symbols]
-        before = np.cumsum(n) - n
-        out = self.flat[np.repeat(self.first[symbols] - before, n) + np.arange(n.sum())]
-        skipped = int(self.ends[low] - n[0])
+        out, skipped = self._expand(self.symbols[low : high + 1]), int(self.ends[low] - self.lengths[self.symbols[low]])
         return out[start - skipped : stop - skipped]
 
 

@@ -8,6 +8,7 @@ it stands; any other text is encoded as a whole. Ids are little-endian unsigned
 
 from __future__ import annotations
 
+import gc
 import os
 import sys
 from array import array
@@ -93,22 +94,34 @@ class _Ids:
         if known := missing.intersection(self.before):
             self.cache.update(zip(known, map(self.before.__getitem__, known)))
             missing -= known
-        simple = [w for w in missing if self._simple(w)]
+        simple, rest = self._sorted_out(missing)
         for i in range(0, len(simple), 64 * TOGETHER):
             groups = [simple[k : k + TOGETHER] for k in range(i, min(i + 64 * TOGETHER, len(simple)), TOGETHER)]
-            texts = ["".join([self._alone(w) for w in g]) for g in groups]
-            for g, x in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            for g, x in zip(groups, self.tokenizer.encode_batch_fast([self.lead + " ".join(g) for g in groups], add_special_tokens=False)):
                 self.cache.update(zip(g, self._apart(x.ids, len(g))))
-        rest = [w for w in missing if not self._simple(w)]
         for i in range(0, len(rest), 4096):
             part = rest[i : i + 4096]
             self.cache.update(zip(part, self._encode([self._alone(w) for w in part])))
 
+    @staticmethod
+    def _sorted_out(words) -> tuple[list[str], list[str]]:
+        """Words that can be encoded together, divided by spaces, and the others."""
+        raise NotImplementedError
+
     def _apart(self, ids: list[int], n: int) -> list[bytes]:
         raise NotImplementedError
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids."""
+        """Each text's ids. Lists of words make the cyclic garbage collector run over the whole cache, and hold no cycles."""
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            return self._ids(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
         words, odd, seen = {}, [], set()
         for i, text in enumerate(texts):
@@ -134,9 +147,11 @@ class ByteIds(_Ids):
     def _marks(token: str) -> bool:
         return token.startswith("\u0120")  # how a space is written
 
+    lead = " "
+
     @staticmethod
-    def _simple(word: str) -> bool:
-        return word[0] != "\0"
+    def _sorted_out(words):
+        return [w for w in words if w[0] != "\0"], [w for w in words if w[0] == "\0"]
 
     @staticmethod
     def _alone(word: str) -> str:
@@ -173,13 +188,16 @@ class WordIds(_Ids):
     def _marks(token: str) -> bool:
         return token.endswith("</w>")
 
+    lead = ""
+
     @staticmethod
-    def _simple(word: str) -> bool:
-        return word.isascii() and word.isalpha()
+    def _sorted_out(words):
+        simple = [w for w in words if w.isascii() and w.isalpha()]
+        return simple, list(words.difference(simple))
 
     @staticmethod
     def _alone(word: str) -> str:
-        return word + " "
+        return word
 
     def _apart(self, ids, n):
         mark = self.mark
