@@ -129,10 +129,16 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, shards: int = SHARDS
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: the columns of ``docs``, a row for each draw, its text cut to the words drawn. Needs unique doc_id."""
-    drawn = mix(docs, **how).select(F.col("doc_id").alias("_id"), "size", F.explode("draws").alias("draw"))
-    cut = F.expr(r"if(draw.words < size, array_join(slice(split(text, '(?<=[^\\x20\\x09-\\x0D])(?=[\\x20\\x09-\\x0D])'), 1, CAST(draw.words AS INT)), ''), text)")
-    return docs.join(drawn, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("text", cut).select(*docs.columns)
+    """The mix itself: the columns of ``docs``, a row for each draw, its text cut to the words drawn and n_chars, where
+    there is one and the text is cut, following it. Rows that repeat a doc_id are drawn as one row of all their words would be."""
+    drawn = mix(docs, **how).groupBy("doc_id", "size").agg(F.min("draws").alias("draws"))
+    one = drawn.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.explode("draws").alias("_draw"))
+    words = r"split(text, '(?<=[^\\x20\\x09-\\x0D])(?=[\\x20\\x09-\\x0D])')"
+    cut = F.expr(f"if(_draw.words < _size, array_join(slice({words}, 1, CAST(_draw.words AS INT)), ''), text)")
+    rows = docs.join(one, F.col("doc_id").eqNullSafe(F.col("_id")) & (n_words(F.col("text")) == F.col("_size"))).withColumn("text", cut)
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.when(F.col("_draw.words") < F.col("_size"), F.length("text")).otherwise(F.col("n_chars")))
+    return rows.select(*docs.columns)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
