@@ -12,10 +12,11 @@ none. Documents with ``100 * intersection >= 80 * union`` are linked, and a comp
    similarity from how many registers are larger, smaller and equal, and go if it is 6 deviations below 0.8.
 4. Each representative is verified against the partner of the highest estimate; components follow. Then the other pairs
    that would join two components are verified.
-5. Buckets whose members are still in two components or more give all pairs across components, if they have ``SMALL`` members at most;
-   the members of larger ones meet by an exact prefix filter: two sets at 0.8 share one of the first fifth of
-   their shingles in any common order, here rare before common. So no size of bucket is left out, and none is paired out
-   that a component has already joined.
+5. In buckets whose members are still in two components or more, members of all components but the largest one are paired with those of
+   others, however large the bucket. Before that, members that can't have a link go, by a bound that is exact: an
+   intersection holds none of a set's shingles that no other set has, so ``100 * shared >= 80 * union`` needs enough shingles
+   that stand in two of these sets or more. A set of a family of copies that isn't linked to its centre, or one that shares a
+   common passage alone, has too many of its own, which keeps these pairs few.
 
 Verification reads whole texts, which travel compressed and only to where a pair needs them.
 
@@ -28,13 +29,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import drop_stored, release, stored, table
 from .graph import components
 from .tokens import slices
 
 BANDS, ROWS, BASE, RATE, ESTIMATED = 42, 6, 1.001, 20.0, 128
-NEED, DEVIATIONS, SMALL = 80, 6.0, 32
-HOT_SAMPLE, HOT_LEAST, HOT_MOST = 16, 8, 50_000
+NEED, DEVIATIONS = 80, 6.0
 SETS = "doc_id bigint, n_shingles bigint, high bigint, low bigint, registers binary, bands array<bigint>"
 
 
@@ -188,8 +188,8 @@ def _verified(k: int):
     return run
 
 
-def _prefixes(k: int, hot):
-    """(node, z) to (node, n, shingle): the first fifth of the shingles, those in ``hot`` last; or all shingles, if hot is None."""
+def _exploded(k: int):
+    """(node, z) to a row (node, shingle) for each shingle."""
 
     def run(batches):
         import numpy as np
@@ -197,14 +197,18 @@ def _prefixes(k: int, hot):
         import zstandard
 
         unpacker = zstandard.ZstdDecompressor()
-        common = None if hot is None else np.array(hot, dtype=np.int64).view(np.uint64)
         for batch in batches:
+            nodes, sets, held = [], [], 0
             for node, z in zip(batch.column("node").to_pylist(), batch.column("z").to_pylist()):
                 s = _unpack(z, unpacker, k)
-                n = len(s)
-                if common is not None:
-                    s = s[np.argsort(np.isin(s, common), kind="stable")][: n - -(-NEED * n // 100) + 1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), node), pa.int64()), pa.array(np.full(len(s), n), pa.int64()), pa.array(s.view(np.int64), pa.int64())], names=["node", "n", "shingle"])
+                nodes.append(np.full(len(s), node))
+                sets.append(s.view(np.int64))
+                held += len(s)
+                if held > 200_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sets))], names=["node", "shingle"])
+                    nodes, sets, held = [], [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sets))], names=["node", "shingle"])
 
     return run
 
@@ -249,37 +253,44 @@ class _Links:
         known = labels.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
         return df.join(known, F.col(node) == F.col("_n"), "left").withColumn(label, F.coalesce("_l", node)).drop("_n", "_l")
 
-    def by_prefix(self, large: DataFrame) -> DataFrame:
-        """Pairs (a, b) of ``large`` (node, label) across labels that the exact prefix filter leaves."""
-        texts = self.texts(large)
-        sampled = texts.where(F.pmod(F.xxhash64("node"), F.lit(HOT_SAMPLE)) == 0).mapInArrow(_prefixes(self.k, None), "node bigint, n bigint, shingle bigint")
-        hot = [r.shingle for r in sampled.groupBy("shingle").count().where(F.col("count") >= HOT_LEAST).orderBy(F.desc("count"), "shingle").limit(HOT_MOST).collect()]
-        rows = texts.mapInArrow(_prefixes(self.k, hot), "node bigint, n bigint, shingle bigint").join(large.select("node", "label").distinct(), "node")
-        left, right = (rows.select(F.col("shingle"), F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("label").alias(f"l_{x}")) for x in "ab")
-        return left.join(right, "shingle").where(f"a < b AND l_a <> l_b AND {_sizes_allow('n_a', 'n_b')}").select("a", "b").distinct()
-
-
-def near_duplicates(docs: DataFrame, k: int = 5, small: int = SMALL) -> DataFrame:
+    def linkable(self, nodes: DataFrame) -> DataFrame:
+        """node, n, shared of those of ``nodes`` with enough shingles that others of them have too."""
+        rows = stored(self.texts(nodes).mapInArrow(_exploded(self.k), "node bigint, shingle bigint"), "shingles")
+        several = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("shingle")
+        shared = rows.join(several, "shingle", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("shared"))
+        out = stored(shared.join(self.nodes.select("node", "n"), "node").where(f"100 * shared >= {NEED} * n"), "linkable")
+        drop_stored(rows)
+        release(self.docs.sparkSession)
+        return out
+
+    def across_buckets(self, labels: DataFrame) -> DataFrame:
+        """Pairs (a, b) of members of one bucket in different components, that sizes and shared shingles leave possible."""
+        members = self.labelled(self.members.select("band", "node"), labels, "node", "label")
+        mixed = members.groupBy("band").agg(F.min("label").alias("_x"), F.max("label").alias("_y")).where("_x <> _y").select("band")
+        open_ = stored(members.join(mixed, "band"), "open")
+        left = open_.join(self.linkable(open_.select("node").distinct()), "node")
+        left = stored(left.select("band", "node", "label", "n", "shared"), "left")
+        sizes = left.groupBy("band", "label").agg(F.count(F.lit(1)).alias("_c")).groupBy("band").agg(F.max_by("label", F.struct("_c", "label")).alias("largest"))
+        minor = left.join(sizes, "band").where("label <> largest").select("band", *[F.col(c).alias(f"{c}_a") for c in ("node", "label", "n", "shared")])
+        possible = f"label_a <> label AND {_sizes_allow('n_a', 'n')} AND {100 + NEED} * least(shared_a, shared) >= {NEED} * (n_a + n)"
+        return minor.join(left, "band").where(possible).select(F.least("node_a", "node").alias("a"), F.greatest("node_a", "node").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, k: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id, text)."""
-    work = _Links(docs, k)
+    work, spark = _Links(docs, k), docs.sparkSession
+    release(spark)
     stars = work.members.where("first <> node").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     likely = work.estimated(stars)
     best = likely.groupBy("b").agg(F.max_by("a", F.struct("estimate", -F.col("a"))).alias("a")).select("a", "b")
     links = work.verified(best)
+    release(spark)
     labels = components(links)
     across = work.labelled(work.labelled(likely, labels, "a", "l_a"), labels, "b", "l_b").where("l_a <> l_b").select("a", "b")
-    open_ = work.labelled(work.members.select("band", "members", "node"), labels, "node", "label")
-    mixed = open_.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band")
-    rest = stored(open_.join(mixed, "band"), "open")
-    few = rest.where(F.col("members") <= small)
-    left, right = (few.select("band", F.col("node").alias(x), F.col("label").alias(f"l_{x}")) for x in "ab")
-    pairs = left.join(right, "band").where("a < b AND l_a <> l_b").select("a", "b")
-    large = rest.where(F.col("members") > small).select("node", "label").distinct()
-    if not large.isEmpty():
-        pairs = pairs.union(work.by_prefix(large))
-    more = work.estimated(pairs.distinct().join(likely.select("a", "b"), ["a", "b"], "left_anti")).select("a", "b").union(across)
-    tried = more.join(best, ["a", "b"], "left_anti").distinct()
-    links = links.union(work.verified(tried)) if not tried.isEmpty() else links
+    more = work.estimated(work.across_buckets(labels).join(likely.select("a", "b"), ["a", "b"], "left_anti")).select("a", "b")
+    tried = stored(more.union(across).join(best, ["a", "b"], "left_anti").distinct(), "tried")
+    links = links.union(work.verified(tried))
+    release(spark)
     place = work.sets.join(work.classes, ["high", "low"], "left").select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("node")).alias("node"))
     #: Rows that share a doc_id, and lie in several classes, link these.
     several = place.where("node IS NOT NULL").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("doc_id", "a")
