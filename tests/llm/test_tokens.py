@@ -22,7 +22,7 @@ def plain(name, text):
     return t.encode(text, add_special_tokens=False).ids
 
 
-@settings(max_examples=300, deadline=None)
+@settings(max_examples=1500, deadline=None)
 @given(st.text(alphabet=st.sampled_from("ab'sT 1\n\t\x1c\x85\xa0é.!<|>Σ́😀,_²Ł\0"), max_size=40))
 def test_cached_words_give_the_librarys_ids(text):
     for kind, name in ((ByteIds, BYTES), (WordIds, WORDS)):
