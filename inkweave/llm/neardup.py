@@ -10,13 +10,14 @@ none. Documents with ``100 * intersection >= 80 * union`` are linked, and a comp
 3. In each bucket every member is paired with the smallest one, so a bucket gives as many pairs as rows, however large
    it is. Pairs whose sizes rule a link out go; the others get the joint maximum-likelihood estimate of their
    similarity from how many registers are larger, smaller and equal, and go if it is 6 deviations below 0.8.
-4. Each representative is verified against the partner of the highest estimate; components follow. Then the other pairs
-   that would join two components are verified.
-5. In buckets whose members are still in two components or more, members of all components but the largest one are paired with those of
-   others, however large the bucket. Before that, members that can't have a link go, by a bound that is exact: an
-   intersection holds none of a set's shingles that no other set has, so ``100 * shared >= 80 * union`` needs enough shingles
-   that stand in two of these sets or more. A set of a family of copies that isn't linked to its centre, or one that shares a
-   common passage alone, has too many of its own, which keeps these pairs few.
+4. Each representative is verified against the partner of the highest estimate; components follow.
+5. What is left are links between components that share a bucket. Members of such buckets that can't have a link go
+   first, by an exact bound: an intersection holds none of the shingles that no other set has, so
+   ``100 * shared >= 80 * union`` needs enough shingles that stand in two of these sets or more. Sets that
+   share a common passage alone have too many of their own. The others form families, joined by the buckets they
+   share. In a family the members outside its largest component are compared with all, in blocks of ``BLOCK``: a
+   product of two membership matrices gives the exact intersections of a block, and only links come out of it, one for each
+   set and component. So no bucket or family has a cap, and pairs are never rows.
 
 Verification reads whole texts, which travel compressed and only to where a pair needs them.
 
@@ -35,6 +36,7 @@ from .tokens import slices
 
 BANDS, ROWS, BASE, RATE, ESTIMATED = 42, 6, 1.001, 20.0, 128
 NEED, DEVIATIONS = 80, 6.0
+BLOCK, WIDTH = 1024, 4096
 SETS = "doc_id bigint, n_shingles bigint, high bigint, low bigint, registers binary, bands array<bigint>"
 
 
@@ -213,6 +215,57 @@ def _exploded(k: int):
     return run
 
 
+def overlaps(left: list, right: list, width: int = WIDTH):
+    """Sizes of all intersections of two lists of sorted sets, as a product of their membership matrices over the
+    elements that both lists have; ``width`` elements at a time."""
+    import numpy as np
+
+    def members(sets):
+        flat = np.concatenate(sets) if sets else np.empty(0, dtype=np.uint64)
+        return flat, np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+
+    (a, of_a), (b, of_b) = members(left), members(right)
+    both = np.intersect1d(a, b)
+    out = np.zeros((len(left), len(right)), dtype=np.float64)
+    for i in range(0, len(both), width):
+        part, sides = both[i : i + width], []
+        for flat, owner, n in ((a, of_a, len(left)), (b, of_b, len(right))):
+            at = np.minimum(np.searchsorted(part, flat), len(part) - 1)
+            hit = np.flatnonzero(part[at] == flat)
+            m = np.zeros((n, len(part)), dtype=np.float32)
+            m[owner[hit], at[hit]] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    return out.astype(np.int64)
+
+
+def _family_links(k: int):
+    """A block of a family's smaller components, and one of all its members (node, label, z): one link (a, b) for each node
+    of the former and each other label that it is linked with."""
+
+    def run(left, right):
+        import numpy as np
+        import pyarrow as pa
+        import zstandard
+
+        found: list[tuple[int, int]] = []
+        if left.num_rows and right.num_rows:
+            unpacker = zstandard.ZstdDecompressor()
+            sets = [[_unpack(z, unpacker, k) for z in t.column("z").to_pylist()] for t in (left, right)]
+            sizes = [np.array([len(s) for s in x]) for x in sets]
+            labels = [t.column("label").to_numpy() for t in (left, right)]
+            nodes = [t.column("node").to_numpy() for t in (left, right)]
+            both = overlaps(*sets)
+            linked = (100 * both >= NEED * (sizes[0][:, None] + sizes[1][None, :] - both)) & (labels[0][:, None] != labels[1][None, :])
+            for i, j in zip(*np.nonzero(linked)):
+                found.append((int(nodes[0][i]), int(labels[1][j]), int(nodes[1][j])))
+            found = [(a, b) for (a, _), b in {(a, label): b for a, label, b in found}.items()]
+        a, b = zip(*found) if found else ((), ())
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
 def _sizes_allow(a: str, b: str) -> str:
     return f"100 * least({a}, {b}) >= {NEED} * greatest({a}, {b})"
 
@@ -230,6 +283,9 @@ class _Links:
         rows = self.nodes.select("node", F.explode("bands").alias("band"))
         buckets = rows.groupBy("band").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("members")).where("members > 1")
         self.members = stored(rows.join(buckets, "band"), "members")
+        #: Compressed texts (node, z) of all that share a bucket.
+        shared = self.members.select("node").distinct()
+        self.texts = stored(self.docs.mapInArrow(_compressed, "node bigint, z binary").join(shared, "node", "left_semi"), "texts")
 
     def estimated(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b), whose estimate leaves a link possible."""
@@ -237,14 +293,9 @@ class _Links:
         wide = pairs.join(of("b"), "b").join(of("a"), "a").where(_sizes_allow("n_a", "n_b"))
         return stored(wide.select("a", "b", "n_a", "n_b", "ra", "rb").mapInArrow(_estimated, "a bigint, b bigint, estimate double"), "estimates")
 
-    def texts(self, wanted: DataFrame) -> DataFrame:
-        """Compressed texts (node, z) of the nodes in ``wanted``."""
-        return stored(self.docs.mapInArrow(_compressed, "node bigint, z binary").join(wanted.select("node").distinct(), "node", "left_semi"), "texts")
-
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The links (a, b) among the pairs."""
-        texts = self.texts(pairs.select(F.explode(F.array("a", "b")).alias("node")))
-        of = lambda x: texts.select(F.col("node").alias(x), F.col("z").alias(f"z{x}"))
+        of = lambda x: self.texts.select(F.col("node").alias(x), F.col("z").alias(f"z{x}"))
         rows = pairs.select("a", "b").join(of("b"), "b").join(of("a"), "a").select("a", "b", "za", "zb")
         return stored(rows.mapInArrow(_verified(self.k), "a bigint, b bigint"), "links")
 
@@ -254,26 +305,33 @@ class _Links:
         return df.join(known, F.col(node) == F.col("_n"), "left").withColumn(label, F.coalesce("_l", node)).drop("_n", "_l")
 
     def linkable(self, nodes: DataFrame) -> DataFrame:
-        """node, n, shared of those of ``nodes`` with enough shingles that others of them have too."""
-        rows = stored(self.texts(nodes).mapInArrow(_exploded(self.k), "node bigint, shingle bigint"), "shingles")
+        """Those of ``nodes`` (node) with enough shingles that others of them have too."""
+        texts = self.texts.join(nodes, "node", "left_semi")
+        rows = stored(texts.mapInArrow(_exploded(self.k), "node bigint, shingle bigint"), "shingles")
         several = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("shingle")
         shared = rows.join(several, "shingle", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("shared"))
-        out = stored(shared.join(self.nodes.select("node", "n"), "node").where(f"100 * shared >= {NEED} * n"), "linkable")
+        out = stored(shared.join(self.nodes.select("node", "n"), "node").where(f"100 * shared >= {NEED} * n").select("node"), "linkable")
         drop_stored(rows)
         release(self.docs.sparkSession)
         return out
 
-    def across_buckets(self, labels: DataFrame) -> DataFrame:
-        """Pairs (a, b) of members of one bucket in different components, that sizes and shared shingles leave possible."""
+    def across_components(self, labels: DataFrame) -> DataFrame:
+        """Links (a, b) between components (node, label) that share a bucket."""
         members = self.labelled(self.members.select("band", "node"), labels, "node", "label")
         mixed = members.groupBy("band").agg(F.min("label").alias("_x"), F.max("label").alias("_y")).where("_x <> _y").select("band")
         open_ = stored(members.join(mixed, "band"), "open")
-        left = open_.join(self.linkable(open_.select("node").distinct()), "node")
-        left = stored(left.select("band", "node", "label", "n", "shared"), "left")
-        sizes = left.groupBy("band", "label").agg(F.count(F.lit(1)).alias("_c")).groupBy("band").agg(F.max_by("label", F.struct("_c", "label")).alias("largest"))
-        minor = left.join(sizes, "band").where("label <> largest").select("band", *[F.col(c).alias(f"{c}_a") for c in ("node", "label", "n", "shared")])
-        possible = f"label_a <> label AND {_sizes_allow('n_a', 'n')} AND {100 + NEED} * least(shared_a, shared) >= {NEED} * (n_a + n)"
-        return minor.join(left, "band").where(possible).select(F.least("node_a", "node").alias("a"), F.greatest("node_a", "node").alias("b")).distinct()
+        left = stored(open_.join(self.linkable(open_.select("node").distinct()), "node", "left_semi"), "left")
+        first = left.groupBy("band").agg(F.min("node").alias("a"))
+        families = components(left.join(first, "band").select("a", F.col("node").alias("b")).distinct()).withColumnRenamed("label", "family")
+        rows = stored(left.select("node", "label").distinct().join(families, "node"), "families")
+        parts = rows.groupBy("family", "label").agg(F.count(F.lit(1)).alias("_c")).groupBy("family").agg(F.sum("_c").alias("size"), F.max_by("label", F.struct("_c", "label")).alias("largest"), F.count(F.lit(1)).alias("_k"))
+        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+        rows = rows.join(parts.where("_k > 1").withColumn("blocks", blocks), "family").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(self.texts, "node")
+        every = F.explode(F.expr("sequence(0, blocks - 1)"))
+        minor = rows.where("label <> largest").select("family", "node", "label", "z", F.col("own").alias("i"), every.alias("j"))
+        whole = rows.select(*[F.col(c).alias(c) for c in ("family", "node", "label", "z")], F.col("own").alias("j"), every.alias("i"))
+        key = ("family", "i", "j")
+        return stored(minor.groupBy(*key).cogroup(whole.groupBy(*key)).applyInArrow(_family_links(self.k), "a bigint, b bigint"), "links")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5) -> DataFrame:
@@ -286,10 +344,7 @@ def near_duplicates(docs: DataFrame, k: int = 5) -> DataFrame:
     links = work.verified(best)
     release(spark)
     labels = components(links)
-    across = work.labelled(work.labelled(likely, labels, "a", "l_a"), labels, "b", "l_b").where("l_a <> l_b").select("a", "b")
-    more = work.estimated(work.across_buckets(labels).join(likely.select("a", "b"), ["a", "b"], "left_anti")).select("a", "b")
-    tried = stored(more.union(across).join(best, ["a", "b"], "left_anti").distinct(), "tried")
-    links = links.union(work.verified(tried))
+    links = links.union(work.across_components(labels))
     release(spark)
     place = work.sets.join(work.classes, ["high", "low"], "left").select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("node")).alias("node"))
     #: Rows that share a doc_id, and lie in several classes, link these.

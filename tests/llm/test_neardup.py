@@ -5,7 +5,8 @@ import numpy as np
 import pytest
 
 from inkweave.llm.graph import components
-from inkweave.llm.neardup import joint_estimate, near_duplicates, op8_neardup, registers, shingles
+from inkweave.llm import neardup
+from inkweave.llm.neardup import joint_estimate, near_duplicates, op8_neardup, overlaps, registers, shingles
 
 from .conftest import ODD
 
@@ -58,8 +59,9 @@ def corpus(seed=3):
     return [(int(i), t) for i, t in zip(rng.permutation(len(out)) * 3, out)]
 
 
-@pytest.mark.parametrize("seed", [3, 4])
-def test_components_against_all_pairs(spark, seed):
+@pytest.mark.parametrize(("seed", "block"), [(3, 1024), (4, 5)])
+def test_components_against_all_pairs(spark, seed, block, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", block)
     rows = corpus(seed) + [(10_000 + i, t) for i, t in enumerate(ODD)]
     docs = spark.createDataFrame([(i, t, 1, "z", 2, 3) for i, t in rows], DOCS)
     expected = brute(rows, 4)
@@ -89,6 +91,13 @@ def test_registers_merge_and_estimate():
     assert abs(j[0] - 0.6) < 0.15
 
 
+def test_overlaps_of_blocks():
+    rng = np.random.default_rng(8)
+    left, right = ([np.unique(rng.integers(0, 60, n).astype(np.uint64)) for n in sizes] for sizes in ((0, 5, 30, 60), (10, 0, 40)))
+    expected = [[len(np.intersect1d(a, b)) for b in right] for a in left]
+    assert overlaps(left, right, 7).tolist() == expected and overlaps([], right).shape == (0, 3)
+
+
 def test_components_of_long_chains(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(5, 3), (3, 9), (3, 5)]
     got = dict(components(spark.createDataFrame(edges, "a bigint, b bigint")).select("node", "label").collect())
