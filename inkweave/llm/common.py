@@ -18,6 +18,18 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+#: Rows in a batch that goes to Python. Texts are long: Spark's own 10,000 would hold tens of megabytes on either side.
+BATCH_ROWS = 1000
+
+
+def batched(docs: DataFrame) -> DataFrame:
+    """``docs``, in a session whose Arrow batches are small enough for whole texts."""
+    spark = docs.sparkSession
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return docs
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where the session names none."""
     place = spark.conf.get("spark.checkpoint.dir", None)

@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_stored, release, stored, table
+from .common import batched, drop_stored, release, stored, table
 from .graph import components
 from .tokens import slices
 
@@ -274,7 +274,7 @@ class _Links:
     """The tables that the steps share."""
 
     def __init__(self, docs: DataFrame, k: int):
-        self.docs, self.k = docs.select("doc_id", "text"), k
+        self.docs, self.k = batched(docs).select("doc_id", "text"), k
         self.sets = stored(self.docs.mapInArrow(_sketches(k), SETS), "sets")
         real = self.sets.where("doc_id IS NOT NULL AND n_shingles > 0")
         self.classes = stored(real.groupBy("high", "low").agg(F.min("doc_id").alias("node")), "classes")

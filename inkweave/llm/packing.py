@@ -18,7 +18,7 @@ from collections import deque
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import batched, table
 from .tokens import WordIds, encoder, slices, vocabulary
 
 LENGTH, SEGMENTS, WASTE = 2048, 256, 16
@@ -152,7 +152,7 @@ def packer(path: str, end: int, length: int, segments: int, waste: int):
 
 def pack_documents(docs: DataFrame, path: str, end: int = 1, length: int = LENGTH, segments: int = SEGMENTS, waste: int = WASTE) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    return docs.select("doc_id", "text").mapInArrow(packer(path, end, length, segments, waste), PIECES)
+    return batched(docs).select("doc_id", "text").mapInArrow(packer(path, end, length, segments, waste), PIECES)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from collections import Counter
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import batched, table
 from .tokens import slices
 
 SAMPLE, LONGEST, SHARE = 700, 20_000, 0.5
@@ -154,7 +154,7 @@ def judge_quality(docs: DataFrame, labels: DataFrame, share: float = SHARE) -> D
                 rows = [judge(d, t, model, share) for d, t in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, RESULT)
+    return batched(docs).select("doc_id", "text").mapInArrow(run, RESULT)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import batched, table
 from .tokens import slices, vocabulary
 
 KINDS = ("assign", "access", "hex", "random")
@@ -115,7 +115,7 @@ def find_secrets(docs: DataFrame, ranks: str | None = None, pattern: str | None
     import public_tokenizers
 
     how = scanner(ranks or vocabulary("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN, ratio)
-    return docs.select("doc_id", "text").mapInArrow(how, SPANS)
+    return batched(docs).select("doc_id", "text").mapInArrow(how, SPANS)
 
 
 def redacted(docs: DataFrame, mask: str = "[secret]", ratio: float = RATIO) -> DataFrame:
@@ -154,7 +154,7 @@ def redacted(docs: DataFrame, mask: str = "[secret]", ratio: float = RATIO) -> D
                 columns[k] = pa.array(lengths, batch.schema.field(k).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return batched(docs).mapInArrow(run, docs.schema)
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

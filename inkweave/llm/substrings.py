@@ -26,7 +26,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_stored, release, stored, table
+from .common import batched, drop_stored, release, stored, table
 from .suffixes import matches
 from .tokens import slices
 
@@ -291,7 +291,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     if not gram <= length < gram + 256:
         raise ValueError("length has to be gram to gram + 255")
     spark = docs.sparkSession
-    found = docs.select("doc_id", "text").mapInArrow(_anchored(length, gram), ANCHORS)
+    found = batched(docs).select("doc_id", "text").mapInArrow(_anchored(length, gram), ANCHORS)
     several = found.groupBy("gram").agg(F.count(F.lit(1)).alias("places")).where("places > 1").select("gram")
     repeated = stored(found.join(several, "gram", "left_semi"), "anchors")
     release(spark)

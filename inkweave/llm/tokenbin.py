@@ -22,7 +22,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import batched, stored, table
 from .tokens import ByteIds, encoder, slices, vocabulary
 
 SHARD = 1 << 20
@@ -208,7 +208,7 @@ def _reader(batches):
 def write_shards(docs: DataFrame, path: str, end: int = 0) -> DataFrame:
     """The shards of (doc_id, text), written to the shared folder in ascending order of doc_id: part, shard, n_docs,
     n_tokens, blob."""
-    dealt = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    dealt = batched(docs).select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     return stored(dealt.mapInArrow(_writer(path, end), FILES), "token-shards")
 
 

@@ -24,13 +24,13 @@ from collections import Counter
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import batched, table
 from .tokens import slices
 
 SAMPLE, CLEAN, LONGEST = 700, 1400, 20_000
 HELD_OUT, BAR = 2, 0.3
-LEAST_DOCS, LEAST_ODDS = 4, 25.0
-CACHED = 400_000
+LEAST_DOCS, LEAST_ODDS, PLAIN = 4, 25.0, 8
+CACHED = 200_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 SCORES = "doc_id bigint, held_out boolean, score double, predicted int, spans string"
 
@@ -147,11 +147,17 @@ def fit(sample: list[tuple[str, int]]) -> Model:
     chosen = sorted(x for x, r in odds.items() if r >= LEAST_ODDS or (without[x] == 0 and with_[x] >= 2 * LEAST_DOCS and r >= LEAST_ODDS / 3))
     number = {x: k for k, x in enumerate(chosen)}
     rows, columns, y, lengths, n = [], [], [], [], 0
+    numbers = {w: [number[x] for x in f if x in number] for w, f in per_word.items()}
+    plain = 0
     for words, label in docs:
         for i in range(0, len(words), 256):
             part = words[i : i + 256]
+            if not any(map(numbers.__getitem__, part)):
+                plain += 1
+                if plain % PLAIN:  # stretches without features are all alike: some of them tell as much
+                    continue
             for w in part:
-                found = [number[x] for x in per_word[w] if x in number]
+                found = numbers[w]
                 rows += [n] * len(found)
                 columns += found
                 y.append(1 if label and found else 0)
@@ -217,7 +223,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, bar: float = BAR) -> Data
     """doc_id, held_out, score, predicted and the offending spans (start:end in code points) of each row."""
     model = fit(labelled_sample(docs, labels))
     held = F.coalesce(fold("doc_id") == HELD_OUT, F.lit(False))
-    return docs.select("doc_id", "text", held.alias("held_out")).mapInArrow(scorer(model, bar), SCORES)
+    return batched(docs).select("doc_id", "text", held.alias("held_out")).mapInArrow(scorer(model, bar), SCORES)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, bar: float = BAR) -> DataFrame:
@@ -233,7 +239,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, bar: float = BAR) -> DataFram
             keep = [own.score(own.marginals((t or "").lower().split())[1]) < bar for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return batched(docs).mapInArrow(run, docs.schema)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
