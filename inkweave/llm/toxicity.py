@@ -29,7 +29,7 @@ from .tokens import slices
 
 SAMPLE, CLEAN, LONGEST = 700, 1400, 20_000
 HELD_OUT, BAR = 2, 0.3
-LEAST_DOCS, LEAST_ODDS, PLAIN = 4, 25.0, 8
+LEAST_DOCS, LEAST_ODDS, PLAIN = 3, 25.0, 8
 CACHED = 200_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 SCORES = "doc_id bigint, held_out boolean, score double, predicted int, spans string"
