@@ -56,7 +56,7 @@ def shingles(text: str | None, k: int):
         return np.empty(0, dtype=np.uint64)
     h, factors = np.array(list(map(xxh3_64_intdigest, words)), dtype=np.uint64), _numbers(k + 1, 11)
     size = min(k, len(words))
-    out = np.full(len(words) - size + 1, factors[k] * np.uint64(size))
+    out = np.full(len(words) - size + 1, int(factors[k]) * size % 2**64, dtype=np.uint64)
     for i in range(size):
         out += h[i : len(words) - size + 1 + i] * factors[i]
     out ^= out >> np.uint64(32)
