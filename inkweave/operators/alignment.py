@@ -107,7 +107,7 @@ def page_summary(records: DataFrame) -> DataFrame:
     counts = F.map_from_arrays(kinds, F.transform(kinds, lambda t: F.size(F.filter("_t", lambda x: x == t))))
     p = F.col("aligned_lines") / F.greatest(F.lit(1), F.col("hypothesis_span_lines"))
     r = F.col("aligned_lines") / F.greatest(F.lit(1), F.col("reference_span_lines"))
-    return rows.select("page", counts.alias("tiers"), "matched_lines", "poems", *sums, F.bround(p, 4).alias("hypothesis_span_precision"), F.bround(r, 4).alias("reference_span_recall"), F.bround(f1(p, r), 4).alias("span_f1"))
+    return rows.select("page", counts.alias("tiers"), "matched_lines", "poems", *sums, F.bround(p, 4).alias("hypothesis_span_precision"), F.bround(r, 4).alias("reference_span_recall"), F.when(F.col("aligned_lines").isNotNull(), F.bround(f1(p, r), 4)).alias("span_f1"))
 
 
 def ordered(records: DataFrame) -> DataFrame:
