@@ -282,6 +282,8 @@ class _Links:
         self.nodes = stored(mine.select("node", F.col("n_shingles").alias("n"), "registers", "bands").dropDuplicates(["node"]), "nodes")
         rows = self.nodes.select("node", F.explode("bands").alias("band"))
         buckets = rows.groupBy("band").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("members")).where("members > 1")
+        #: A join that reads an aggregate where it was made can't be split for a hot key; one that reads a table can.
+        buckets = stored(buckets, "buckets")
         self.members = stored(rows.join(buckets, "band"), "members")
         #: Compressed texts (node, z) of all that share a bucket.
         shared = self.members.select("node").distinct()
@@ -319,9 +321,10 @@ class _Links:
         """Links (a, b) between components (node, label) that share a bucket."""
         members = self.labelled(self.members.select("band", "node"), labels, "node", "label")
         mixed = members.groupBy("band").agg(F.min("label").alias("_x"), F.max("label").alias("_y")).where("_x <> _y").select("band")
+        mixed = stored(mixed, "mixed")
         open_ = stored(members.join(mixed, "band"), "open")
         left = stored(open_.join(self.linkable(open_.select("node").distinct()), "node", "left_semi"), "left")
-        first = left.groupBy("band").agg(F.min("node").alias("a"))
+        first = stored(left.groupBy("band").agg(F.min("node").alias("a")), "first")
         families = components(left.join(first, "band").select("a", F.col("node").alias("b")).distinct()).withColumnRenamed("label", "family")
         rows = stored(left.select("node", "label").distinct().join(families, "node"), "families")
         parts = rows.groupBy("family", "label").agg(F.count(F.lit(1)).alias("_c")).groupBy("family").agg(F.sum("_c").alias("size"), F.max_by("label", F.struct("_c", "label")).alias("largest"), F.count(F.lit(1)).alias("_k"))

@@ -293,11 +293,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     spark = docs.sparkSession
     found = batched(docs).select("doc_id", "text").mapInArrow(_anchored(length, gram), ANCHORS)
     several = found.groupBy("gram").agg(F.count(F.lit(1)).alias("places")).where("places > 1").select("gram")
-    repeated = stored(found.join(several, "gram", "left_semi"), "anchors")
+    #: A join that reads an aggregate where it was made can't be split for a hot key; one that reads a table can.
+    repeated = stored(found.join(stored(several, "grams"), "gram", "left_semi"), "anchors")
     release(spark)
     contexts = repeated.groupBy("gram", "high", "low").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc", "own", "at")).alias("first"))
     contexts = stored(contexts, "contexts")
     kinds = contexts.groupBy(F.col("gram").alias("g")).agg(F.count(F.lit(1)).alias("kinds"))
+    kinds = stored(kinds, "kinds")
     counted = stored(contexts.join(kinds, F.col("gram") == F.col("g")).where("copies > 1 OR kinds > 1").drop("g"), "counted")
     drop_stored(contexts)
     release(spark)
@@ -315,7 +317,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     texts = docs.select("doc_id", "text").mapInArrow(_compressed, "doc bigint, own int, z binary")
     pieces = texts.join(asked, ["doc", "own"]).mapInArrow(_contexts(length), CONTEXTS)
     many = wanted.where(F.col("kinds") > hot).select("gram").distinct()
-    fetched = stored(pieces.join(wanted.groupBy("gram").agg((F.max("kinds") > hot).alias("hot")), "gram"), "fetched")
+    sizes = stored(wanted.groupBy("gram").agg((F.max("kinds") > hot).alias("hot")), "sizes")
+    fetched = stored(pieces.join(sizes, "gram"), "fetched")
     release(spark)
     columns = ("doc", "own", "at", "gram", "once", "context")
     near = fetched.where("NOT hot").select(*columns).repartition("gram").sortWithinPartitions("gram").mapInArrow(_sorted_groups(length), SPANS)
@@ -323,6 +326,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     if not many.isEmpty():
         windows = fetched.where("hot").select(*columns).mapInArrow(_windows(length), "doc bigint, own int, start bigint, once boolean, high bigint, low bigint")
         twice = windows.groupBy("high", "low").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("high", "low")
+        twice = stored(twice, "twice")
         spans = spans.unionByName(windows.where("once").join(twice, ["high", "low"], "left_semi").select("doc", "own", "start", (F.col("start") + length).alias("stop")))
     return stored(spans, "spans")
 
