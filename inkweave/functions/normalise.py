@@ -19,8 +19,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: White space as Python's str.split() has it.
-BLANK = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+#: White space as Python's str.split() has it; the same as characters.
+BLANK = r"(?U:[\s\x1C-\x1F])"
+BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 # --- fixed values: what the Urdu rules have to be, for results to compare with earlier ones ---
 MARKUP = {"leading_tag": r"^\s*\[[^\]]{0,40}\]\s*", "placeholder": r"\[(?:ILL|BLANK PAGE|PLATE|ORNAMENT)\]", "uncertain": r"\[([^\]]*?)\??\]"}

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.normalise import BLANK
+from ..functions.normalise import BLANK, BLANKS
 from ..functions.text import let
 
 SCHEMA = "local-dictionary-entry-v1"
@@ -58,7 +58,7 @@ def _words(text: Column) -> Column:
 
 
 def _trim(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{BLANK}+|{BLANK}+$", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def valid_head(value: Column) -> Column:

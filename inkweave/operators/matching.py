@@ -15,14 +15,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import jaccard, trigrams
+from ..functions.text import jaccard, let, trigrams
 
 CAP = 3000
 
 
 def with_trigrams(lines: DataFrame, words: Callable[[Column], Column], text: str = "text") -> DataFrame:
-    """Adds words and trigrams, for lines that have any. Dealt out anew first, as one large file is one task."""
-    return lines.withColumn("words", words(F.col(text))).withColumn("grams", trigrams(F.col("words"))).where(F.size("grams") > 0)
+    """Adds words and trigrams, for lines that have any. Both are made once for a line: a plain filter on them would be pushed
+    down, and make them again."""
+    both = let(words(F.col(text)), lambda w: F.struct(w.alias("words"), trigrams(w).alias("grams")))
+    return lines.select("*", F.inline(F.filter(F.array(both), lambda x: F.size(x["grams"]) > 0)))
 
 
 def frequencies(index: DataFrame) -> DataFrame:

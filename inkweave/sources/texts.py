@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.normalise import BLANK
+from ..functions.normalise import BLANKS
 from ..functions.text import base_name, stem
 
 #: Everything that ends a line for Python's splitlines().
@@ -28,7 +28,7 @@ def read_files(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{BLANK}+|{BLANK}+$", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def _lines(texts: DataFrame, key: str, ends: str, keep) -> DataFrame:
