@@ -30,12 +30,16 @@ def batched(docs: DataFrame) -> DataFrame:
     return docs
 
 
+_OWN: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where the session names none."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
-        place = "file://" + tempfile.mkdtemp(prefix="inkweave-")
-        spark.conf.set("spark.checkpoint.dir", place)
+        if not _OWN:
+            _OWN.append("file://" + tempfile.mkdtemp(prefix="inkweave-"))
+        place = _OWN[0]
     return place.rstrip("/")
 
 
