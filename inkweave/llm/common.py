@@ -25,7 +25,8 @@ BATCH_ROWS = 1000
 def batched(docs: DataFrame) -> DataFrame:
     """``docs``, in a session whose Arrow batches are small enough for whole texts."""
     spark = docs.sparkSession
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
+    rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"))
+    if rows <= 0 or rows > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return docs
 
