@@ -6,11 +6,13 @@ Base kinds, leftmost and without overlap per kind, in code points:
 * ``access``: ``AKIA`` and capitals or digits, 20 characters or more;
 * ``hex``: 24 lower-case hexadecimal digits or more.
 
-The method adds ``random``: a run of 20 characters or more from ``[A-Za-z0-9+/_=-]`` that holds a digit, an upper-case
-and a lower-case letter, and gives fewer than ``RATIO`` characters a token under a byte-level BPE vocabulary. A
+The method adds ``random``: a run of 20 characters or more from ``[A-Za-z0-9+/_=-]`` that gives fewer than ``RATIO``
+characters a token under a byte-level BPE vocabulary, or fewer than ``ONE_CASE`` if its letters are of one case. A
 vocabulary learnt from ordinary text spells words and names in long tokens; random strings break up. Known digests
 (hexadecimal runs of any case, UUIDs, base64 of digests behind ``sha256-`` and the like) and identifiers (words joined by ``_ - /`` or
-case changes, with or without a number at the end) are left out, as are parts of URLs and spans that a base kind has.
+case changes, with or without a number at the end) are left out, as are runs without a letter (numbers, dates, rules) and parts of
+URLs. Letters of one case without a joint may be anything, so their tokens decide. Of a run that meets spans of a base kind, the parts
+outside these are tested, each by itself.
 
 Null and empty texts have no spans. Every text is scanned as a whole; rows never meet, so ties and repeated rows can't matter.
 """
@@ -26,7 +28,7 @@ from .common import batched, table
 from .tokens import slices, vocabulary
 
 KINDS = ("assign", "access", "hex", "random")
-LEAST, RATIO = 20, 2.0
+LEAST, RATIO, ONE_CASE = 20, 2.0, 1.8
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _NAMES = re.compile(r"password|passwd|secret|token|api_?key", re.I | re.A)
 #: The least length stands in the patterns: a greedy run that is too short here has no longer one inside it.
@@ -36,6 +38,7 @@ _RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 _DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+|[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}|(?:sha|md)\d+[-_=:][A-Za-z0-9+/=]+)")
 _IDENTIFIER = re.compile(r"[_/-]*(?:[A-Z]*[a-z]{2,}[_/-]*|[A-Z]{2,}[_/-]+)+\d{0,8}[_/=-]*")
 _WORDS = re.compile(r"[A-Za-z]{4,}")
+_UNJOINED = re.compile(r"[a-z]+|[A-Z]+")
 SPANS = "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, n_random bigint, base_sha256 string, spans string"
 _ENCODING: dict[str, object] = {}
 
@@ -58,11 +61,10 @@ def characters_per_token(text: str, encoding) -> float:
 
 
 def looks_random(run: str, encoding, ratio: float = RATIO) -> bool:
-    if not (any("0" <= c <= "9" for c in run) and any("a" <= c <= "z" for c in run) and any("A" <= c <= "Z" for c in run)):
+    lower, upper = any("a" <= c <= "z" for c in run), any("A" <= c <= "Z" for c in run)
+    if not (lower or upper) or _DIGEST.fullmatch(run) or (_IDENTIFIER.fullmatch(run) and not _UNJOINED.fullmatch(run)):
         return False
-    if _DIGEST.fullmatch(run) or _IDENTIFIER.fullmatch(run):
-        return False
-    return characters_per_token(run, encoding) < ratio
+    return characters_per_token(run, encoding) < (ratio if lower and upper else min(ratio, ONE_CASE))
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -75,13 +77,25 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found + [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
 
 
+def _outside(start: int, end: int, base) -> list[tuple[int, int]]:
+    """The parts of a run that no base span covers."""
+    parts = []
+    for s, e in sorted((s, e) for s, _, e in base if s < end and start < e):
+        if start < s:
+            parts.append((start, s))
+        start = max(start, e)
+    return [*parts, (start, end)] if start < end else parts
+
+
 def random_spans(text: str, encoding, base, ratio: float = RATIO) -> list[tuple[int, int, str]]:
     found = []
     for m in _RUN.finditer(text):
         start, end = m.span()
-        if any(s < end and start < e for s, _, e in base) or "://" in text[max(0, start - 3) : start + 3] or not looks_random(m.group(), encoding, ratio):
+        if "://" in text[max(0, start - 3) : start + 3] or _DIGEST.fullmatch(m.group()):
             continue
-        found.append((start, 3, end))
+        for s, e in _outside(start, end, base):
+            if e - s >= LEAST and looks_random(text[s:e], encoding, ratio):
+                found.append((s, 3, e))
     return found
 
 
