@@ -44,6 +44,49 @@ def sequence_distance(a: Column, b: Column) -> Column:
     return let(F.struct(a.alias("a"), b.alias("b"), F.array_distinct(F.concat(a, b)).alias("known")), lambda x: F.levenshtein(_coded(x["a"], x["known"]), _coded(x["b"], x["known"])))
 
 
+def levenshtein(a, b) -> int:
+    """Edit distance of two strings or lists, exact: a column of the table as the bits of one integer (Myers, Hyyrö), so that whole
+    texts take a pass over the shorter one."""
+    if a == b:
+        return 0
+    pattern, text = (a, b) if len(a) >= len(b) else (b, a)
+    if not text:
+        return len(pattern)
+    at, score = {}, len(pattern)
+    for i, x in enumerate(pattern):
+        at.setdefault(x, []).append(i)
+    masks, every, last = {}, (1 << score) - 1, 1 << (score - 1)
+    for x in set(text) & at.keys():
+        bits = bytearray(score // 8 + 1)
+        for i in at[x]:
+            bits[i >> 3] |= 1 << (i & 7)
+        masks[x] = int.from_bytes(bits, "little")
+    up, down = every, 0
+    for x in text:
+        equal = masks.get(x, 0)
+        across = (((equal & up) + up) ^ up) | equal
+        more, less = (down | ~(across | up)) & every, up & across
+        if more & last:
+            score += 1
+        elif less & last:
+            score -= 1
+        more, equal = (more << 1) | 1, equal | down
+        up, down = ((less << 1) | ~(equal | more)) & every, more & equal & every
+    return score
+
+
+def edit_distance(a: Column, b: Column) -> Column:
+    """:func:`levenshtein` of two columns of strings or of arrays, for texts too long for the JVM's, which fills the whole table."""
+
+    @F.arrow_udf("int")
+    def of(x, y):
+        import pyarrow as pa
+
+        return pa.array([None if h is None or r is None else levenshtein(h, r) for h, r in zip(x.to_pylist(), y.to_pylist())], pa.int32())
+
+    return of(a, b)
+
+
 def increasing_length(values: Column) -> Column:
     """Length of the longest strictly increasing subsequence: tails[k] is the least end of one of length k + 1."""
     start = F.array().cast("array<bigint>")

@@ -8,20 +8,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import cer, sequence_distance, upper_quantile
+from ..functions.text import edit_distance, upper_quantile
 
 
 def _spaced(words: str):
     return F.array_join(words, " ")
 
 
+def _cer(hyp, ref):
+    """As ``cer``, of texts of any length."""
+    longest = F.greatest(F.length(hyp), F.length(ref))
+    return F.when(longest == 0, F.lit(0.0)).otherwise(edit_distance(hyp, ref) / longest)
+
+
 def best_offset(hyp: DataFrame, ref: DataFrame, key: str = "page") -> DataFrame:
     """key, offset, mean_cer: where in the reading the whole reference fits best, by the mean error of its lines; the first of equal
     ones. No row where the reading is shorter."""
     sizes = hyp.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).join(ref.groupBy(key).agg(F.count(F.lit(1)).alias("_m")), key)
     starts = sizes.where("_m > 0 AND _n >= _m").select(key, F.explode(F.sequence(F.lit(0), (F.col("_n") - F.col("_m")).cast("int"))).alias("offset"))
     lines = ref.select(key, F.col("line").alias("_i"), _spaced("words").alias("_r")).join(starts, key).withColumn("line", F.col("_i") + F.col("offset"))
-    scored = lines.join(hyp.select(key, "line", _spaced("words").alias("_h")), [key, "line"]).groupBy(key, "offset").agg(F.avg(cer(F.col("_h"), F.col("_r"))).alias("mean_cer"))
+    scored = lines.join(hyp.select(key, "line", _spaced("words").alias("_h")), [key, "line"])
+    scored = scored.withColumn("_c", _cer(F.col("_h"), F.col("_r"))).groupBy(key, "offset").agg(F.avg("_c").alias("mean_cer"))
     return scored.groupBy(key).agg(F.min_by(F.struct("offset", "mean_cer"), F.struct("mean_cer", "offset")).alias("_b")).select(key, "_b.*")
 
 
@@ -32,13 +39,13 @@ def paired(hyp: DataFrame, ref: DataFrame, key: str = "page") -> DataFrame:
 
 def pair_rates(pairs: DataFrame, key: str = "page") -> DataFrame:
     """Of each key: lines, exact lines, word error rate (edits by reference words) and character error without spaces."""
-    rows = pairs.groupBy(key).agg(
+    rows = pairs.withColumn("_d", edit_distance(F.col("hyp"), F.col("ref"))).groupBy(key).agg(
         F.count(F.lit(1)).alias("lines"), F.count(F.when(F.col("hyp") == F.col("ref"), 1)).alias("exact_lines"),
-        F.sum(sequence_distance(F.col("hyp"), F.col("ref"))).alias("word_edits"), F.sum(F.size("ref")).alias("ref_words"),
+        F.sum("_d").alias("word_edits"), F.sum(F.size("ref")).alias("ref_words"),
         F.array_sort(F.collect_list(F.struct("line", F.array_join("hyp", "").alias("h"), F.array_join("ref", "").alias("r")))).alias("_p"),
     )
     side = lambda x: F.array_join(F.transform("_p", lambda p: p[x]), "")
-    return rows.select(key, "lines", "exact_lines", "word_edits", "ref_words", (F.col("word_edits") / F.greatest(F.lit(1), F.col("ref_words"))).alias("wer"), cer(side("h"), side("r")).alias("spaceless_cer"))
+    return rows.select(key, "lines", "exact_lines", "word_edits", "ref_words", (F.col("word_edits") / F.greatest(F.lit(1), F.col("ref_words"))).alias("wer"), _cer(side("h"), side("r")).alias("spaceless_cer"))
 
 
 def prose_rates(hyp: DataFrame, ref: DataFrame, key: str = "page") -> DataFrame:
@@ -52,9 +59,9 @@ def prose_rates(hyp: DataFrame, ref: DataFrame, key: str = "page") -> DataFrame:
     rows = whole(hyp, "hyp").join(whole(ref, "ref"), key)
     folded = [F.array_join(f"{s}_words", "") for s in ("hyp", "ref")]
     distances = {
-        "token": (sequence_distance(F.col("hyp_words"), F.col("ref_words")), F.size("ref_words")),
-        "folded_character": (F.levenshtein(*folded), F.length(folded[1])),
-        "strict_character": (F.levenshtein(F.col("hyp_strict"), F.col("ref_strict")), F.length("ref_strict")),
+        "token": (edit_distance(F.col("hyp_words"), F.col("ref_words")), F.size("ref_words")),
+        "folded_character": (edit_distance(*folded), F.length(folded[1])),
+        "strict_character": (edit_distance(F.col("hyp_strict"), F.col("ref_strict")), F.length("ref_strict")),
     }
     out = [key, "hyp_lines", "ref_lines", F.size("hyp_words").alias("hyp_tokens"), F.size("ref_words").alias("ref_tokens")]
     for name, (distance, size) in distances.items():
@@ -65,7 +72,7 @@ def prose_rates(hyp: DataFrame, ref: DataFrame, key: str = "page") -> DataFrame:
 def compare_sources(left: DataFrame, right: DataFrame, key: str = "slug") -> DataFrame:
     """key, line counts and character error of texts that two sources have: (key, lines, words)."""
     other = right.select(key, F.col("lines").alias("other_lines"), F.col("words").alias("_w"))
-    return left.join(other, key).select(key, "lines", "other_lines", cer(_spaced("words"), _spaced("_w")).alias("cer"))
+    return left.join(other, key).select(key, "lines", "other_lines", _cer(_spaced("words"), _spaced("_w")).alias("cer"))
 
 
 def comparison_totals(rows: DataFrame) -> DataFrame:

@@ -150,9 +150,12 @@ def idf_overlap(spark, sf_dir):
     return matching.idf_overlap(query, index).select("page", "poem_id", F.round("weight", 6).alias("weight"))
 
 
-def _ascii_lines(spark, sf_dir, most=40):
-    rows = _sentences(read(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", "text"), "doc_id", "page", "line").where(f"line < {most}")
-    return rows.where(~F.col("text").rlike(r"[^\x00-\x7F]")).withColumn("words", words(F.col("text"))).where(F.size("words").between(1, 40))
+def _lines(spark, sf_dir):
+    """page, line, text, words of all sentences that have a word, numbered without gaps; kept, as every use would fold them anew."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text").where("text IS NOT NULL").repartition("doc_id")
+    parts = F.transform(F.transform(F.split("text", r"[.\n]+"), texts.strip), lambda x: F.struct(x.alias("text"), words(x).alias("words")))
+    kept = docs.select(F.col("doc_id").alias("page"), F.posexplode(F.filter(parts, lambda x: F.size(x["words"]) > 0)).alias("line", "_l"))
+    return kept.select("page", "line", "_l.*").persist()
 
 
 def _damaged(lines):
@@ -160,30 +163,28 @@ def _damaged(lines):
 
 
 def best_offset(spark, sf_dir):
-    lines = _ascii_lines(spark, sf_dir, 12)
-    ref = _damaged(lines.where("line BETWEEN 2 AND 4")).withColumn("line", F.col("line") - 2)
-    complete = ref.groupBy("page").agg(F.count(F.lit(1)).alias("_n")).where("_n = 3")
-    ref = ref.join(complete, "page", "left_semi")
+    lines = _lines(spark, sf_dir)
+    ref = _damaged(lines.where("line >= 2")).withColumn("line", F.col("line") - 2)
     return scoring.best_offset(lines, ref).select("page", "offset", F.round("mean_cer", 9).alias("mean_cer"))
 
 
 def pair_rates(spark, sf_dir):
-    lines = _ascii_lines(spark, sf_dir)
+    lines = _lines(spark, sf_dir)
     rates = scoring.pair_rates(scoring.paired(lines, _damaged(lines)))
     return rates.select("page", "lines", "exact_lines", "word_edits", "ref_words", F.round("wer", 9).alias("wer"), F.round("spaceless_cer", 9).alias("spaceless_cer"))
 
 
 def prose_rates(spark, sf_dir):
-    lines = _ascii_lines(spark, sf_dir, 6)
+    lines = _lines(spark, sf_dir)
     strict = F.filter(F.split("text", " "), lambda x: x != "")
     rates = scoring.prose_rates(lines.withColumn("strict", strict), _damaged(lines).withColumn("strict", strict))
     return rates.select("page", "hyp_lines", "ref_lines", "hyp_tokens", "ref_tokens", "folded_character_distance", F.round("folded_character_error_rate", 9).alias("folded_character_error_rate"), "strict_character_distance")
 
 
 def compare_sources(spark, sf_dir):
-    lines = _ascii_lines(spark, sf_dir, 4)
+    lines = _lines(spark, sf_dir)
     whole = lambda df: df.groupBy(F.col("page").alias("slug")).agg(F.count(F.lit(1)).alias("lines"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("line", "words"))), lambda x: x["words"])).alias("words"))
-    return scoring.comparison_totals(scoring.compare_sources(whole(lines), whole(_damaged(lines.where("line < 3")))))
+    return scoring.comparison_totals(scoring.compare_sources(whole(lines), whole(_damaged(lines))))
 
 
 def _rhymes(spark, sf_dir):
