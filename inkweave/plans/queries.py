@@ -188,7 +188,7 @@ def compare_sources(spark, sf_dir):
 
 
 def _rhymes(spark, sf_dir):
-    lines = _sentences(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "gid", "line").where("line < 10")
+    lines = _sentences(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "gid", "line")
     tail = F.when(F.col("line") % 2 == 1, F.concat(F.col("text"), F.lit(" of "), F.when(F.col("gid") % 5 == 0, F.lit("the ")).otherwise(F.lit("")), F.col("gid") % 7)).otherwise(F.col("text"))
     rows = lines.groupBy("gid").agg(F.transform(F.array_sort(F.collect_list(F.struct("line", tail.alias("t")))), lambda x: x["t"]).alias("t"))
     return evaluation.with_refrain(rows.select("gid", (F.col("gid") % 11).alias("poet"), F.transform("t", lambda x: F.filter(F.split(F.lower(x), "[^a-z0-9]+"), lambda w: w != "")).alias("lines")))

@@ -67,3 +67,12 @@ def test_rates_of_all_languages_and_lines(spark, write):
 @given(st.text("abé😀", max_size=40), st.text("abé😀", max_size=40))
 def test_edit_distance(a, b):
     assert levenshtein(a, b) == levenshtein(list(a), list(b)) == distance(a, b)
+
+
+def test_refrains_hold_for_all_lines(spark, write):
+    shared = [f"verse {k} moon" for k in range(14)]
+    texts = {1: shared, 2: [*shared[:11], "verse 11 sun", *shared[12:]], 8: shared[:8]}
+    folder = write("documents", [(i, ".".join(t)) for i, t in texts.items()], "doc_id bigint, text string")
+    assert {r.gid: r.radif for r in queries.refrains(spark, folder).collect()} == {1: "moon of 1", 2: "of 2", 8: "moon of 1"}
+    assert {(r.radif, r.members, r.poets) for r in queries.refrain_families(spark, folder).collect()} == {("moon of 1", 2, 2), ("of 2", 1, 1)}
+    assert queries.refrain_share(spark, folder).first().n == 7 + 7 + 4
