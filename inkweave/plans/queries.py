@@ -136,7 +136,7 @@ def line_votes(spark, sf_dir):
 
 def restricted_votes(spark, sf_dir):
     query, index = both(spark, sf_dir)
-    allowed = query.select("page").distinct().join(index.select("poem_id").distinct(), F.col("page") % 4 == F.col("poem_id") % 4)
+    allowed = matching.shared_rare_words(query, index)
     return matching.line_votes(query, index, allowed, cap=CAP).select("page", "poem_id", F.round("votes", 6).alias("votes"))
 
 
@@ -236,7 +236,7 @@ def retrieval_report(spark, sf_dir):
 
 
 def increasing_runs(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select("source", "doc_id", "n_chars").where("doc_id < 40 * 20")
+    docs = read(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
     rows = docs.groupBy("source").agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "n_chars"))), lambda x: x["n_chars"]).alias("v"))
     return rows.select("source", increasing_length(F.col("v")).alias("longest"), F.size("v").alias("n"))
 
@@ -272,7 +272,7 @@ def page_alignment(spark, sf_dir):
 
 
 def _listing(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 30).alias("t"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("t"))
     k, page = F.col("doc_id") % 10, F.concat(F.lit("p"), "doc_id")
     record = lambda finish, t: F.to_json(F.struct(F.lit(finish).alias("finish"), t.alias("text")))
     some = lambda when, end, content: F.when(when, F.struct(F.concat(page, F.lit(end)).alias("path"), content.alias("content")))

@@ -76,3 +76,20 @@ def test_refrains_hold_for_all_lines(spark, write):
     assert {r.gid: r.radif for r in queries.refrains(spark, folder).collect()} == {1: "moon of 1", 2: "of 2", 8: "moon of 1"}
     assert {(r.radif, r.members, r.poets) for r in queries.refrain_families(spark, folder).collect()} == {("moon of 1", 2, 2), ("of 2", 1, 1)}
     assert queries.refrain_share(spark, folder).first().n == 7 + 7 + 4
+
+
+def test_runs_of_all_documents(spark, write):
+    folder = write("documents", [("a", i, i) for i in range(790, 830)] + [("b", 5000, 1)], "source string, doc_id bigint, n_chars bigint")
+    assert sorted(tuple(r) for r in queries.increasing_runs(spark, folder).collect()) == [("a", 40, 40), ("b", 1, 1)]
+
+
+def test_states_by_the_whole_text(spark, write):
+    folder = write("documents", [(0, " " * 40 + "end"), (1, "other" + " " * 30 + "end"), (11, "other"), (2, "x" * 50)], "doc_id bigint, text string")
+    assert {r.page: r.state for r in queries.page_states(spark, folder).collect()} == {"p0": "complete", "p1": "edited", "p11": "complete", "p2": "unrecorded"}
+    assert {r.state: r.pages for r in queries.state_counts(spark, folder).collect() if r.pages} == {"complete": 2, "edited": 1, "unrecorded": 1}
+
+
+def test_votes_of_candidates_with_a_rare_word(spark, write):
+    folder = write("documents", [(1, "the quiet lantern burns beside the water"), (2, "aa bb cc dd ee")], "doc_id bigint, text string")
+    write("benchmark", [(2, "the quiet lantern burns beside the water"), (4, "aab bbc ccd dde ee")], "item_id bigint, text string")
+    assert [tuple(r) for r in queries.restricted_votes(spark, folder).collect()] == [(1, 2, 1.0)]
