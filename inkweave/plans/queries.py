@@ -15,8 +15,8 @@ from ..operators import alignment, dictionary, discovery, evaluation, html, mani
 from ..sources import references as refs
 from ..sources import texts
 
-#: Trigrams that more reference lines have are left out of a query line: of the few lines of ``benchmark`` a few dozen.
-CAP = 60
+#: A trigram of more reference lines than this counts as hot in ``gram_frequencies``. Matching has the operator's own cap.
+HOT = 60
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,7 +49,7 @@ def both(spark, sf_dir):
 
 def records(spark, sf_dir):
     query, index = both(spark, sf_dir)
-    return alignment.align(query, index, cap=CAP), query, index
+    return alignment.align(query, index), query, index
 
 
 def scan_verse(spark, sf_dir):
@@ -93,12 +93,12 @@ def word_frequencies(spark, sf_dir):
 
 
 def gram_frequencies(spark, sf_dir):
-    return matching.frequencies(poems(spark, sf_dir)).withColumn("is_hot", F.col("df") > CAP)
+    return matching.frequencies(poems(spark, sf_dir)).withColumn("is_hot", F.col("df") > HOT)
 
 
 def match_lines(spark, sf_dir):
     query, index = both(spark, sf_dir)
-    return matching.best_matches(query, index, cap=CAP)
+    return matching.best_matches(query, index)
 
 
 def align(spark, sf_dir):
@@ -121,23 +121,23 @@ def align_pages(spark, sf_dir):
 def negative_control(spark, sf_dir):
     found, query, index = records(spark, sf_dir)
     truth = found.where("tier = 'gold'").select("page", "poem_id").persist()
-    return alignment.control_rates(alignment.control(query, index, truth, cap=CAP), truth)
+    return alignment.control_rates(alignment.control(query, index, truth), truth)
 
 
 def discover_gaps(spark, sf_dir):
     found, query, index = records(spark, sf_dir)
-    return discovery.discover(found.persist(), query, index, cap=CAP).select("page", "poem_id", "line", "verse", "jaccard", "is_global_top", "exclusion")
+    return discovery.discover(found.persist(), query, index).select("page", "poem_id", "line", "verse", "jaccard", "is_global_top", "exclusion")
 
 
 def line_votes(spark, sf_dir):
     query, index = both(spark, sf_dir)
-    return matching.ranked(matching.line_votes(query, index, cap=CAP), "votes").select("page", "poem_id", F.round("votes", 6).alias("votes"), "rank")
+    return matching.ranked(matching.line_votes(query, index), "votes").select("page", "poem_id", F.round("votes", 6).alias("votes"), "rank")
 
 
 def restricted_votes(spark, sf_dir):
     query, index = both(spark, sf_dir)
     allowed = matching.shared_rare_words(query, index)
-    return matching.line_votes(query, index, allowed, cap=CAP).select("page", "poem_id", F.round("votes", 6).alias("votes"))
+    return matching.line_votes(query, index, allowed).select("page", "poem_id", F.round("votes", 6).alias("votes"))
 
 
 def rare_words(spark, sf_dir):
@@ -229,7 +229,7 @@ def rising_steps(spark, sf_dir):
 
 def retrieval_report(spark, sf_dir):
     query, index = both(spark, sf_dir)
-    scores = matching.line_votes(query, index, cap=CAP).persist()
+    scores = matching.line_votes(query, index).persist()
     truth = scores.groupBy("page").agg(F.min("poem_id").alias("poem_id"))
     none = index.select("poem_id", F.array().cast("array<string>").alias("radif")).distinct()
     return evaluation.retrieval_report(scores, truth, none).drop("margin_median")

@@ -93,3 +93,9 @@ def test_votes_of_candidates_with_a_rare_word(spark, write):
     folder = write("documents", [(1, "the quiet lantern burns beside the water"), (2, "aa bb cc dd ee")], "doc_id bigint, text string")
     write("benchmark", [(2, "the quiet lantern burns beside the water"), (4, "aab bbc ccd dde ee")], "item_id bigint, text string")
     assert [tuple(r) for r in queries.restricted_votes(spark, folder).collect()] == [(1, 2, 1.0)]
+
+
+def test_trigrams_of_many_reference_lines_still_match(spark, write):
+    folder = write("documents", [(1, "the quiet lantern burns")], "doc_id bigint, text string")
+    write("benchmark", [(i, "the quiet lantern burns") for i in range(70)], "item_id bigint, text string")
+    assert [tuple(r) for r in queries.match_lines(spark, folder).collect()] == [(1, 0, 0, 0, 1.0)]
