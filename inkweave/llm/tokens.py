@@ -3,13 +3,15 @@
 Both vocabularies split a text at white space before any merge, and between letters and the stops behind them, so
 a text's ids are its pieces' ids one after the other. :class:`ByteIds` relies on that only between single spaces
 and line feeds that stand between other characters, :class:`WordIds` wherever white space as the tokenizer defines
-it stands; any other text is encoded as a whole. Ids are little-endian unsigned 32-bit bytes.
+it stands; any other text is encoded as a whole. So is a text that holds the string of a special token, which gives that
+token's id as the library does, unless ``plain`` makes such strings ordinary text. Ids are little-endian unsigned 32-bit bytes.
 """
 
 from __future__ import annotations
 
 import gc
 import os
+import re
 import sys
 from array import array
 
@@ -45,6 +47,8 @@ def _classes() -> bytes:
 
 
 _CLASS, _SPACE = _classes(), ord("s")
+#: White space other than spaces and line feeds, and these two where they don't stand alone between other characters.
+_ODD_SPACE = re.compile(r"[^\S \n]|[ \n]{2}|\A[ \n]|[ \n]\Z|\0")
 
 
 def _kinds(text: str) -> bytes | None:
@@ -70,12 +74,15 @@ def _parts(ids: list[int], starts, ends) -> list[bytes]:
 
 
 class _Ids:
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = plain
+        #: Strings that are one token wherever they stand. Pieces may be lower-cased, so texts are searched in lower case.
+        self.special = [] if plain else [str(t.content).lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.hints = {t[:2] for t in self.special}
         self.cache: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
@@ -121,11 +128,14 @@ class _Ids:
             if collects:
                 gc.enable()
 
+    def _has_special(self, text: str) -> bool:
+        return any(t in text for t in self.hints) and any(t in text.lower() for t in self.special)
+
     def _ids(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
         words, odd, seen = {}, [], set()
         for i, text in enumerate(texts):
-            if (pieces := self._pieces(text)) is None:
+            if self._has_special(text) or (pieces := self._pieces(text)) is None:
                 odd.append(i)
             else:
                 words[i] = pieces
@@ -170,9 +180,7 @@ class ByteIds(_Ids):
         if not text:
             return []
         if (kinds := _kinds(text)) is None:
-            if text[0].isspace() or text[-1].isspace() or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or "\0" in text:
-                return None
-            if len(text.split()) != text.count(" ") + text.count("\n") + 1:
+            if _ODD_SPACE.search(text):
                 return None
         elif kinds[0] == _SPACE or kinds[-1] == _SPACE or b"ss" in kinds or b"w" in kinds or b"0" in kinds:
             return None
@@ -218,11 +226,11 @@ class WordIds(_Ids):
 _LOADED: dict[tuple, _Ids] = {}
 
 
-def encoder(kind: type, path: str) -> _Ids:
+def encoder(kind: type, path: str, plain: bool = False) -> _Ids:
     """One per worker process, kept between tasks."""
-    if (kind, path) not in _LOADED:
-        _LOADED[kind, path] = kind(path)
-    return _LOADED[kind, path]
+    if (kind, path, plain) not in _LOADED:
+        _LOADED[kind, path, plain] = kind(path, plain)
+    return _LOADED[kind, path, plain]
 
 
 def slices(batch, size: int = 4_000_000, rows: int = 1024):

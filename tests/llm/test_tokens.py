@@ -4,8 +4,9 @@ import zlib
 
 import numpy as np
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from inkweave.llm.packing import Packer, op9_packing
 from inkweave.llm.tokenbin import Shard, compress, op6_token_binary, write_shard
@@ -17,18 +18,51 @@ DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint,
 BYTES, WORDS = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 
+#: The library's tokenizers as they are loaded, with nothing set.
+LIBRARY = {name: Tokenizer.from_file(vocabulary(name)) for name in (BYTES, WORDS)}
+
+
 def plain(name, text):
-    t = encoder(ByteIds if name == BYTES else WordIds, vocabulary(name)).tokenizer
-    return t.encode(text, add_special_tokens=False).ids
+    return LIBRARY[name].encode(text, add_special_tokens=False).ids
+
 
+PARTS = [*"ab'sT 1\n\t\r\x1c\x85\xa0é.!<|>Σ́😀,_²Ł\0“”’\u1680\u2003\u2028\u202f\u3000\u200b\u180e\ufeffДか가İſK", "  ", ",\n\xa0\xa0", "<|endoftext|>", "<|EndOfText|>", "<|startoftext|>", "word", "l’été"]
 
-@settings(max_examples=1500, deadline=None)
-@given(st.text(alphabet=st.sampled_from("ab'sT 1\n\t\x1c\x85\xa0é.!<|>Σ́😀,_²Ł\0"), max_size=40))
+
+@settings(max_examples=3000, deadline=None)
+@given(st.lists(st.sampled_from(PARTS), max_size=30).map("".join))
+@example("Ł\n\xa0\x851")
+@example("“Да”,\n\xa0\xa0сказал")
+@example("l’été\n\xa0\xa0suite")
+@example("x<|endoftext|>y")
+@example("x <|ENDOFTEXT|> y")
 def test_cached_words_give_the_librarys_ids(text):
     for kind, name in ((ByteIds, BYTES), (WordIds, WORDS)):
         assert encoder(kind, vocabulary(name))([text, text + "x", "y z"])[0] == packed(plain(name, text))
 
 
+@settings(max_examples=500, deadline=None)
+@given(st.text(max_size=60))
+def test_any_text_gives_the_librarys_ids(text):
+    text = text.encode("utf-8", "replace").decode()
+    for kind, name in ((ByteIds, BYTES), (WordIds, WORDS)):
+        assert encoder(kind, vocabulary(name))([text])[0] == packed(plain(name, text))
+
+
+def test_special_strings_as_ordinary_text():
+    own = Tokenizer.from_file(vocabulary(BYTES))
+    own.encode_special_tokens = True
+    for text in ("x<|endoftext|>y", "a <|endoftext|> b", "plain text"):
+        assert encoder(ByteIds, vocabulary(BYTES), True)([text])[0] == packed(own.encode(text, add_special_tokens=False).ids)
+    assert len(plain(BYTES, "x<|endoftext|>y")) == 3
+
+
+def test_long_texts_give_the_librarys_ids():
+    for text in ("a word or two, and a stop. " * 60_000, "Ł’été\n\xa0\xa0suite " * 40_000, "x" * 200_000):
+        for kind, name in ((ByteIds, BYTES), (WordIds, WORDS)):
+            assert encoder(kind, vocabulary(name))([text])[0] == packed(plain(name, text))
+
+
 @pytest.fixture
 def docs(write):
     texts = [*ODD, "word " * 5000, *[f"number {i} of many small documents" for i in range(300)]]
