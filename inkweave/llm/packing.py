@@ -1,14 +1,21 @@
-"""Packing: vector bin packing by the dot-product heuristic, under limits on tokens, segments and loss tokens.
+"""Packing: vector bin packing by the dot-product heuristic, under limits on tokens, segments and loss-bearing tokens.
+
+Loss-bearing tokens are those that training learns from. In a document the first ``PROMPT`` ids are read only, as a prompt is, and the
+others bear loss (:func:`pack_documents`); in a conversation the turns of the assistant bear loss, each with its end id, and all others
+don't (:func:`pack_conversations`). A sequence holds at most ``LENGTH`` tokens, ``SEGMENTS`` pieces and ``LOSS`` loss-bearing tokens, so that
+no sequence weighs much more than another in a step's loss. Long texts, nearly all loss, meet the third limit before the first, and what is
+left of their sequences is filled with pieces that bear little.
 
 Each partition packs what it reads, without a shuffle: a sequence never needs documents of another partition, and
-a partition leaves one sequence at most that isn't full. A document's ids are cut at the sequence length; whole
-chunks fill sequences of their own. What remains of the documents is packed bin by bin: of the pieces that fit
+a partition leaves one sequence at most that isn't full. A document is cut where it reaches a limit; chunks that are as long as a sequence
+fill one of their own. What remains is packed bin by bin: of the pieces that fit
 under all limits, the next is one with the largest dot product of its (tokens, segments, loss tokens), each divided
-by its limit, with what the bin still has of each. If none fits and more than ``waste`` tokens are free, the
-next piece is cut to fill the bin. A window of ``WINDOW`` ids is packed at a time, so memory doesn't follow the partition.
+by its limit, with what the bin still has of each. If none fits and more than ``waste`` tokens are free, a
+piece is cut to fill the bin as far as both limits allow. A window of ``WINDOW`` ids is packed at a time, so memory doesn't follow the partition.
 
 Sequence ids are the partition's number and a count, so a task that runs again on the same rows gives the same ids.
-Null texts are empty documents: their end id alone. Ties, repeated rows and repeated doc_ids are separate documents.
+Null texts are empty documents: their end id alone. Ties, repeated rows and repeated doc_ids are separate documents. A null turn is an empty
+one; turns of equal number go by role and text; rows without a conversation are one, that of null.
 """
 
 from __future__ import annotations
@@ -17,18 +24,20 @@ import zlib
 from collections import deque
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import batched, table
 from .tokens import WordIds, encoder, slices, vocabulary
 
 LENGTH, SEGMENTS, WASTE = 2048, 256, 16
+PROMPT, LOSS = 32, 2016
 WINDOW = 2_000_000
-PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
+PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, loss_tokens bigint"
 
 
 class Packer:
-    """Packs pieces (tokens, loss, item) of fewer than ``length`` tokens. ``cut(item, n)`` gives an item's first n
-    tokens and the rest, as two (tokens, loss, item)."""
+    """Packs pieces (tokens, loss, item). ``cut(item, n)`` gives an item's first n tokens and the rest, as two (tokens, loss, item); items
+    that can be cut have the tokens that bear no loss before the others."""
 
     def __init__(self, length: int = LENGTH, segments: int = SEGMENTS, loss: int | None = None, waste: int = WASTE, cut=None):
         self.limits = (length, segments, length if loss is None else loss)
@@ -87,72 +96,137 @@ class Packer:
                     gone(key)
                     free, places, bearing = free - key[0], places - 1, bearing - key[1]
                     continue
-                if self.cut and free > self.waste and self.kinds and bearing >= free:
-                    key = keys[int(np.argmax(open_))]
-                    item = self._take(key)
-                    gone(key)
-                    head, tail = self.cut(item, free)
-                    bin_.append(head)
-                    rest.append(tail)
+                if self.cut and free > self.waste and self.kinds:
+                    #: How many of a piece's first tokens both limits allow. None is as long as the piece: that would fit.
+                    first = np.where(open_, np.minimum(free, bearing + tokens - loss), -1)
+                    key = keys[int(np.argmax(first))]
+                    n = int(first.max())
+                    if n > self.waste:
+                        item = self._take(key)
+                        gone(key)
+                        head, tail = self.cut(item, n)
+                        bin_.append(head)
+                        rest.append(tail)
                 break
             yield bin_
 
 
-def _cut(item, n: int):
-    doc, start, ids, total = item
-    head, tail = (doc, start, ids[: 4 * n], total), (doc, start + n, ids[4 * n :], total)
-    return (n, n, head), (len(tail[2]) // 4, len(tail[2]) // 4, tail)
+def _piece(doc, start: int, ids: bytes, total: int, prompt: int) -> tuple:
+    """(tokens, loss, item) of a document's ids from ``start`` on."""
+    n = len(ids) // 4
+    return n, n - min(n, max(0, prompt - start)), (doc, start, ids, total)
 
 
-def packer(path: str, end: int, length: int, segments: int, waste: int):
-    """The function for mapInArrow over (doc_id, text)."""
+def _cutter(prompt: int):
+    def cut(item, n: int):
+        doc, start, ids, total = item
+        return _piece(doc, start, ids[: 4 * n], total, prompt), _piece(doc, start + n, ids[4 * n :], total, prompt)
 
-    def run(batches):
-        import pyarrow as pa
+    return cut
+
+
+class _Rows:
+    """Rows of PIECES for the sequences that have been packed."""
+
+    NAMES = [x.split()[0] for x in PIECES.split(", ")]
+
+    def __init__(self):
         from pyspark import TaskContext
 
+        self.first, self.count, self.rows = TaskContext.get().partitionId() << 40, 0, []
+
+    def place(self, bin_) -> None:
+        offset = 0
+        for n, loss, (doc, start, ids, total) in bin_:
+            self.rows.append((doc, start, n, zlib.crc32(ids), total, self.first + self.count, offset, loss))
+            offset += n
+        self.count += 1
+
+    def batch(self):
+        import pyarrow as pa
+
+        out = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*self.rows) if self.rows else [[]] * len(self.NAMES))], names=self.NAMES)
+        self.rows = []
+        return out
+
+
+def packer(path: str, end: int, length: int, segments: int, waste: int, prompt: int, most: int):
+    """The function for mapInArrow over (doc_id, text)."""
+
+    def run(batches):
         encode, tail = encoder(WordIds, path), end.to_bytes(4, "little")
-        first, count = TaskContext.get().partitionId() << 40, 0
-        pack = Packer(length, segments, None, waste, _cut)
-        rows: list[tuple] = []
-        names = [x.split()[0] for x in PIECES.split(", ")]
-
-        def place(bin_):
-            nonlocal count
-            offset = 0
-            for n, _, (doc, start, ids, total) in bin_:
-                rows.append((doc, start, n, zlib.crc32(ids), total, first + count, offset))
-                offset += n
-            count += 1
+        pack, out = Packer(length, segments, most, waste, _cutter(prompt)), _Rows()
 
         def flush(last: bool):
             for bin_ in pack.bins(last):
-                place(bin_)
-            out = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * len(names))], names=names)
-            rows.clear()
-            return out
+                out.place(bin_)
+            return out.batch()
 
         for batch in batches:
             for part in slices(batch):
                 docs, texts = part.column("doc_id").to_pylist(), [x or "" for x in part.column("text").to_pylist()]
                 for doc, ids in zip(docs, encode(texts)):
                     ids += tail
-                    total = len(ids) // 4
-                    whole = total - total % length
-                    for start in range(0, whole, length):
-                        place([(length, length, (doc, start, ids[4 * start : 4 * (start + length)], total))])
-                    if whole < total:
-                        pack.add(total - whole, total - whole, (doc, whole, ids[4 * whole :], total))
-                if pack.held >= WINDOW or len(rows) >= 100_000:
+                    total, start = len(ids) // 4, 0
+                    while start < total:
+                        n = min(length, max(0, prompt - start) + most, total - start)
+                        piece = _piece(doc, start, ids[4 * start : 4 * (start + n)], total, prompt)
+                        out.place([piece]) if n == length else pack.add(*piece)
+                        start += n
+                if pack.held >= WINDOW or len(out.rows) >= 100_000:
                     yield flush(False)
         yield flush(True)
 
     return run
 
 
-def pack_documents(docs: DataFrame, path: str, end: int = 1, length: int = LENGTH, segments: int = SEGMENTS, waste: int = WASTE) -> DataFrame:
-    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    return batched(docs).select("doc_id", "text").mapInArrow(packer(path, end, length, segments, waste), PIECES)
+def pack_documents(docs: DataFrame, path: str, end: int = 1, length: int = LENGTH, segments: int = SEGMENTS, waste: int = WASTE, prompt: int = PROMPT, loss: int = LOSS) -> DataFrame:
+    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens."""
+    if not 0 < loss <= length or prompt < 0:
+        raise ValueError("loss has to be from 1 to length, and prompt not negative")
+    return batched(docs).select("doc_id", "text").mapInArrow(packer(path, end, length, segments, waste, prompt, loss), PIECES)
+
+
+def _talk_packer(path: str, end: int, length: int, segments: int, most: int, bearing: str):
+    """The function for mapInArrow over (doc_id, turns: array of (role, text))."""
+
+    def run(batches):
+        encode, tail = encoder(WordIds, path), end.to_bytes(4, "little")
+        pack, out = Packer(length, segments, most), _Rows()
+        for batch in batches:
+            for doc, turns in zip(batch.column("doc_id").to_pylist(), batch.column("turns").to_pylist()):
+                parts = [(x + tail, t["role"] == bearing) for x, t in zip(encode([t["text"] or "" for t in turns]), turns)]
+                total, start, held, loss = sum(len(x) for x, _ in parts) // 4, 0, [], 0
+                for ids, learnt in parts:
+                    while ids:
+                        room = length - sum(len(x) for x in held) // 4
+                        n = min(len(ids) // 4, room, most - loss if learnt else room)
+                        held.append(ids[: 4 * n])
+                        ids, loss = ids[4 * n :], loss + (n if learnt else 0)
+                        if ids:  # a limit is reached: what is held is a piece
+                            raw = b"".join(held)
+                            pack.add(len(raw) // 4, loss, (doc, start, raw, total))
+                            start, held, loss = start + len(raw) // 4, [], 0
+                if raw := b"".join(held):
+                    pack.add(len(raw) // 4, loss, (doc, start, raw, total))
+            if pack.held >= WINDOW:
+                for bin_ in pack.bins(False):
+                    out.place(bin_)
+                yield out.batch()
+        for bin_ in pack.bins(True):
+            out.place(bin_)
+        yield out.batch()
+
+    return run
+
+
+def pack_conversations(talks: DataFrame, path: str, end: int = 1, length: int = LENGTH, segments: int = SEGMENTS, loss: int = LOSS, bearing: str = "assistant") -> DataFrame:
+    """PIECES of conversations (conv_id, turn, role, text), doc_id being conv_id. The turns of ``bearing`` bear loss, with the end id behind each. A
+    conversation stays in one piece unless it is beyond a limit by itself; it is cut there. Conversations are the units that a task
+    holds whole, as a reader of one would."""
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    whole = batched(talks).groupBy(F.col("conv_id").alias("doc_id")).agg(turns.alias("t")).select("doc_id", F.expr("transform(t, x -> struct(x.role, x.text))").alias("turns"))
+    return whole.mapInArrow(_talk_packer(path, end, length, segments, loss, bearing), PIECES)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,13 +5,14 @@ shard, frequent pairs of neighbouring symbols are replaced by new symbols, round
 takes the most frequent ones and replaces them from left to right without overlap. A shard is one blob::
 
     4 bytes "RPG1", then unsigned 32-bit: ids below this are tokens, rules, symbols, documents, width of a symbol
-    rules: two symbols each; expansion lengths, 32-bit; symbols; doc_ids, 64-bit signed; ids of each document, 64-bit
+    rules: two symbols each; expansion lengths, 32-bit; symbols; doc_ids, 64-bit signed (0 if null); ids of each document, 64-bit; 1 for each null doc_id, 8-bit
 
 all little-endian, symbols of 2 or 4 bytes. With the expansion lengths a reader finds the symbol that holds the n-th
 id without expanding those before it (:meth:`Shard.ids`). Blobs are rows of Parquet files that Spark commits, so that a task
 which runs again leaves no second copy, and any store that Spark writes to will do.
 
-Null texts are empty documents: the end id alone. Null doc_ids come first and are read back as null. Repeated rows stay.
+Null texts are empty documents: the end id alone. Null doc_ids come first and are read back as null. Repeated rows stay. Rows that share a doc_id (or
+have none) are ordered by a hash of their text and by the text, and the ranges go by the hash too, so that one doc_id may fill any number of them.
 """
 
 from __future__ import annotations
@@ -28,7 +29,6 @@ from .tokens import ByteIds, encoder, slices, vocabulary
 SHARD = 1 << 20
 PAIRS, LEAST, WORTH = 2048, 32, 0.05
 MAGIC = b"RPG1"
-NO_ID = -(2**63)  # written for a null doc_id
 FILES = "part int, shard int, n_docs bigint, n_tokens bigint, blob binary"
 DOCS = "part int, shard int, place bigint, doc_id bigint, local bigint, n_tokens bigint, ids_crc32 bigint"
 
@@ -103,7 +103,7 @@ def write_shard(ids: list[bytes], docs: list, base: int) -> bytes:
     width = 2 if base + len(rules) <= 1 << 16 else 4
     symbol = f"<u{width}"
     head = MAGIC + struct.pack("<5I", base, len(rules), len(seq), len(docs), width)
-    index = np.array([NO_ID if d is None else d for d in docs], dtype="<i8").tobytes() + np.array([len(x) // 4 for x in ids], dtype="<u8").tobytes()
+    index = np.array([d or 0 for d in docs], dtype="<i8").tobytes() + np.array([len(x) // 4 for x in ids], dtype="<u8").tobytes() + bytes(d is None for d in docs)
     return head + rules.astype(symbol).tobytes() + lengths[base:].astype("<u4").tobytes() + seq.astype(symbol).tobytes() + index
 
 
@@ -127,7 +127,8 @@ class Shard:
         self.rules = read(f"<u{width}", 2 * n_rules).reshape(-1, 2)
         expansion = read("<u4", n_rules)
         self.symbols = read(f"<u{width}", n_symbols)
-        self.docs, self.counts = read("<i8", n_docs), read("<u8", n_docs).astype(np.int64)
+        docs, self.counts = read("<i8", n_docs).tolist(), read("<u8", n_docs).astype(np.int64)
+        self.docs = [None if null else d for d, null in zip(docs, read("u1", n_docs).tolist())]
         self.lengths = np.concatenate([np.ones(self.base, dtype=np.int64), expansion.astype(np.int64)])
         self.ends = np.cumsum(self.lengths[self.symbols])
         self.starts = np.cumsum(self.counts) - self.counts
@@ -200,7 +201,7 @@ def _reader(batches):
             crc = [zlib.crc32(raw[4 * s : 4 * (s + n)]) for s, n in zip(shard.starts.tolist(), shard.counts.tolist())]
             n = len(crc)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([part] * n, pa.int32()), pa.array([number] * n, pa.int32()), pa.array(range(n), pa.int64()), pa.array([None if d == NO_ID else d for d in shard.docs.tolist()], pa.int64()), pa.array(shard.starts, pa.int64()), pa.array(shard.counts, pa.int64()), pa.array(crc, pa.int64())],
+                [pa.array([part] * n, pa.int32()), pa.array([number] * n, pa.int32()), pa.array(range(n), pa.int64()), pa.array(shard.docs, pa.int64()), pa.array(shard.starts, pa.int64()), pa.array(shard.counts, pa.int64()), pa.array(crc, pa.int64())],
                 names=["part", "shard", "place", "doc_id", "local", "n_tokens", "ids_crc32"],
             )
 
@@ -208,7 +209,8 @@ def _reader(batches):
 def write_shards(docs: DataFrame, path: str, end: int = 0) -> DataFrame:
     """The shards of (doc_id, text), written to the shared folder in ascending order of doc_id: part, shard, n_docs,
     n_tokens, blob."""
-    dealt = batched(docs).select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    tied = batched(docs).select("doc_id", "text", F.xxhash64("text").alias("tie"))
+    dealt = tied.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
     return stored(dealt.mapInArrow(_writer(path, end), FILES), "token-shards")
 
 

@@ -8,7 +8,7 @@ from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from inkweave.llm.packing import Packer, op9_packing
+from inkweave.llm.packing import Packer, op9_packing, pack_conversations
 from inkweave.llm.tokenbin import Shard, compress, op6_token_binary, write_shard
 from inkweave.llm.tokens import ByteIds, WordIds, encoder, packed, vocabulary
 
@@ -100,8 +100,36 @@ def test_op9_pieces_cover_every_id_once(spark, docs):
             assert r.offset == at
             at += r.length
         assert at <= 2048
+        assert sum(r.loss_tokens for r in pieces) <= 2016 and len(pieces) <= 256
+    for r in rows:
+        assert r.loss_tokens == r.length - min(r.length, max(0, 32 - r.start))
     full = sum(sum(r.length for r in p) for p in by_sequence.values())
     assert full > 0.9 * 2048 * (len(by_sequence) - 2)
+    assert max(sum(r.loss_tokens for r in p) for p in by_sequence.values()) == 2016  # the limit binds
+
+
+def test_conversations_bear_loss_in_the_answers(spark):
+    rng = np.random.default_rng(8)
+    talks = {c: [("user" if t % 2 == 0 else "assistant", "word " * int(rng.integers(0, 90))) for t in range(int(rng.integers(1, 7)))] for c in range(60)}
+    talks[60] = [("user", "long " * 3000), ("assistant", "answer " * 5000), ("user", None)]
+    rows = [(c, t, role, text, 1) for c, turns in talks.items() for t, (role, text) in enumerate(turns)]
+    rng.shuffle(rows)
+    frame = spark.createDataFrame([(int(c), int(t), role, text, 1) for c, t, role, text, _ in rows], "conv_id bigint, turn bigint, role string, text string, doc_id int")
+    got, sequences = {}, {}
+    for r in pack_conversations(frame, vocabulary(WORDS)).collect():
+        got.setdefault(r.doc_id, []).append(r)
+        sequences.setdefault(r.sequence_id, []).append(r)
+    assert sorted(got) == sorted(talks)
+    for c, turns in talks.items():
+        ids = [(i, role == "assistant") for role, text in turns for i in [*plain(WORDS, text or ""), 1]]
+        at = 0
+        for r in sorted(got[c], key=lambda r: r.start):
+            part = ids[at : at + r.length]
+            assert (r.start, r.doc_tokens, r.ids_crc32, r.loss_tokens) == (at, len(ids), zlib.crc32(packed([i for i, _ in part])), sum(x for _, x in part))
+            at += r.length
+        assert at == len(ids) and (len(got[c]) == 1 or len(ids) > 2048)
+    for pieces in sequences.values():
+        assert sum(r.length for r in pieces) <= 2048 and sum(r.loss_tokens for r in pieces) <= 2016
 
 
 def test_packer_holds_all_limits():
@@ -118,6 +146,17 @@ def test_packer_holds_all_limits():
     assert len(bins) < 1.3 * least
 
 
+def test_op6_with_repeated_extreme_and_null_ids(spark, write):
+    rows = [(None, "none"), (None, "other"), (None, None), (-(2**63), "least"), (5, "b"), (5, "a"), (5, "a"), (2**63 - 1, "most")]
+    folder = write("documents", [(d, t, "en", "s", 0, 7) for d, t in rows], DOCS)
+    got = sorted((tuple(r) for r in op6_token_binary(spark, folder).collect()), key=lambda r: r[1])
+    assert [r[0] for r in got] == [None, None, None, -(2**63), 5, 5, 5, 2**63 - 1]
+    assert [r[1] for r in got] == list(np.cumsum([0, *[r[2] for r in got[:-1]]]))
+    expected = sorted((str(d), len(ids := [*plain(BYTES, t or ""), 0]), zlib.crc32(packed(ids))) for d, t in rows)
+    assert sorted((str(r[0]), r[2], r[3]) for r in got) == expected
+    assert got == sorted((tuple(r) for r in op6_token_binary(spark, folder).collect()), key=lambda r: r[1])
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 5), max_size=300), max_size=6), st.integers(0, 100), st.integers(0, 100))
 def test_shards_round_trip(docs, a, b):
