@@ -10,8 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import jaccard
-from .matching import CAP, best_matches, hot_grams, without_hot
+from .matching import CAP, overlaps
 
 FLOOR, ACCEPT = 0.30, 0.55
 
@@ -29,11 +28,13 @@ def discover(records: DataFrame, query: DataFrame, index: DataFrame, floor: floa
     """A row for each gap line: candidate, global_top (null if no line shares a trigram), anchors, exclusion."""
     found = gaps(records)
     asked = query.join(found.select("page", "line").distinct(), ["page", "line"], "left_semi")
-    cold = without_hot(asked, hot_grams(index, cap)).select("page", "line", F.col("grams").alias("_q"))
-    top = best_matches(asked, index, threshold=0.0, cap=cap).select("page", "line", F.struct("poem_id", "verse", F.bround("score", 4).alias("jaccard")).alias("global_top"))
+    scored = overlaps(asked, index, ("page", "line"), cap=cap)
+    best = F.min_by(F.struct("poem_id", "verse", F.bround("score", 4).alias("jaccard")), F.struct(-F.col("score"), "poem_id", "verse"))
+    top = scored.groupBy("page", "line").agg(best.alias("global_top"))
     rows = found.join(query.select("page", "line", F.col("text").alias("hyp")), ["page", "line"], "left")
-    rows = rows.join(cold, ["page", "line"], "left").join(index.select("poem_id", "verse", F.col("text").alias("ref"), F.col("grams").alias("_r")), ["poem_id", "verse"], "left").join(top, ["page", "line"], "left")
-    score = F.coalesce(jaccard(F.size(F.array_intersect("_q", "_r")), F.size("_q"), F.size("_r")), F.lit(0.0))
+    rows = rows.join(index.select("poem_id", "verse", F.col("text").alias("ref")), ["poem_id", "verse"], "left")
+    rows = rows.join(scored, ["page", "line", "poem_id", "verse"], "left").join(top, ["page", "line"], "left")
+    score = F.coalesce("score", F.lit(0.0))
     same = F.coalesce((F.col("global_top.poem_id") == F.col("poem_id")) & (F.col("global_top.verse") == F.col("verse")), F.lit(False))
     exclusion = F.when(score < floor, "below_discovery_floor").when(score < accept, "below_acceptance_threshold").otherwise("not_excluded")
     return rows.select("page", "poem_id", "line", "verse", F.bround(score, 4).alias("jaccard"), "hyp", "ref", same.alias("is_global_top"), "global_top", "left", "right", exclusion.alias("exclusion"))

@@ -3,9 +3,10 @@
 ``index`` and ``query`` frames have one row a line, with its distinct trigrams. Trigrams that more than ``cap`` reference
 lines hold are left out of the query side; they still count in the size of a reference line.
 
-The join is on single trigrams. With a threshold above 0, a reference line is indexed by its rarest trigrams alone: a
-line that reaches Jaccard t shares at least t of the larger set, so it shares one of the rarest ``n - ceil(t n) + 1``. Candidates are
-verified on both arrays. Ties go to the smaller poem, then to the smaller verse.
+One join on single trigrams gives a row for each trigram that two lines share. Both lines' sizes travel with it, so that the score follows from the
+count alone, and no array is fetched or compared. Counting starts before any shuffle; a query that lies partitioned by page needs none after the join. The side
+of the index has ``cap`` rows a trigram at most, whatever the query holds, and Spark splits what is skewed on the other side. Ties go to the smaller
+poem, then to the smaller verse.
 """
 
 from __future__ import annotations
@@ -36,58 +37,58 @@ def hot_grams(index: DataFrame, cap: int = CAP) -> DataFrame:
     return frequencies(index).where(F.col("df") > cap).select("gram")
 
 
-def without_hot(query: DataFrame, hot: DataFrame) -> DataFrame:
-    """The query's trigrams without hot ones. The hot ones travel as one row."""
-    row = hot.agg(F.collect_set("gram").alias("_hot"))
-    return query.crossJoin(F.broadcast(row)).withColumn("grams", F.array_except("grams", "_hot")).drop("_hot").where(F.size("grams") > 0)
+#: Hot trigrams are broadcast up to this number (some megabytes), and joined by a shuffle beyond it.
+HOT_ROWS = 200_000
 
 
-def postings(index: DataFrame, threshold: float, columns: tuple[str, ...]) -> DataFrame:
-    """gram and ``columns`` for the trigrams under which a reference line is found."""
-    rows = index.select(*columns, F.size("grams").alias("_n"), F.explode("grams").alias("gram"))
-    if threshold <= 0:
-        return rows.drop("_n")
-    rarest = Window.partitionBy(*columns).orderBy("df", "gram")
-    ranked = rows.join(frequencies(index), "gram").withColumn("_k", F.row_number().over(rarest))
-    return ranked.where(F.col("_k") <= F.col("_n") - F.ceil(F.lit(threshold) * F.col("_n") - 1e-9) + 1).select("gram", *columns)
+def _hot(index: DataFrame, cap: int) -> DataFrame | None:
+    """The hot trigrams, counted before the join is planned; None without any."""
+    hot = hot_grams(index, cap)
+    n = hot.count()
+    return None if n == 0 else F.broadcast(hot) if n <= HOT_ROWS else hot
 
 
-def overlaps(query: DataFrame, index: DataFrame, keys: tuple[str, ...], threshold: float = 0.0) -> DataFrame:
+def overlaps(query: DataFrame, index: DataFrame, keys: tuple[str, ...], threshold: float = 0.0, cap: int = CAP) -> DataFrame:
     """keys, poem_id, verse, score for the pairs of lines that share a trigram and reach the threshold."""
     at = ("poem_id", "verse")
-    found = query.select(*keys, F.explode("grams").alias("gram")).join(postings(index, threshold, at), "gram").groupBy(*keys, *at)
-    lines = query.select(*keys, F.col("grams").alias("_q"))
-    refs = index.select(*at, F.col("grams").alias("_r"))
-    if threshold <= 0:
-        pairs = found.agg(F.count(F.lit(1)).alias("_o")).join(lines.select(*keys, F.size("_q").alias("_q")), list(keys)).join(refs.select(*at, F.size("_r").alias("_r")), list(at))
-        return pairs.select(*keys, *at, jaccard(F.col("_o"), F.col("_q"), F.col("_r")).alias("score"))
-    pairs = found.agg(F.lit(1).alias("_o")).join(lines, list(keys)).join(refs, list(at))
-    score = jaccard(F.size(F.array_intersect("_q", "_r")), F.size("_q"), F.size("_r"))
-    return pairs.select(*keys, *at, score.alias("score")).where(F.col("score") >= threshold)
+    hot = _hot(index, cap)
+    asked = query.select(*keys, F.size("grams").alias("_q"), F.explode("grams").alias("gram"))
+    postings = index.select(*at, F.size("grams").alias("_r"), F.explode("grams").alias("gram"))
+    if hot is not None:
+        postings = postings.join(hot, "gram", "left_anti")
+    #: The larger set is at most 1 / threshold times the overlap, which the query's size bounds.
+    near = asked.join(postings, "gram").where(F.col("_r") * threshold <= F.col("_q") + 1e-6)
+    pairs = near.groupBy(*keys, "_q", *at, "_r").agg(F.count(F.lit(1)).alias("_o"))
+    size = F.col("_q")
+    if hot is not None:
+        pairs = pairs.join(asked.join(hot, "gram").groupBy(*keys).agg(F.count(F.lit(1)).alias("_h")), list(keys), "left")
+        size = size - F.coalesce("_h", F.lit(0))
+    return pairs.select(*keys, *at, jaccard(F.col("_o"), size, F.col("_r")).alias("score")).where(F.col("score") >= threshold)
+
+
+def _best(scored: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    best = F.min_by(F.struct("poem_id", "verse", "score"), F.struct(-F.col("score"), "poem_id", "verse"))
+    return scored.groupBy(*keys).agg(best.alias("_b")).select(*keys, "_b.*")
 
 
 def best_matches(query: DataFrame, index: DataFrame, keys: tuple[str, ...] = ("page", "line"), threshold: float = 0.3, cap: int = CAP) -> DataFrame:
     """keys, poem_id, verse, score: each line's best reference line, if it reaches the threshold."""
-    scored = overlaps(without_hot(query, hot_grams(index, cap)), index, keys, threshold)
-    best = F.min_by(F.struct("poem_id", "verse", "score"), F.struct(-F.col("score"), "poem_id", "verse"))
-    return scored.groupBy(*keys).agg(best.alias("_b")).select(*keys, "_b.*")
+    return _best(overlaps(query, index, keys, threshold, cap), keys)
 
 
 def withheld_matches(query: DataFrame, index: DataFrame, truth: DataFrame, keys: tuple[str, ...] = ("page", "line"), threshold: float = 0.3, cap: int = CAP) -> DataFrame:
     """As :func:`best_matches`, where ``truth`` (page, poem_id) isn't the page's candidate. Withheld before the best is taken; hot
     trigrams are those of the whole index."""
-    scored = overlaps(without_hot(query, hot_grams(index, cap)), index, keys, threshold).join(truth.select("page", "poem_id").distinct(), ["page", "poem_id"], "left_anti")
-    best = F.min_by(F.struct("poem_id", "verse", "score"), F.struct(-F.col("score"), "poem_id", "verse"))
-    return scored.groupBy(*keys).agg(best.alias("_b")).select(*keys, "_b.*")
+    scored = overlaps(query, index, keys, threshold, cap).join(truth.select("page", "poem_id").distinct(), ["page", "poem_id"], "left_anti")
+    return _best(scored, keys)
 
 
 def line_votes(query: DataFrame, index: DataFrame, allowed: DataFrame | None = None, keys: tuple[str, ...] = ("page", "line"), least: float = 0.3, cap: int = CAP) -> DataFrame:
     """page, poem_id, votes: the sum of the lines' best scores. ``allowed`` (page, poem_id) restricts the candidates before the best is taken."""
-    scored = overlaps(without_hot(query, hot_grams(index, cap)), index, keys, least)
+    scored = overlaps(query, index, keys, least, cap)
     if allowed is not None:
         scored = scored.join(allowed.select("page", "poem_id").distinct(), ["page", "poem_id"], "left_semi")
-    best = F.min_by(F.struct("poem_id", "score"), F.struct(-F.col("score"), "poem_id", "verse"))
-    return scored.groupBy(*keys).agg(best.alias("_b")).groupBy("page", "_b.poem_id").agg(F.sum("_b.score").alias("votes"))
+    return _best(scored, keys).groupBy("page", "poem_id").agg(F.sum("score").alias("votes"))
 
 
 def document_frequencies(words: DataFrame, key: str = "poem_id") -> DataFrame:

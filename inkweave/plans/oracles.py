@@ -31,10 +31,14 @@ rl AS (SELECT poem_id, unnest(p) AS text, generate_subscripts(p, 1) - 1 AS verse
 rw AS (SELECT *, {_WORDS.format('text')} AS words FROM rl),
 r0 AS (SELECT *, {_GRAMS.format("array_to_string(words, '_')")} AS grams FROM rw),
 r AS (SELECT * FROM r0 WHERE len(grams) > 0)"""
+#: Every third line of a page with every third letter of its words gone.
+_READ = "sl AS (SELECT page, unnest(p) AS text, generate_subscripts(p, 1) - 1 AS line FROM sp)"
+_FADED = r"sf AS (SELECT page, unnest(p) AS text, generate_subscripts(p, 1) - 1 AS line FROM sp), sl AS (SELECT page, CASE WHEN line % 3 = 1 THEN regexp_replace(text, '([a-z]{2})[a-z]', '\1', 'g') ELSE text END AS text, line FROM sf)"
+assert _READ in _SENTENCES
 _MATCH = f"""{_SENTENCES},
 post AS (SELECT poem_id, verse, len(grams) AS n_r, unnest(grams) AS gram FROM r),
 df AS (SELECT gram, count(*) AS df FROM post GROUP BY gram),
-hot AS (SELECT gram FROM df WHERE df > 60),
+hot AS (SELECT gram FROM df WHERE df > 3000),
 qg AS (SELECT page, line, unnest(grams) AS gram FROM q),
 qc AS (SELECT * FROM qg WHERE gram NOT IN (SELECT gram FROM hot)),
 qn AS (SELECT page, line, count(*) AS n_q FROM qc GROUP BY ALL),
@@ -45,6 +49,10 @@ best AS (SELECT * FROM sc WHERE score >= 0.3 QUALIFY row_number() OVER (PARTITIO
 _LIS = "len(list_reduce({0}, lambda t, x: list_concat(list_filter(t, lambda y: y < x), [x], t[len(list_filter(t, lambda y: y < x)) + 2:]), []::BIGINT[]))"
 
 
+#: DuckDB's levenshtein goes by bytes, so each character of the two becomes one byte (up to 95 different ones).
+_BYTES = "array_to_string(list_transform(string_split({0}, ''), lambda c: chr((31 + list_position(list_distinct(string_split(h || f, '')), c))::INT)), '')"
+
+
 def _records(best: str = "best", name: str = "rec") -> str:
     return f"""
 {name}_p AS (SELECT page, poem_id, line, verse, round_even((score)::VARCHAR::DECIMAL(38, 20), 4)::DOUBLE AS jaccard FROM {best} WHERE round_even((score)::VARCHAR::DECIMAL(38, 20), 4)::DOUBLE >= 0.55),
@@ -57,16 +65,18 @@ def _records(best: str = "best", name: str = "rec") -> str:
 
 _PR = "lis / hs", "lis / rs"
 _DAMAGED = r"regexp_replace(text, '([a-z]{5})[a-z]', '\1', 'g')"
-_LINES_EN = f"""
-sp AS (SELECT doc_id AS page, list_filter(list_transform(string_split_regex(text, '[.\\n]+'), lambda x: {_STRIP.format('x')}), lambda x: x <> '') AS p FROM documents WHERE lang = 'en' AND text IS NOT NULL),
-sl AS (SELECT page, unnest(p) AS text, generate_subscripts(p, 1) - 1 AS line FROM sp),
-en AS (SELECT *, {_WORDS.format('text')} AS words, {_WORDS.format(_DAMAGED)} AS bad FROM sl WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')),
-l AS (SELECT * FROM en WHERE len(words) BETWEEN 1 AND 40)"""
+#: Lines with a word, numbered anew; ``bad`` are the words of the damaged text. Damage only deletes letters from words, so the distance of joined
+#: texts is the difference of their lengths, whatever DuckDB's own (byte-wise) levenshtein would say.
+_NUMBERED = f"""
+sp AS (SELECT doc_id AS page, list_filter(list_transform(string_split_regex(text, '[.\\n]+'), lambda x: {_STRIP.format('x')}), lambda x: x <> '') AS p FROM documents WHERE text IS NOT NULL),
+sl AS (SELECT page, unnest(p) AS text, generate_subscripts(p, 1) AS number FROM sp),
+en AS (SELECT *, {_WORDS.format('text')} AS words, {_WORDS.format(_DAMAGED)} AS bad, {_DAMAGED} AS bad_text FROM sl),
+l AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY number) - 1 AS line FROM en WHERE len(words) > 0)"""
 _CODED = "array_to_string(list_transform({0}, lambda w: chr((32 + list_position(list_distinct(list_concat(words, bad)), w))::INT)), '')"
 _RHYMES = f"""
 sp AS (SELECT doc_id AS gid, list_filter(list_transform(string_split_regex(text, '[.\\n]+'), lambda x: {_STRIP.format('x')}), lambda x: x <> '') AS p FROM documents WHERE text IS NOT NULL),
 sl AS (SELECT gid, unnest(p) AS text, generate_subscripts(p, 1) - 1 AS line FROM sp),
-st AS (SELECT gid, line, CASE WHEN line % 2 = 1 THEN text || ' of ' || CASE WHEN gid % 5 = 0 THEN 'the ' ELSE '' END || (gid % 7) ELSE text END AS text FROM sl WHERE line < 10),
+st AS (SELECT gid, line, CASE WHEN line % 2 = 1 THEN text || ' of ' || CASE WHEN gid % 5 = 0 THEN 'the ' ELSE '' END || (gid % 7) ELSE text END AS text FROM sl),
 wl AS (SELECT gid, line, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM st),
 odd AS (SELECT gid, count(*) AS n, count(DISTINCT w[-1]) AS d1, count(DISTINCT w[-2:]) AS d2, count(DISTINCT w[-3:]) AS d3, min(len(w)) AS least, any_value(w) AS w FROM wl WHERE line % 2 = 1 AND len(w) > 0 GROUP BY gid),
 rad AS (SELECT gid, CASE WHEN n < 2 THEN [] WHEN d3 = 1 AND least >= 3 THEN w[-3:] WHEN d2 = 1 AND least >= 2 THEN w[-2:] WHEN d1 = 1 THEN w[-1:] ELSE [] END AS radif FROM odd),
@@ -78,7 +88,7 @@ _HTML = f"""v AS (SELECT page_id, list_filter(list_transform(string_split({_VISI
 _PATHS = r"""paths AS (SELECT page_id, unnest(list_transform(regexp_extract_all(html, 'href="([^"]+)"', 1), lambda x: regexp_replace(regexp_replace(x, '[?#].*$', ''), '^https?://[^/]*', ''))) AS link FROM pages),
 links AS (SELECT DISTINCT page_id, link FROM paths WHERE regexp_matches(link, '^/[A-Za-z]+$'))"""
 _LISTED = "listed AS (SELECT doc_id % 6 AS cat_id, doc_id AS id, lang FROM documents), files AS (SELECT doc_id AS id, CASE WHEN doc_id % 9 = 4 THEN [' '] ELSE string_split(text, chr(10)) END AS verses FROM documents WHERE doc_id % 9 <> 2)"
-_STATE = """st AS (SELECT 'p' || doc_id AS page, CASE doc_id % 10 WHEN 0 THEN CASE WHEN substr(text, 1, 30) = '' THEN 'failed' ELSE 'complete' END WHEN 1 THEN CASE WHEN trim(substr(text, 1, 30)) = 'other' THEN 'complete' ELSE 'edited' END
+_STATE = """st AS (SELECT 'p' || doc_id AS page, CASE doc_id % 10 WHEN 0 THEN CASE WHEN text = '' THEN 'failed' ELSE 'complete' END WHEN 1 THEN CASE WHEN trim(text) = 'other' THEN 'complete' ELSE 'edited' END
   WHEN 2 THEN 'unrecorded' WHEN 3 THEN 'partial' WHEN 4 THEN 'failed' WHEN 6 THEN 'corrupt' WHEN 7 THEN 'corrupt' ELSE 'pending' END AS state FROM documents)"""
 
 ORACLE_SQL = {
@@ -94,7 +104,7 @@ ORACLE_SQL = {
     "match_lines": f"WITH {_BEST} SELECT page, line, poem_id, verse, score FROM best",
     "align": f"""WITH {_BEST}, {_records()}
 SELECT page, poem_id, tier, matched_lines, distinct_verses, round_even((lis / matched_lines)::VARCHAR::DECIMAL(38, 20), 3)::DOUBLE AS monotone_ratio, round_even((sj / matched_lines)::VARCHAR::DECIMAL(38, 20), 4)::DOUBLE AS mean_jaccard,
-  round_even((levenshtein(h, f) / greatest(length(h), length(f)))::VARCHAR::DECIMAL(38, 20), 4)::DOUBLE AS cer_matched_span, lis AS aligned_lines, hs AS hypothesis_span_lines, round_even((lis / hs)::VARCHAR::DECIMAL(38, 20), 4)::DOUBLE AS hypothesis_span_precision,
+  round_even((levenshtein({_BYTES.format('h')}, {_BYTES.format('f')}) / greatest(length(h), length(f)))::VARCHAR::DECIMAL(38, 20), 4)::DOUBLE AS cer_matched_span, lis AS aligned_lines, hs AS hypothesis_span_lines, round_even((lis / hs)::VARCHAR::DECIMAL(38, 20), 4)::DOUBLE AS hypothesis_span_precision,
   rs AS reference_span_lines, round_even((lis / rs)::VARCHAR::DECIMAL(38, 20), 4)::DOUBLE AS reference_span_recall, round_even((2 * (lis / hs) * (lis / rs) / (lis / hs + lis / rs))::VARCHAR::DECIMAL(38, 20), 4)::DOUBLE AS span_f1 FROM rec""",
     "align_totals": f"""WITH {_BEST}, {_records()}, s AS (SELECT coalesce(sum(matched_lines), 0) AS matched_lines, coalesce(sum(lis), 0) AS aligned_lines, coalesce(sum(hs), 0) AS hypothesis_span_lines, coalesce(sum(rs), 0) AS reference_span_lines FROM rec WHERE tier = 'gold'),
 t AS (SELECT *, aligned_lines / greatest(1, hypothesis_span_lines) AS p, aligned_lines / greatest(1, reference_span_lines) AS r FROM s)
@@ -105,24 +115,25 @@ round_even((sum(lis) FILTER (tier = 'gold') / greatest(1, sum(hs) FILTER (tier =
     "negative_control": f"""WITH {_BEST}, {_records()}, truth AS (SELECT DISTINCT page, poem_id FROM rec WHERE tier = 'gold'),
 held AS (SELECT sc.* FROM sc ANTI JOIN truth USING (page, poem_id) WHERE page IN (SELECT page FROM truth) AND score >= 0.3 QUALIFY row_number() OVER (PARTITION BY page, line ORDER BY score DESC, poem_id, verse) = 1), {_records('held', 'neg')}
 SELECT (SELECT count(DISTINCT page) FROM truth) AS pages, count(DISTINCT page) AS false_pages, count(*) AS false_records, coalesce(sum(matched_lines), 0) AS false_lines FROM neg WHERE tier = 'gold'""",
-    "discover_gaps": f"""WITH {_BEST}, {_records()}, anchors AS (SELECT page, poem_id, line, verse, lead(line) OVER w AS line2, lead(verse) OVER w AS verse2 FROM rec_p JOIN (SELECT page, poem_id FROM rec WHERE tier = 'gold') USING (page, poem_id) WINDOW w AS (PARTITION BY page, poem_id ORDER BY line)),
+    "discover_gaps": f"""WITH {_BEST.replace(_READ, _FADED)}, {_records()}, anchors AS (SELECT page, poem_id, line, verse, lead(line) OVER w AS line2, lead(verse) OVER w AS verse2 FROM rec_p JOIN (SELECT page, poem_id FROM rec WHERE tier = 'gold') USING (page, poem_id) WINDOW w AS (PARTITION BY page, poem_id ORDER BY line)),
 gap AS (SELECT page, poem_id, unnest(range(line + 1, line2)) AS line, verse - line AS shift FROM anchors WHERE line2 - line > 1 AND line2 - line = verse2 - verse), cand AS (SELECT page, poem_id, line, line + shift AS verse FROM gap),
-top AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY page, line ORDER BY score DESC, poem_id, verse) = 1), got AS (SELECT c.*, coalesce(s.score, 0) AS score, t.poem_id AS tp, t.verse AS tv FROM cand c LEFT JOIN sc s USING (page, line, poem_id, verse) LEFT JOIN top t USING (page, line))
+asked AS MATERIALIZED (SELECT DISTINCT page, line FROM cand), ag AS MATERIALIZED (SELECT page, line, gram FROM qc JOIN asked USING (page, line)), an AS (SELECT page, line, count(*) AS n_q FROM ag GROUP BY ALL),
+ao AS (SELECT page, line, poem_id, verse, n_r, count(*) AS o FROM ag JOIN post USING (gram) GROUP BY ALL), asc_ AS MATERIALIZED (SELECT page, line, poem_id, verse, o / (n_q + n_r - o) AS score FROM ao JOIN an USING (page, line)),
+top AS (SELECT * FROM asc_ QUALIFY row_number() OVER (PARTITION BY page, line ORDER BY score DESC, poem_id, verse) = 1), got AS (SELECT c.*, coalesce(s.score, 0) AS score, t.poem_id AS tp, t.verse AS tv FROM cand c LEFT JOIN asc_ s USING (page, line, poem_id, verse) LEFT JOIN top t USING (page, line))
 SELECT page, poem_id, line, verse, round_even((score)::VARCHAR::DECIMAL(38, 20), 4)::DOUBLE AS jaccard, coalesce(tp = poem_id AND tv = verse, false) AS is_global_top, CASE WHEN score < 0.3 THEN 'below_discovery_floor' WHEN score < 0.55 THEN 'below_acceptance_threshold' ELSE 'not_excluded' END AS exclusion FROM got""",
     "line_votes": f"WITH {_BEST}, v AS (SELECT page, poem_id, sum(score) AS votes FROM best GROUP BY ALL) SELECT page, poem_id, round(votes, 6) AS votes, row_number() OVER (PARTITION BY page ORDER BY votes DESC, poem_id) AS rank FROM v QUALIFY rank <= 5",
-    "restricted_votes": f"WITH {_MATCH}, b AS (SELECT * FROM sc WHERE score >= 0.3 AND page % 4 = poem_id % 4 QUALIFY row_number() OVER (PARTITION BY page, line ORDER BY score DESC, poem_id, verse) = 1) SELECT page, poem_id, round(sum(score), 6) AS votes FROM b GROUP BY ALL",
+    "restricted_votes": f"WITH {_MATCH}, w AS (SELECT DISTINCT poem_id, unnest(words) AS token FROM r), d AS (SELECT token, count(*) AS df FROM w GROUP BY token), k AS (SELECT DISTINCT page, unnest(words) AS token FROM q), allowed AS (SELECT DISTINCT page, poem_id FROM k JOIN w USING (token) JOIN d USING (token) WHERE df <= 25 AND length(token) >= 3), b AS (SELECT sc.* FROM sc SEMI JOIN allowed USING (page, poem_id) WHERE score >= 0.3 QUALIFY row_number() OVER (PARTITION BY page, line ORDER BY score DESC, poem_id, verse) = 1) SELECT page, poem_id, round(sum(score), 6) AS votes FROM b GROUP BY ALL",
     "rare_words": f"WITH {_SENTENCES}, w AS (SELECT DISTINCT poem_id, unnest(words) AS token FROM r), d AS (SELECT token, count(*) AS df FROM w GROUP BY token), k AS (SELECT DISTINCT page, unnest(words) AS token FROM q), s AS (SELECT page, poem_id, count(*) AS shared FROM k JOIN w USING (token) JOIN d USING (token) WHERE df <= 25 AND length(token) >= 3 GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY page ORDER BY shared DESC, poem_id) AS rank FROM s QUALIFY rank <= 5",
     "idf_overlap": f"WITH {_SENTENCES}, w AS (SELECT DISTINCT poem_id, unnest(words) AS token FROM r), d AS (SELECT token, count(*) AS df FROM w GROUP BY token), k AS (SELECT DISTINCT page, unnest(words) AS token FROM q) SELECT page, poem_id, round(sum(ln((SELECT count(DISTINCT poem_id) FROM r) / df)), 6) AS weight FROM k JOIN w USING (token) JOIN d USING (token) WHERE df <= 25 AND length(token) >= 3 GROUP BY ALL",
-    "best_offset": f"""WITH {_LINES_EN}, h AS (SELECT page, line, array_to_string(words, ' ') AS h FROM l WHERE line < 12), f AS (SELECT page, line - 2 AS i, array_to_string(bad, ' ') AS r FROM l WHERE line BETWEEN 2 AND 4), g AS (SELECT * FROM f WHERE page IN (SELECT page FROM f GROUP BY page HAVING count(*) = 3)),
-n AS (SELECT page, count(*) AS n FROM h GROUP BY page), o AS (SELECT page, unnest(range(0, n - 2)) AS "offset" FROM n WHERE n >= 3), m AS (SELECT o.page, o."offset", avg(levenshtein(h, r) / greatest(length(h), length(r))) AS mean_cer FROM o JOIN g USING (page) JOIN h ON h.page = o.page AND h.line = g.i + o."offset" GROUP BY ALL)
-SELECT page, "offset", round(mean_cer, 9) AS mean_cer FROM m QUALIFY row_number() OVER (PARTITION BY page ORDER BY mean_cer, "offset") = 1""",
-    "pair_rates": f"""WITH {_LINES_EN}, x AS (SELECT *, levenshtein({_CODED.format('words')}, {_CODED.format('bad')}) AS d FROM l WHERE line < 40),
-g AS (SELECT page, count(*) AS lines, count(*) FILTER (words = bad) AS exact_lines, sum(d) AS word_edits, sum(len(bad)) AS ref_words, string_agg(array_to_string(words, ''), '' ORDER BY line) AS a, string_agg(array_to_string(bad, ''), '' ORDER BY line) AS b FROM x GROUP BY page)
-SELECT page, lines, exact_lines, word_edits, ref_words, round(word_edits / greatest(1, ref_words), 9) AS wer, round(levenshtein(a, b) / greatest(length(a), length(b)), 9) AS spaceless_cer FROM g""",
-    "prose_rates": f"""WITH {_LINES_EN}, g AS (SELECT page, count(*) AS n, sum(len(words)) AS ht, sum(len(bad)) AS rt, string_agg(array_to_string(words, ''), '' ORDER BY line) AS a, string_agg(array_to_string(bad, ''), '' ORDER BY line) AS b FROM l WHERE line < 6 GROUP BY page)
-SELECT page, n AS hyp_lines, n AS ref_lines, ht AS hyp_tokens, rt AS ref_tokens, levenshtein(a, b) AS folded_character_distance, round(levenshtein(a, b) / greatest(1, length(b)), 9) AS folded_character_error_rate, 0 AS strict_character_distance FROM g""",
-    "compare_sources": f"""WITH {_LINES_EN}, a AS (SELECT page, count(*) AS n, string_agg(array_to_string(words, ' '), ' ' ORDER BY line) AS t FROM l WHERE line < 4 GROUP BY page), b AS (SELECT page, count(*) AS m, string_agg(array_to_string(bad, ' '), ' ' ORDER BY line) AS u FROM l WHERE line < 3 GROUP BY page),
-c AS (SELECT n, m, levenshtein(t, u) / greatest(length(t), length(u)) AS cer FROM a JOIN b USING (page)) SELECT count(*) AS n, count(*) FILTER (cer = 0) AS identical, list_sort(list(cer))[count(*) // 2 + 1] AS median_cer, max(cer) AS max_cer, count(*) FILTER (n <> m) AS line_mismatches FROM c""",
+    "pair_rates": f"""WITH {_NUMBERED}, x AS (SELECT *, len(words) AS n, len(list_filter(range(1, len(words) + 1), lambda i: words[i] <> bad[i])) AS upper_d, len(words) - len(list_filter(list_distinct(words), lambda w: list_contains(bad, w))) AS other FROM l),
+m AS (SELECT *, (SELECT coalesce(sum(least(c, coalesce(d, 0))), 0) FROM (SELECT w, count(*) AS c FROM unnest(words) AS t(w) GROUP BY w) LEFT JOIN (SELECT v, count(*) AS d FROM unnest(bad) AS t(v) GROUP BY v) ON w = v) AS common FROM x),
+y AS (SELECT *, CASE WHEN n - common = upper_d THEN upper_d WHEN len(list_distinct(list_concat(words, bad))) <= 95 THEN levenshtein({_CODED.format('words')}, {_CODED.format('bad')}) END AS d FROM m),
+g AS (SELECT page, count(*) AS lines, count(*) FILTER (words = bad) AS exact_lines, sum(d) AS word_edits, count(*) FILTER (d IS NULL) AS open, sum(len(bad)) AS ref_words, sum(length(array_to_string(words, ''))) AS a, sum(length(array_to_string(bad, ''))) AS b FROM y GROUP BY page)
+SELECT page, lines, exact_lines, CASE WHEN open = 0 THEN word_edits END AS word_edits, ref_words, round(CASE WHEN open = 0 THEN word_edits END / greatest(1, ref_words), 9) AS wer, round((a - b) / greatest(a, b), 9) AS spaceless_cer FROM g""",
+    "prose_rates": f"""WITH {_NUMBERED}, g AS (SELECT page, count(*) AS n, sum(len(words)) AS ht, sum(len(bad)) AS rt, sum(length(array_to_string(words, ''))) AS a, sum(length(array_to_string(bad, ''))) AS b, sum(length(text) - length(bad_text)) AS strict FROM l GROUP BY page)
+SELECT page, n AS hyp_lines, n AS ref_lines, ht AS hyp_tokens, rt AS ref_tokens, a - b AS folded_character_distance, round((a - b) / greatest(1, b), 9) AS folded_character_error_rate, strict AS strict_character_distance FROM g""",
+    "compare_sources": f"""WITH {_NUMBERED}, a AS (SELECT page, sum(length(array_to_string(words, ' '))) + count(*) - 1 AS t, sum(length(array_to_string(bad, ' '))) + count(*) - 1 AS u FROM l GROUP BY page),
+c AS (SELECT (t - u) / greatest(t, u) AS cer FROM a) SELECT count(*) AS n, count(*) FILTER (cer = 0) AS identical, list_sort(list(cer))[count(*) // 2 + 1] AS median_cer, max(cer) AS max_cer, 0 AS line_mismatches FROM c""",
     "refrains": f"WITH {_RHYMES} SELECT gid, array_to_string(radif, ' ') AS radif FROM poem",
     "refrain_families": f"WITH {_RHYMES} SELECT array_to_string(radif, ' ') AS radif, count(*) AS members, count(DISTINCT poet) AS poets FROM poem WHERE len(radif) > 0 GROUP BY ALL",
     "family_sizes": f"WITH {_RHYMES}, f AS (SELECT radif, count(*) AS size FROM poem WHERE len(radif) > 0 GROUP BY radif) SELECT size, count(*) AS families FROM f GROUP BY size",
@@ -134,10 +145,11 @@ c AS (SELECT DISTINCT score AS cut FROM s), k AS (SELECT cut, count(*) FILTER (p
 b AS (SELECT cut, (tp + n_a - fp) / (n_p + n_a) AS acc, tp / n_p AS recall, fp / n_a AS fpr FROM k, n ORDER BY acc DESC, cut LIMIT 1)
 SELECT b.*, p[len(p) // 20 + 1] AS present_p05, p[len(p) // 2 + 1] AS present_med, a[len(a) // 2 + 1] AS absent_med, a[-1] AS absent_max, len(list_filter(a, lambda x: x >= p[len(p) // 20 + 1])) / len(a) AS absent_above_present_p05 FROM b, n""",
     "rising_steps": "WITH a AS (SELECT source AS book, doc_id AS page_no, CASE WHEN doc_id % 4 <> 1 THEN n_chars % 97 END AS number FROM documents), b AS (SELECT *, last_value(number IGNORE NULLS) OVER (PARTITION BY book ORDER BY page_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM a) SELECT book, page_no, number, CASE WHEN prev IS NULL OR number IS NULL THEN NULL WHEN number > prev THEN 'rising' ELSE 'falling' END AS step FROM b",
-    "retrieval_report": f"""WITH {_BEST}, v AS (SELECT page, poem_id, sum(score) AS votes FROM best GROUP BY ALL), t AS (SELECT page, min(poem_id) AS true_id FROM v GROUP BY page), k AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY votes DESC, poem_id) AS rank FROM v JOIN t USING (page)),
-p AS (SELECT page, min(rank) FILTER (poem_id = true_id) AS rank, count(*) FILTER (poem_id <> true_id) AS decoys FROM k GROUP BY page)
-SELECT count(*) AS trials, count(*) FILTER (rank = 1) AS top1, count(*) FILTER (rank <= 5) AS top5, count(*) FILTER (decoys > 0) AS decided, 0 AS decoys_with_refrain FROM p""",
-    "increasing_runs": f"WITH a AS (SELECT source, list(n_chars ORDER BY doc_id, n_chars)::BIGINT[] AS v FROM documents WHERE doc_id < 40 * 20 GROUP BY source) SELECT source, {_LIS.format('v')} AS longest, len(v) AS n FROM a",
+    "retrieval_report": f"""WITH {_BEST}, v AS (SELECT page, poem_id, round(sum(score), 6) AS votes FROM best GROUP BY ALL), t AS (SELECT page, min(poem_id) AS true_id FROM v GROUP BY page), k AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY votes DESC, poem_id) AS rank FROM v JOIN t USING (page)),
+p AS (SELECT page, any_value(true_id) AS true_id, min(rank) FILTER (poem_id = true_id) AS rank, max(votes) FILTER (poem_id = true_id) AS own, arg_min(poem_id, rank) FILTER (poem_id <> true_id) AS decoy, arg_min(votes, rank) FILTER (poem_id <> true_id) AS other FROM k GROUP BY page),
+m AS (SELECT list_sort(list((own - other) / own) FILTER (own > 0 AND other IS NOT NULL)) AS v FROM p)
+SELECT count(*) AS trials, count(*) FILTER (rank = 1) AS top1, count(*) FILTER (rank <= 5) AS top5, count(*) FILTER (own > 0 AND decoy IS NOT NULL) AS decided, (SELECT round(v[len(v) // 2 + 1], 6) FROM m) AS margin_median, count(*) FILTER (own > 0 AND true_id % 3 = decoy % 3) AS decoys_with_refrain FROM p""",
+    "increasing_runs": f"WITH a AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: length(x))::BIGINT[] AS v FROM documents WHERE text IS NOT NULL) SELECT doc_id, {_LIS.format('v')} AS longest, len(v) AS n FROM a",
     "split_counts": "WITH a AS (SELECT ('0x' || substr(sha256('42:page-' || doc_id), 1, 8))::BIGINT / 4294967295.0 AS b FROM documents) SELECT CASE WHEN b < 0.1 THEN 'test' WHEN b < 0.2 THEN 'validation' ELSE 'train' END AS split, count(*) AS pages FROM a GROUP BY ALL",
     "build_manifest": "SELECT 'My-book-book_' || doc_id AS id, 'book_' || doc_id AS page, 'book_' || doc_id || '.jpg' AS image, 'book_' || doc_id || '.txt' AS text, sha256(source) AS image_sha256, sha256(text) AS text_sha256, 'candidate' AS status, 'verse' AS mode FROM documents WHERE text <> ''",
     "hash_mismatches": "SELECT doc_id FROM documents WHERE text IS NULL OR doc_id % 10 = 0",

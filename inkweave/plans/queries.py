@@ -14,6 +14,7 @@ from ..functions.text import PROSE, VERSE, base_name, corrupt, first_number, inc
 from ..operators import alignment, dictionary, discovery, evaluation, html, manifest, matching, scoring
 from ..sources import references as refs
 from ..sources import texts
+from .lineage import cut
 
 #: A trigram of more reference lines than this counts as hot in ``gram_frequencies``. Matching has the operator's own cap.
 HOT = 60
@@ -43,8 +44,7 @@ def poems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def both(spark, sf_dir):
-    """Pages and poems, kept: every use would make the trigrams anew."""
-    return pages(spark, sf_dir).persist(), poems(spark, sf_dir).persist()
+    return pages(spark, sf_dir), poems(spark, sf_dir)
 
 
 def records(spark, sf_dir):
@@ -52,6 +52,12 @@ def records(spark, sf_dir):
     return alignment.align(query, index), query, index
 
 
+def kept_records(spark, sf_dir):
+    """Records that several later steps read: few rows, written to the checkpoint folder."""
+    found, query, index = records(spark, sf_dir)
+    return cut(found), query, index
+
+
 def scan_verse(spark, sf_dir):
     return texts.verse_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", "line", "text")
 
@@ -119,14 +125,19 @@ def align_pages(spark, sf_dir):
 
 
 def negative_control(spark, sf_dir):
-    found, query, index = records(spark, sf_dir)
-    truth = found.where("tier = 'gold'").select("page", "poem_id").persist()
+    found, query, index = kept_records(spark, sf_dir)
+    truth = found.where("tier = 'gold'").select("page", "poem_id")
     return alignment.control_rates(alignment.control(query, index, truth), truth)
 
 
 def discover_gaps(spark, sf_dir):
-    found, query, index = records(spark, sf_dir)
-    return discovery.discover(found.persist(), query, index).select("page", "poem_id", "line", "verse", "jaccard", "is_global_top", "exclusion")
+    """Of pages whose every third line has faded, so that plain matching leaves it out."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
+    faded = F.when(F.col("line") % 3 == 1, F.regexp_replace("text", "([a-z]{2})[a-z]", "$1")).otherwise(F.col("text"))
+    query = matching.with_trigrams(_sentences(docs, "doc_id", "page", "line").withColumn("text", faded), words)
+    index = poems(spark, sf_dir)
+    found = cut(alignment.align(query, index))
+    return discovery.discover(found, query, index).select("page", "poem_id", "line", "verse", "jaccard", "is_global_top", "exclusion")
 
 
 def line_votes(spark, sf_dir):
@@ -151,15 +162,19 @@ def idf_overlap(spark, sf_dir):
 
 
 def _lines(spark, sf_dir):
-    """page, line, text, words of all sentences that have a word, numbered without gaps; kept, as every use would fold them anew."""
+    """page, line, text, words of all sentences that have a word, numbered without gaps."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text").where("text IS NOT NULL").repartition("doc_id")
     parts = F.transform(F.transform(F.split("text", r"[.\n]+"), texts.strip), lambda x: F.struct(x.alias("text"), words(x).alias("words")))
     kept = docs.select(F.col("doc_id").alias("page"), F.posexplode(F.filter(parts, lambda x: F.size(x["words"]) > 0)).alias("line", "_l"))
-    return kept.select("page", "line", "_l.*").persist()
+    return kept.select("page", "line", "_l.*")
+
+
+def _damage():
+    return F.regexp_replace("text", "([a-z]{5})[a-z]", "$1")
 
 
 def _damaged(lines):
-    return lines.withColumn("words", words(F.regexp_replace("text", "([a-z]{5})[a-z]", "$1")))
+    return lines.withColumn("words", words(_damage()))
 
 
 def best_offset(spark, sf_dir):
@@ -176,8 +191,8 @@ def pair_rates(spark, sf_dir):
 
 def prose_rates(spark, sf_dir):
     lines = _lines(spark, sf_dir)
-    strict = F.filter(F.split("text", " "), lambda x: x != "")
-    rates = scoring.prose_rates(lines.withColumn("strict", strict), _damaged(lines).withColumn("strict", strict))
+    strict = lambda text: F.filter(F.split(text, " "), lambda x: x != "")
+    rates = scoring.prose_rates(lines.withColumn("strict", strict(F.col("text"))), _damaged(lines).withColumn("strict", strict(_damage())))
     return rates.select("page", "hyp_lines", "ref_lines", "hyp_tokens", "ref_tokens", "folded_character_distance", F.round("folded_character_error_rate", 9).alias("folded_character_error_rate"), "strict_character_distance")
 
 
@@ -229,16 +244,17 @@ def rising_steps(spark, sf_dir):
 
 def retrieval_report(spark, sf_dir):
     query, index = both(spark, sf_dir)
-    scores = matching.line_votes(query, index).persist()
+    scores = cut(matching.line_votes(query, index).withColumn("votes", F.round("votes", 6)))
     truth = scores.groupBy("page").agg(F.min("poem_id").alias("poem_id"))
-    none = index.select("poem_id", F.array().cast("array<string>").alias("radif")).distinct()
-    return evaluation.retrieval_report(scores, truth, none).drop("margin_median")
+    refrains = index.select("poem_id", F.array((F.col("poem_id") % 3).cast("string")).alias("radif")).distinct()
+    report = evaluation.retrieval_report(scores, truth, refrains)
+    return report.withColumn("margin_median", F.round("margin_median", 6))
 
 
 def increasing_runs(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
-    rows = docs.groupBy("source").agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "n_chars"))), lambda x: x["n_chars"]).alias("v"))
-    return rows.select("source", increasing_length(F.col("v")).alias("longest"), F.size("v").alias("n"))
+    """Of each text's line lengths, as alignment takes it of a page's verses; no array is longer than a text."""
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.transform(F.split("text", r"\n"), lambda x: F.length(x).cast("long")).alias("v")).where("v IS NOT NULL")
+    return rows.select("doc_id", increasing_length(F.col("v")).alias("longest"), F.size("v").alias("n"))
 
 
 def split_counts(spark, sf_dir):

@@ -42,6 +42,7 @@ def test_rates_of_all_languages_and_lines(spark, write):
     docs = {1: ("en", ".".join([*long, " ".join(f"word{'xyz'[k % 3]}" for k in range(45))])), 2: ("fr", "Élève déjà pendant\nle garçon mangeait.... !!\nla forêt entière\nune maison"), 3: ("de", "nur"), 4: ("en", None), 5: ("en", "")}
     folder = write("documents", [(i, lang, t) for i, (lang, t) in docs.items()], "doc_id bigint, lang string, text string")
     lines = {i: [x.strip() for x in re.split(r"[.\n]+", t or "") if folded(x)] for i, (_, t) in docs.items()}
+    strict = {i: ["".join(x.replace(" ", "") for x in side) for side in (part, [damaged(x) for x in part])] for i, part in lines.items()}
     lines = {i: [(folded(x), folded(damaged(x))) for x in part] for i, part in lines.items() if part}
     assert {i: len(x) for i, x in lines.items()} == {1: 48, 2: 4, 3: 1}
     pairs, prose = ({r.page: r for r in f(spark, folder).collect()} for f in (queries.pair_rates, queries.prose_rates))
@@ -52,7 +53,7 @@ def test_rates_of_all_languages_and_lines(spark, write):
         h, b = ("".join(w for x in part for w in x[k]) for k in (0, 1))
         edits, size = sum(distance(*x) for x in part), sum(len(x[1]) for x in part)
         assert tuple(pairs[i])[1:] == (len(part), sum(x == y for x, y in part), edits, size, round(edits / size, 9), round(distance(h, b) / max(len(h), len(b)), 9))
-        assert (prose[i].hyp_lines, prose[i].ref_lines, prose[i].hyp_tokens, prose[i].folded_character_distance, prose[i].strict_character_distance) == (len(part), len(part), sum(len(x[0]) for x in part), distance(h, b), 0)
+        assert (prose[i].hyp_lines, prose[i].ref_lines, prose[i].hyp_tokens, prose[i].folded_character_distance, prose[i].strict_character_distance) == (len(part), len(part), sum(len(x[0]) for x in part), distance(h, b), distance(*strict[i]))
         h, b = (" ".join(w for x in part for w in x[k]) for k in (0, 1))
         rates.append(distance(h, b) / max(len(h), len(b)))
     for i in (1, 2):
@@ -78,9 +79,9 @@ def test_refrains_hold_for_all_lines(spark, write):
     assert queries.refrain_share(spark, folder).first().n == 7 + 7 + 4
 
 
-def test_runs_of_all_documents(spark, write):
-    folder = write("documents", [("a", i, i) for i in range(790, 830)] + [("b", 5000, 1)], "source string, doc_id bigint, n_chars bigint")
-    assert sorted(tuple(r) for r in queries.increasing_runs(spark, folder).collect()) == [("a", 40, 40), ("b", 1, 1)]
+def test_runs_of_whole_texts(spark, write):
+    folder = write("documents", [(1, "\n".join("x" * k for k in (3, 1, 2, 2, 5, 4))), (2, ""), (3, None), (5000, "\n".join("y" * k for k in range(40)))], "doc_id bigint, text string")
+    assert sorted(tuple(r) for r in queries.increasing_runs(spark, folder).collect()) == [(1, 3, 6), (2, 1, 1), (5000, 40, 40)]
 
 
 def test_states_by_the_whole_text(spark, write):
