@@ -16,7 +16,7 @@ import sys
 from array import array
 
 #: Words kept by each worker, about 200 bytes each.
-CACHED = 800_000
+CACHED = 600_000
 
 
 def vocabulary(name: str) -> str:
@@ -233,11 +233,11 @@ def encoder(kind: type, path: str, plain: bool = False) -> _Ids:
     return _LOADED[kind, path, plain]
 
 
-def slices(batch, size: int = 4_000_000, rows: int = 1024):
-    """Arrow batches cut so that each holds about ``size`` characters at most, or one row."""
+def slices(batch, text="text", size: int = 4_000_000, rows: int = 1024):
+    """Arrow batches cut so that each holds about ``size`` characters of its column ``text`` (name or place) at most, or one row."""
     import pyarrow.compute as pc
 
-    texts = batch.column("text")
+    texts = batch.column(text)
     lengths = pc.fill_null(pc.utf8_length(texts), 0).to_pylist()
     start = held = 0
     for i, n in enumerate(lengths):

@@ -235,9 +235,9 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, bar: float = BAR) -> DataFram
         import pyarrow as pa
 
         own = model.prepare()
-        for batch in batches:
-            keep = [own.score(own.marginals((t or "").lower().split())[1]) < bar for t in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+        for part in (x for batch in batches for x in slices(batch, at)):
+            keep = [own.score(own.marginals((t or "").lower().split())[1]) < bar for t in part.column(at).to_pylist()]
+            yield part.filter(pa.array(keep, pa.bool_()))
 
     return batched(docs).mapInArrow(run, docs.schema)
 
