@@ -49,5 +49,23 @@ def test_shards_and_blocks_make_no_difference_to_what_is_near(spark):
     assert len(found) == 150 and hits >= 0.9 * 150
 
 
+def test_few_vectors_are_verified(spark):
+    rng = np.random.default_rng(6)
+    even = rng.normal(size=(2500, 64))
+    even /= np.sqrt((even**2).sum(axis=1, keepdims=True))
+    near = np.repeat(rng.normal(size=(250, 64)), 10, axis=0) + rng.normal(size=(2500, 64)) * 0.3
+    for vectors, most in ((even, 0.1), (near, 0.03)):
+        frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors.astype("float32"))], "vec_id bigint, embedding array<float>")
+        rows = {i: v for i, v in enumerate(vectors.astype("float32").astype(float))}
+        got, hits = {}, 0
+        for r in nearest_neighbours(frame, frame.where("vec_id % 100 = 0"), report=True).collect():
+            got.setdefault(r.query_id, []).append(r)
+        for q, found in got.items():
+            hits += len({i for _, i in brute(rows, q, 10)} & {r.vec_id for r in found})
+        share = np.mean([found[0].verified for found in got.values()]) / len(vectors)
+        print(f"recall {hits / 250:.3f}, verified {share:.3f}")
+        assert len(got) == 25 and hits / 250 >= 0.9 and share <= most
+
+
 def test_empty(spark, write):
     assert op3_neighbours(spark, write("embeddings", [], VECTORS)).count() == 0
