@@ -3,7 +3,8 @@
 A document is the set of its distinct k-word shingles (A-Z lower-cased); fewer words make one shingle, no words
 none. Documents with ``100 * intersection >= 80 * union`` are linked, and a component keeps its smallest doc_id.
 
-1. Equal sets are one class, represented by the smallest doc_id; everything below is about representatives.
+1. Equal sets are one class, and everything below is about classes. A class is known by its smallest doc_id; where one doc_id has several texts and is the
+   smallest of several classes, all but one of these go by a hash of their set instead, and are linked with that one.
 2. Each set gets ``BANDS * ROWS`` SetSketch registers: the minimum of an exponential variable over the set, on a scale of
    base ``BASE``, cut to 16 bits. Registers of a union are the larger ones of its parts, and two registers agree with a probability of
    about the Jaccard similarity. A pair at 0.8 shares none of the 42 bands of 6 registers with a probability of 3e-6.
@@ -21,7 +22,7 @@ none. Documents with ``100 * intersection >= 80 * union`` are linked, and a comp
 
 Verification reads whole texts, which travel compressed and only to where a pair needs them.
 
-Null and empty texts have no shingles, are linked with nothing and stay. Rows with a null doc_id are kept, with null component. Rows that
+Null and empty texts have no shingles, are linked with nothing and stay. Rows with a null doc_id are kept, with null component. Rows with words that
 share a doc_id are one document: linked, and kept together.
 """
 
@@ -114,17 +115,16 @@ def _sketches(k: int):
     def run(batches):
         import numpy as np
         import pyarrow as pa
-        from xxhash import xxh3_128_intdigest
 
         for batch in batches:
             for part in slices(batch):
                 n, high, low, regs, bands = [], [], [], [], []
                 for text in part.column("text").to_pylist():
                     s = shingles(text, k)
-                    r, digest = registers(s), xxh3_128_intdigest(s.tobytes())
+                    r, digest = registers(s), _digest(s)
                     n.append(len(s))
-                    high.append((digest >> 64) - (1 << 63))
-                    low.append((digest & (1 << 64) - 1) - (1 << 63))
+                    high.append(digest[0])
+                    low.append(digest[1])
                     regs.append(r[:ESTIMATED].tobytes())
                     bands.append(band_keys(r))
                 rows = len(n)
@@ -152,15 +152,32 @@ def _estimated(batches):
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep), pa.array(j).filter(keep)], names=["a", "b", "estimate"])
 
 
-def _compressed(batches):
-    import pyarrow as pa
-    import zstandard
+def _digest(sets) -> tuple[int, int]:
+    from xxhash import xxh3_128_intdigest
 
-    pack = zstandard.ZstdCompressor(level=3)
-    for batch in batches:
-        for part in slices(batch):
-            z = [pack.compress((t or "").encode("utf-8", "surrogatepass")) for t in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(z, pa.binary())], names=["node", "z"])
+    digest = xxh3_128_intdigest(sets.tobytes())
+    return (digest >> 64) - (1 << 63), (digest & (1 << 64) - 1) - (1 << 63)
+
+
+def _compressed(k: int | None = None):
+    """(doc_id, text) to (doc_id, z), or, with a ``k``, to (high, low, z) by the class."""
+
+    def run(batches):
+        import pyarrow as pa
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            for part in slices(batch):
+                texts = part.column("text").to_pylist()
+                z = pa.array([pack.compress((t or "").encode("utf-8", "surrogatepass")) for t in texts], pa.binary())
+                if k is None:
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), z], names=["doc_id", "z"])
+                else:
+                    high, low = zip(*[_digest(shingles(t, k)) for t in texts])
+                    yield pa.RecordBatch.from_arrays([pa.array(high, pa.int64()), pa.array(low, pa.int64()), z], names=["high", "low", "z"])
+
+    return run
 
 
 def _unpack(z: bytes, unpacker, k: int):
@@ -278,7 +295,20 @@ class _Links:
         self.sets = stored(self.docs.mapInArrow(_sketches(k), SETS), "sets")
         real = self.sets.where("doc_id IS NOT NULL AND n_shingles > 0")
         self.classes = stored(real.groupBy("high", "low").agg(F.min("doc_id").alias("node")), "classes")
-        mine = real.join(self.classes.withColumnsRenamed({"high": "h", "low": "l"}), (F.col("high") == F.col("h")) & (F.col("low") == F.col("l")) & (F.col("doc_id") == F.col("node")))
+        #: doc_ids that are the smallest of several classes; None where there are none, which is usual.
+        again = self.classes.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("high", "low")).alias("own")).where("c > 1").select(F.col("node").alias("first"), "own")
+        again = stored(again, "repeated-ids")
+        self.twins = None
+        if not again.isEmpty():
+            known = self.classes.join(again, F.col("node") == F.col("first"), "left")
+            mine = F.col("first").isNull() | (F.struct("high", "low") == F.col("own"))
+            node = F.when(mine, F.col("node")).otherwise(F.xxhash64("high", "low", "node"))
+            classes = stored(known.select("high", "low", node.alias("node"), F.col("node").alias("doc")), "classes")
+            self.twins = stored(classes.where("node <> doc").select("high", "low", "node", "doc"), "twins")
+            drop_stored(self.classes)
+            self.classes = classes
+        first = F.col("doc") if self.twins is not None else F.col("node")
+        mine = real.join(self.classes.withColumnsRenamed({"high": "h", "low": "l"}), (F.col("high") == F.col("h")) & (F.col("low") == F.col("l")) & (F.col("doc_id") == first))
         self.nodes = stored(mine.select("node", F.col("n_shingles").alias("n"), "registers", "bands").dropDuplicates(["node"]), "nodes")
         rows = self.nodes.select("node", F.explode("bands").alias("band"))
         buckets = rows.groupBy("band").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("members")).where("members > 1")
@@ -287,7 +317,14 @@ class _Links:
         self.members = stored(rows.join(buckets, "band"), "members")
         #: Compressed texts (node, z) of all that share a bucket.
         shared = self.members.select("node").distinct()
-        self.texts = stored(self.docs.mapInArrow(_compressed, "node bigint, z binary").join(shared, "node", "left_semi"), "texts")
+        if self.twins is None:
+            texts = self.docs.mapInArrow(_compressed(), "doc_id bigint, z binary").withColumnRenamed("doc_id", "node")
+        else:  # one doc_id may have several texts: those are told apart by their sets
+            several = self.twins.select(F.col("doc").alias("doc_id")).distinct()
+            texts = self.docs.join(several, "doc_id", "left_anti").mapInArrow(_compressed(), "doc_id bigint, z binary").withColumnRenamed("doc_id", "node")
+            odd = self.docs.join(several, "doc_id", "left_semi").mapInArrow(_compressed(k), "high bigint, low bigint, z binary")
+            texts = texts.unionByName(odd.join(self.classes.select("high", "low", "node"), ["high", "low"]).select("node", "z"))
+        self.texts = stored(texts.join(shared, "node", "left_semi"), "texts")
 
     def estimated(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b), whose estimate leaves a link possible."""
@@ -343,17 +380,22 @@ def near_duplicates(docs: DataFrame, k: int = 5) -> DataFrame:
     release(spark)
     stars = work.members.where("first <> node").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     likely = work.estimated(stars)
-    best = likely.groupBy("b").agg(F.max_by("a", F.struct("estimate", -F.col("a"))).alias("a")).select("a", "b")
+    best = likely.groupBy("b").agg(F.max_by("a", F.struct("estimate", F.bitwise_not("a"))).alias("a")).select("a", "b")
     links = work.verified(best)
     release(spark)
     labels = components(links)
     links = links.union(work.across_components(labels))
     release(spark)
-    place = work.sets.join(work.classes, ["high", "low"], "left").select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("node")).alias("node"))
+    classes = work.classes.select("high", "low", "node")
+    place = work.sets.join(classes, ["high", "low"], "left").select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("node")).alias("node"))
     #: Rows that share a doc_id, and lie in several classes, link these.
     several = place.where("node IS NOT NULL").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("doc_id", "a")
     twice = place.join(several, "doc_id").select("a", F.col("node").alias("b")).where("a <> b").distinct()
-    final = work.labelled(place, components(links.union(twice)), "node", "component_id")
+    labels = components(links.union(twice))
+    if work.twins is not None:  # a label may be a hash: the smallest doc_id of the component, instead
+        named = work.classes.join(labels, "node").groupBy("label").agg(F.min("doc").alias("least"))
+        labels = stored(labels.join(named, "label").select("node", F.col("least").alias("label")), "labels")
+    final = work.labelled(place, labels, "node", "component_id")
     component = F.coalesce("component_id", "doc_id")
     return final.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 

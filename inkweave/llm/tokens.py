@@ -16,7 +16,7 @@ import sys
 from array import array
 
 #: Words kept by each worker, about 200 bytes each.
-CACHED = 600_000
+CACHED = 400_000
 
 
 def vocabulary(name: str) -> str:

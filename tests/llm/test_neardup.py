@@ -78,6 +78,41 @@ def test_query_nulls_and_repeated_ids(spark, write):
     assert got == [(0, 0, True), (0, 0, True), (7, 7, True), (7, 7, True), (9, 7, False), (9, 7, False), (11, 7, False), (12, 12, True), (13, 13, True)]
 
 
+def brute_rows(rows, k):
+    """(doc_id, n_shingles, component_id, kept) of rows whose doc_ids repeat: those are one document."""
+    sets = [words_of(t, k) for _, t in rows]
+    parent = {i: i for i, _ in rows if i is not None}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for (a, x), (b, y) in itertools.combinations([(i, s) for (i, _), s in zip(rows, sets) if i is not None and s], 2):
+        both = len(x & y)
+        if 100 * both >= 80 * (len(x) + len(y) - both):
+            low, high = sorted((root(a), root(b)))
+            parent[high] = low
+    return sorted((i is None, i or 0, len(s), root(i) if s and i is not None else i, i is None or not s or root(i) == i) for (i, _), s in zip(rows, sets))
+
+
+def test_ids_that_repeat_over_different_texts(spark):
+    rng = np.random.default_rng(12)
+    text = lambda: [str(x) for x in rng.integers(0, 10**9, 60)]
+    rows = []
+    for g in range(6):  # the smallest id of two classes, each with a near copy of its own
+        a, b = text(), text()
+        rows += [(100 * g + 1, " ".join(a)), (100 * g + 1, " ".join(b)), (100 * g + 20, " ".join([*a[:-1], "x"])), (100 * g + 30, " ".join([*b[:-1], "y"]))]
+    for _ in range(40):  # ids that meet anyhow
+        a, i = text(), int(rng.integers(1000, 1030))
+        rows += [(i, " ".join(a)), (int(rng.integers(1000, 1030)), " ".join([*a[:-1], "z"])), (None, " ".join(a))]
+    rows += [(1, " ".join(text())), (1, None), (1, ""), (2**63 - 5, rows[0][1]), (-(2**63), " ".join(text())), (-(2**63), rows[1][1])]
+    docs = spark.createDataFrame([(i, t, 1, "z", 2, 3) for i, t in rows], DOCS)
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(docs, 4).collect())
+    assert [x[:3] for x in got] == [x[:3] for x in brute_rows(rows, 4)]
+    assert got == brute_rows(rows, 4)
+
+
 def test_empty(spark, write):
     assert op8_neardup(spark, write("documents", [], DOCS)).count() == 0
 
