@@ -5,18 +5,19 @@ its anchor, the leftmost of its ``GRAM``-byte strings with the smallest hash: eq
 places, so only suffixes at anchors (about one byte in 85) need sorting, with what stands before them.
 
 1. Anchors of all windows are hashed; those whose string occurs once hold no repeat.
-2. The bytes that an anchor's windows cover, its context, are hashed too. If an equal context occurs elsewhere, all its windows are repeats.
-3. For the other anchors whose string occurs in several contexts the contexts themselves are fetched, one for each that is equal, and
-   sorted by deep-shallow sorting (see :mod:`.suffixes`), which gives exact matches to either side of the anchor.
-4. Strings with more than ``HOT`` contexts, as in a line that a third of all documents share, go another way: each of their
-   windows is hashed, and counted. That is exact too, and no task holds the contexts of one string.
-5. Intervals are merged by document and taken out of the text.
+2. The bytes that an anchor's windows cover, its context, are hashed too. Equal contexts count as one, with how many there are: digests do no more than that.
+3. Every different context that is there twice, or whose string occurs in another, is fetched once and
+   sorted by deep-shallow sorting (see :mod:`.suffixes`) among those of its string, twice if there are several of it. The order gives exact matches to either
+   side of the anchor, and so the bytes of each context that stand elsewhere too.
+4. Strings with more than ``HOT`` different contexts, as at the border of a passage that a third of all documents share, would be one task's: their contexts
+   are dealt out further, by a digest of each of their windows, and windows that meet another are repeats. That is exact too.
+5. What the sort says about a context goes to all places that have it; intervals are merged by document and taken out of the text.
 
 Counts are aggregated before every shuffle, contexts are deduplicated before they are sorted, and joins have the rows of one key
 on one side only, so that Spark can split what is skewed. Digests have 128 bits. Texts travel compressed.
 
 Null and empty texts have no bytes; texts under ``LENGTH`` bytes lose none. Repeated rows are other places: both lose what they
-share. A null doc_id is a document as any other.
+share. Rows are told apart by doc_id and a 64-bit digest of the text, those without a doc_id by a digest of 128 bits.
 """
 
 from __future__ import annotations
@@ -30,13 +31,15 @@ from .common import batched, drop_stored, release, stored, table
 from .suffixes import matches
 from .tokens import slices
 
-LENGTH, GRAM, HOT = 200, 32, 4096
+LENGTH, GRAM, HOT = 200, 32, 1024
 CHUNK = 1 << 19
-#: Stands for a null doc_id.
-NO_ID = -(2**63)
-ANCHORS = "doc bigint, own int, at bigint, gram bigint, high bigint, low bigint"
-CONTEXTS = "doc bigint, own int, at bigint, gram bigint, once boolean, context binary"
-SPANS = "doc bigint, own int, start bigint, stop bigint"
+#: A context is (gram, high, low); ``many`` if there are several equal ones.
+ANCHORS = "doc bigint, own bigint, at bigint, gram bigint, high bigint, low bigint"
+CONTEXTS = "doc bigint, own bigint, at bigint, gram bigint, high bigint, low bigint, many boolean, hot boolean, context binary"
+#: start and stop are places in the text, or for contexts that are many, distances from the anchor.
+VERDICTS = "doc bigint, own bigint, gram bigint, high bigint, low bigint, many boolean, start bigint, stop bigint"
+WINDOWS = "doc bigint, own bigint, many boolean, start bigint, high bigint, low bigint"
+TEXTS = "doc bigint, own bigint, doc_id bigint, z binary"
 RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, removed string"
 _POWERS: dict[int, tuple] = {}
 
@@ -45,11 +48,14 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def own_hash(raw: bytes) -> int:
-    """Tells rows with the same doc_id and different texts apart."""
-    from xxhash import xxh3_64_intdigest
+def row_key(doc: int | None, raw: bytes) -> tuple[int, int]:
+    """Tells rows apart, also those with the same doc_id and different texts."""
+    from xxhash import xxh3_64_intdigest, xxh3_128_intdigest
 
-    return (xxh3_64_intdigest(raw) & 0xFFFFFFFF) - (1 << 31)
+    if doc is not None:
+        return doc, _signed(xxh3_64_intdigest(raw))
+    d = xxh3_128_intdigest(raw, seed=1)
+    return _signed(d >> 64), _signed(d & (1 << 64) - 1)
 
 
 def _powers(n: int, base: int = 0x9E3779B97F4A7C15):
@@ -120,10 +126,6 @@ def _raw(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def _doc(x) -> int:
-    return NO_ID if x is None else x
-
-
 def _anchored(length: int, gram: int):
     def run(batches):
         import numpy as np
@@ -140,14 +142,13 @@ def _anchored(length: int, gram: int):
                         continue
                     packed = _packed(at, low, high)
                     digests = [xxh3_128_intdigest(raw[a : b + length], seed=k & 0xFFFF) for a, b, k in zip(low.tolist(), high.tolist(), packed.tolist())]
-                    out[0].append(np.full(len(at), _doc(doc)))
-                    out[1].append(np.full(len(at), own_hash(raw), dtype=np.int32))
+                    for column, value in zip(out, row_key(doc, raw)):
+                        column.append(np.full(len(at), value))
                     out[2].append(packed)
                     out[3].append(h)
                     out[4].append(np.array([d >> 64 for d in digests], dtype=np.uint64).view(np.int64))
                     out[5].append(np.array([d & (1 << 64) - 1 for d in digests], dtype=np.uint64).view(np.int64))
-                types = [pa.int64(), pa.int32(), *[pa.int64()] * 4]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], t) for c, t in zip(out, types)], names=["doc", "own", "at", "gram", "high", "low"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], pa.int64()) for c in out], names=["doc", "own", "at", "gram", "high", "low"])
 
     return run
 
@@ -159,70 +160,89 @@ def _compressed(batches):
     pack = zstandard.ZstdCompressor(level=5)
     for batch in batches:
         for part in slices(batch):
-            docs, raws = part.column("doc_id").to_pylist(), [_raw(t) for t in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([_doc(d) for d in docs], pa.int64()), pa.array([own_hash(r) for r in raws], pa.int32()), pa.array([pack.compress(r) for r in raws], pa.binary())],
-                names=["doc", "own", "z"],
-            )
+            raws = [_raw(t) for t in part.column("text").to_pylist()]
+            keys = [row_key(d, r) for d, r in zip(part.column("doc_id").to_pylist(), raws)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in zip(*keys)), part.column("doc_id"), pa.array([pack.compress(r) for r in raws], pa.binary())], names=["doc", "own", "doc_id", "z"])
+
+
+def _batched_rows(rows, schema: str, size: int):
+    """Arrow batches of about ``size`` of the rows (tuples) that an iterator of lists gives."""
+    import pyarrow as pa
+
+    kinds = {"bigint": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
+    names, types = zip(*[x.split() for x in schema.split(", ")])
+    held: list[tuple] = []
+
+    def batch():
+        return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(zip(*held), types)], names=list(names))
+
+    for part in rows:
+        held += part
+        if len(held) >= size:
+            yield batch()
+            held = []
+    if held:
+        yield batch()
 
 
 def _contexts(length: int):
-    """(doc, own, z, wanted: array of (at, gram, once)) to CONTEXTS."""
+    """(doc, own, z, wanted: array of (at, gram, high, low, many, hot)) to CONTEXTS."""
 
     def run(batches):
-        import pyarrow as pa
         import zstandard
 
         unpacker = zstandard.ZstdDecompressor()
-        names = [x.split()[0] for x in CONTEXTS.split(", ")]
-        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
-        for batch in batches:
-            rows = []
-            for doc, own, z, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc", "own", "z", "wanted"))):
-                raw = unpacker.decompress(z)
-                for w in wanted:
-                    _, low, high = _unpacked(w["at"])
-                    rows.append((doc, own, w["at"], w["gram"], w["once"], raw[low : high + length]))
-                if len(rows) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+
+        def found():
+            for batch in batches:
+                for doc, own, z, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc", "own", "z", "wanted"))):
+                    raw, rows = unpacker.decompress(z), []
+                    for w in wanted:
+                        _, low, high = _unpacked(w["at"])
+                        rows.append((doc, own, w["at"], w["gram"], w["high"], w["low"], w["many"], w["hot"], raw[low : high + length]))
+                    yield rows
+
+        return _batched_rows(found(), CONTEXTS, 20_000)
 
     return run
 
 
 def _sorted_groups(length: int):
-    """CONTEXTS in the order of gram, each gram's rows together, to SPANS."""
+    """CONTEXTS in the order of gram, each gram's rows together, to VERDICTS."""
 
-    def spans(group):
+    def verdicts(group):
+        group = list({row[4:6]: row for row in group}.values())  # a repeated row of the input has brought its contexts twice
+        if len(group) == 1 and not group[0][6]:
+            return
+        group = [x for row in group for x in ([row, row] if row[6] else [row])]
         lefts, rights = [], []
-        for _, _, at, _, _, context in group:
-            before = at >> 8 & 255
-            lefts.append(context[:before][::-1])
-            rights.append(context[before:])
-        for (doc, own, at, _, once, _), found in zip(group, matches(lefts, rights, length)):
-            if once:
-                place = at >> 16
+        for row in group:
+            before = row[2] >> 8 & 255
+            lefts.append(row[-1][:before][::-1])
+            rights.append(row[-1][before:])
+        last = None
+        for row, found in zip(group, matches(lefts, rights, length)):
+            if row is not last:  # the second one of a pair says the same
+                doc, own, at, gram, high, low, many, _, _ = last = row
+                place = 0 if many else at >> 16
                 for start, stop in merged([(place - a, place + b) for a, b in found]):
-                    yield doc, own, start, stop
+                    yield doc, own, gram, high, low, many, start, stop
 
     def run(batches):
-        import pyarrow as pa
-
-        names, types = ["doc", "own", "start", "stop"], [pa.int64(), pa.int32(), pa.int64(), pa.int64()]
-        group: list[tuple] = []
-        for batch in batches:
-            rows = []
-            for row in zip(*(batch.column(c).to_pylist() for c in ("doc", "own", "at", "gram", "once", "context"))):
-                if group and group[0][3] != row[3]:
-                    rows += spans(group) if len(group) > 1 else []
-                    group = []
-                group.append(row)
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
-        if len(group) > 1 and (rows := list(spans(group))):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+        def found():
+            group: list[tuple] = []
+            for batch in batches:
+                rows: list[tuple] = []
+                for row in zip(*(c.to_pylist() for c in batch.columns)):
+                    if group and group[0][3] != row[3]:
+                        rows += verdicts(group)
+                        group = []
+                    group.append(row)
+                yield rows
+            if group:
+                yield list(verdicts(group))
+
+        return _batched_rows(found(), VERDICTS, 20_000)
 
     return run
 
@@ -231,23 +251,16 @@ def _windows(length: int):
     """CONTEXTS to a row for each window: its digest and place."""
 
     def run(batches):
-        import pyarrow as pa
         from xxhash import xxh3_128_intdigest
 
-        names = ["doc", "own", "start", "once", "high", "low"]
-        types = [pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
-        for batch in batches:
-            rows = []
-            for doc, own, at, once, context in zip(*(batch.column(c).to_pylist() for c in ("doc", "own", "at", "once", "context"))):
-                _, low, _ = _unpacked(at)
-                for k in range(len(context) - length + 1):
-                    d = xxh3_128_intdigest(context[k : k + length])
-                    rows.append((doc, own, low + k, once, _signed(d >> 64), _signed(d & (1 << 64) - 1)))
-                if len(rows) > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+        def found():
+            for batch in batches:
+                for doc, own, at, many, context in zip(*(batch.column(c).to_pylist() for c in ("doc", "own", "at", "many", "context"))):
+                    _, low, _ = _unpacked(at)
+                    digests = [xxh3_128_intdigest(context[k : k + length]) for k in range(len(context) - length + 1)]
+                    yield [(doc, own, many, low + k, _signed(d >> 64), _signed(d & (1 << 64) - 1)) for k, d in enumerate(digests)]
+
+        return _batched_rows(found(), WINDOWS, 50_000)
 
     return run
 
@@ -264,7 +277,7 @@ def merged(spans) -> list[tuple[int, int]]:
 
 
 def _removed(batches):
-    """(doc, z, spans) to RESULT; removed has start:stop of each run, in bytes."""
+    """(doc_id, z, spans) to RESULT; removed has start:stop of each run, in bytes."""
     import pyarrow as pa
     import zstandard
 
@@ -273,7 +286,7 @@ def _removed(batches):
     types = [pa.int64()] * 4 + [pa.string()] * 2
     for batch in batches:
         rows = []
-        for doc, z, spans in zip(*(batch.column(c).to_pylist() for c in ("doc", "z", "spans"))):
+        for doc, z, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "z", "spans"))):
             raw = unpacker.decompress(z)
             runs = merged([(s["start"], s["stop"]) for s in spans or []])
             kept, end = hashlib.sha256(), 0
@@ -281,62 +294,60 @@ def _removed(batches):
                 kept.update(raw[end:a])
                 end = b
             kept.update(raw[end:])
-            rows.append((None if doc == NO_ID else doc, len(raw), sum(b - a for a, b in runs), len(runs), kept.hexdigest(), ",".join(f"{a}:{b}" for a, b in runs)))
+            rows.append((doc, len(raw), sum(b - a for a, b in runs), len(runs), kept.hexdigest(), ",".join(f"{a}:{b}" for a, b in runs)))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """SPANS of the bytes that lie in repeated substrings; spans of a document may overlap."""
+    """(doc, own, start, stop) of the bytes that lie in repeated substrings; spans of a document may overlap."""
     if not gram <= length < gram + 256:
         raise ValueError("length has to be gram to gram + 255")
-    spark = docs.sparkSession
+    spark, context = docs.sparkSession, ["gram", "high", "low"]
     found = batched(docs).select("doc_id", "text").mapInArrow(_anchored(length, gram), ANCHORS)
     several = found.groupBy("gram").agg(F.count(F.lit(1)).alias("places")).where("places > 1").select("gram")
     #: A join that reads an aggregate where it was made can't be split for a hot key; one that reads a table can.
-    repeated = stored(found.join(stored(several, "grams"), "gram", "left_semi"), "anchors")
+    several = stored(several, "grams")
+    repeated = stored(found.join(several, "gram", "left_semi"), "anchors")
+    drop_stored(several)
     release(spark)
-    contexts = repeated.groupBy("gram", "high", "low").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc", "own", "at")).alias("first"))
-    contexts = stored(contexts, "contexts")
-    kinds = contexts.groupBy(F.col("gram").alias("g")).agg(F.count(F.lit(1)).alias("kinds"))
-    kinds = stored(kinds, "kinds")
-    counted = stored(contexts.join(kinds, F.col("gram") == F.col("g")).where("copies > 1 OR kinds > 1").drop("g"), "counted")
+    contexts = stored(repeated.groupBy(*context).agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc", "own", "at")).alias("first")), "contexts")
+    kinds = stored(contexts.groupBy(F.col("gram").alias("g")).agg(F.count(F.lit(1)).alias("kinds")), "kinds")
+    wanted = contexts.join(kinds, F.col("gram") == F.col("g")).where("copies > 1 OR kinds > 1")
+    one = F.struct("first.at", *context, (F.col("copies") > 1).alias("many"), (F.col("kinds") > hot).alias("hot"))
+    asked = stored(wanted.groupBy("first.doc", "first.own").agg(F.collect_list(one).alias("wanted")), "asked")
     drop_stored(contexts)
+    drop_stored(kinds)
     release(spark)
-    placed = stored(repeated.join(counted, ["gram", "high", "low"]).select(
-        "doc", "own", "at", "gram", (F.col("copies") == 1).alias("once"), "kinds",
-        (F.col("first") == F.struct("doc", "own", "at")).alias("is_first"),
-    ), "placed")
-    drop_stored(repeated)
+    texts = docs.select("doc_id", "text").mapInArrow(_compressed, TEXTS).select("doc", "own", "z")
+    fetched = stored(texts.join(asked, ["doc", "own"]).mapInArrow(_contexts(length), CONTEXTS), "fetched")
+    drop_stored(asked)
     release(spark)
-    low = F.shiftright("at", 16) - F.shiftright("at", 8).bitwiseAND(F.lit(255))
-    high = F.shiftright("at", 16) - F.col("at").bitwiseAND(F.lit(255)) + length
-    whole = placed.where("NOT once").select("doc", "own", low.alias("start"), high.alias("stop"))
-    wanted = placed.where("kinds > 1 AND (once OR is_first)")
-    asked = wanted.groupBy("doc", "own").agg(F.collect_set(F.struct("at", "gram", "once", "kinds")).alias("wanted"))
-    texts = docs.select("doc_id", "text").mapInArrow(_compressed, "doc bigint, own int, z binary")
-    pieces = texts.join(asked, ["doc", "own"]).mapInArrow(_contexts(length), CONTEXTS)
-    many = wanted.where(F.col("kinds") > hot).select("gram").distinct()
-    sizes = stored(wanted.groupBy("gram").agg((F.max("kinds") > hot).alias("hot")), "sizes")
-    fetched = stored(pieces.join(sizes, "gram"), "fetched")
+    verdicts = fetched.where("NOT hot").repartition("gram").sortWithinPartitions("gram").mapInArrow(_sorted_groups(length), VERDICTS)
+    if not (widely := fetched.where("hot")).isEmpty():
+        windows = widely.mapInArrow(_windows(length), WINDOWS)
+        twice = stored(windows.groupBy("high", "low").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("high", "low"), "twice")
+        none = [F.lit(None).cast("bigint").alias(c) for c in context]
+        met = windows.where("NOT many").join(twice, ["high", "low"], "left_semi").select("doc", "own", *none, "many", "start", (F.col("start") + length).alias("stop"))
+        reach = [-F.shiftright("at", 8).bitwiseAND(F.lit(255)), length - F.col("at").bitwiseAND(F.lit(255))]
+        equal = widely.where("many").select("doc", "own", *context, "many", reach[0].alias("start"), reach[1].alias("stop"))
+        verdicts = verdicts.unionByName(met).unionByName(equal)
+    verdicts = stored(verdicts, "verdicts")
+    drop_stored(fetched)
+    release(spark)
+    place = F.shiftright("at", 16)
+    shared = repeated.join(verdicts.where("many").select(*context, "start", "stop"), context).select("doc", "own", (place + F.col("start")).alias("start"), (place + F.col("stop")).alias("stop"))
+    spans = stored(verdicts.where("NOT many").select("doc", "own", "start", "stop").unionByName(shared), "spans")
+    drop_stored(repeated)
     release(spark)
-    columns = ("doc", "own", "at", "gram", "once", "context")
-    near = fetched.where("NOT hot").select(*columns).repartition("gram").sortWithinPartitions("gram").mapInArrow(_sorted_groups(length), SPANS)
-    spans = whole.unionByName(near)
-    if not many.isEmpty():
-        windows = fetched.where("hot").select(*columns).mapInArrow(_windows(length), "doc bigint, own int, start bigint, once boolean, high bigint, low bigint")
-        twice = windows.groupBy("high", "low").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("high", "low")
-        twice = stored(twice, "twice")
-        spans = spans.unionByName(windows.where("once").join(twice, ["high", "low"], "left_semi").select("doc", "own", "start", (F.col("start") + length).alias("stop")))
-    return stored(spans, "spans")
+    return spans
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """RESULT for each row of ``docs`` (doc_id, text)."""
     spans = repeated_spans(docs, length, gram, hot).groupBy("doc", "own").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
-    release(docs.sparkSession)
-    texts = docs.select("doc_id", "text").mapInArrow(_compressed, "doc bigint, own int, z binary")
-    return texts.join(spans, ["doc", "own"], "left").select("doc", "z", "spans").mapInArrow(_removed, RESULT)
+    texts = docs.select("doc_id", "text").mapInArrow(_compressed, TEXTS)
+    return texts.join(spans, ["doc", "own"], "left").select("doc_id", "z", "spans").mapInArrow(_removed, RESULT)
 
 
 def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,5 +77,17 @@ def test_query_nulls_and_repeated_ids(spark, write):
     assert got == sorted((i or 0, *x) for (i, _), x in zip(rows, brute([t for _, t in rows], 200)))
 
 
+def test_many_rows_without_an_id_and_a_text_of_megabytes(spark):
+    rng = np.random.default_rng(4)
+    line = "a line that stands in each of these texts and goes on for so long that it is well over two hundred bytes " * 3
+    texts = [f"{rng.integers(10**12)} {line[: int(rng.integers(150, len(line)))]} {rng.integers(10**12)}" for _ in range(400)]
+    long = "".join(f"{x:012d} " for x in rng.integers(0, 10**12, 120_000)) + line
+    rows = [(None, t) for t in texts] + [(-(2**63), texts[0]), (1, long), (1, "q" + line), (2, line), (2, line)]
+    docs = spark.createDataFrame([(i, t, 1, "z", 2) for i, t in rows], DOCS)
+    for hot in (1024, 5):
+        got = sorted((r.doc_id is None, r.doc_id or 0, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(docs, hot=hot).collect())
+        assert got == sorted((i is None, i or 0, *x) for (i, _), x in zip(rows, brute([t for _, t in rows], 200)))
+
+
 def test_empty(spark, write):
     assert op1_repeats(spark, write("documents", [], DOCS)).count() == 0
