@@ -4,13 +4,16 @@
    excess reshared by weight (water filling, in closed form over the table of sources).
 2. A source's documents are permuted by a seeded digest and dealt into about sqrt(documents) equal digest ranges,
    its blocks. Both the blocks of a source and the documents of a block therefore stay about sqrt(n), however many
-   rows one source holds: prefix sums run over blocks, then inside a block, never over a whole source.
+   rows one source holds: prefix sums run over blocks, then inside a block, never over a whole source. The digest is of doc_id and text, so that
+   rows without a doc_id, or with the same, are dealt out as others are.
 3. A target is so many whole passes over the blocks and one partial pass, whose last document is cut, so that each
    source gives exactly round(target) words. The draws of a source are its (pass, block) pairs.
 4. :func:`shard_quotas` splits the exact number of draws of each source among the shards: at each node of a binary
    tree the left half gets an exact number of draws, and how many of each source is a multivariate hypergeometric
-   draw (source by source, each by inverting its conditional distribution at a hashed uniform number).
-5. Shards take disjoint runs of each source's permuted draws, and order their rows by another digest.
+   draw (source by source, each by inverting its conditional distribution at a hashed uniform number). There are ``SHARDS`` shards, and more where
+   one would hold over ``SHARD_WORDS`` words.
+5. Shards take disjoint runs of each source's permuted draws, and order their rows by another digest. :func:`mixed_documents` deals its rows out by shard,
+   in that order, so that what reads them next reads each shard mixed.
 
 Everything is DataFrame expressions. Null sources form a source of their own, after the others; null texts have
 size 0 and are taken 0 times. Sources of size 0 have target 0. Repeated rows are separate documents. All results are functions of
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import n_words, stored, table
 
 WEIGHTS, MOST, SEED = (5, 2, 1), 3, "mix-1"
-SHARDS = 64
+SHARDS, SHARD_WORDS = 64, 1 << 22
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
@@ -70,7 +73,7 @@ def shard_quotas(draws: DataFrame, shards: int = SHARDS, seed: str = SEED) -> Da
     tree = draws.agg(F.sort_array(F.collect_list(F.struct("source_no", F.col("n_draws").cast("long").alias("k")))).alias("ks")).select(F.lit(0).alias("low"), F.lit(shards).alias("high"), "ks")
     for _ in range(max(0, (shards - 1).bit_length())):
         split = tree.withColumn("mid", F.expr("(low + high) div 2")).withColumn("n", F.expr("aggregate(ks, 0L, (s, x) -> s + x.k)"))
-        u = f"((pmod(xxhash64('{seed}', low, high, x.source_no), 1048576) + 0.5D) / 1048576)"
+        u = f"((CAST(conv(substring(md5(concat('{seed}:', low, ':', high, ':', x.source_no)), 1, 8), 16, 10) AS BIGINT) + 0.5D) / 4294967296)"
         left = _drawn(u, "acc.big", "x.k", "acc.n")
         fold = (
             f"aggregate(ks, named_struct('big', n, 'n', n * (mid - low) div (high - low), 'out', CAST(array() AS ARRAY<BIGINT>)), "
@@ -88,11 +91,13 @@ def shard_quotas(draws: DataFrame, shards: int = SHARDS, seed: str = SEED) -> Da
     return flat.select("source_no", "shard", before.alias("first"), F.col("k").alias("n")).where("n > 0")
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, shards: int = SHARDS, seed: str = SEED, text: str = "text") -> DataFrame:
-    """doc_id, source, size, source_size, target, draws: array of (pass, shard, words, place). A document lies in
-    ``shard`` once for each of its draws, with its first ``words`` words, ordered there by ``place``."""
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    sizes = stored(docs.select("doc_id", "source", n_words(F.col(text)).alias("size"), key.alias("key")), "mix-sizes")
+def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, shards: int | None = None, seed: str = SEED, text: str = "text", carry: tuple = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, draws: array of (pass, shard, words, place); and row, a struct of the columns to ``carry``. A
+    document lies in ``shard`` once for each of its draws, with its first ``words`` words, ordered there by ``place``."""
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")))))
+    rows = docs.select("doc_id", "source", n_words(F.col(text)).alias("size"), key.alias("key"), *[F.struct(*carry).alias("row")] * bool(carry))
+    sizes = stored(rows.drop("row"), "mix-sizes")
+    rows = rows if carry else sizes
     number = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
     whole = F.round("target").cast("long")
     per = stored(
@@ -102,9 +107,13 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, shards: int = SHARDS
         .withColumn("rest", whole - F.col("passes") * F.col("source_size")),
         "mix-sources",
     )
+    if shards is None:
+        words = per.agg(F.sum("source_size")).first()[0] or 0
+        shards = max(SHARDS, -(-words // SHARD_WORDS))
     block = F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * F.col("blocks") / F.lit(2**32)).cast("long")
-    dealt = sizes.join(per.select(F.col("source").alias("s"), "source_no", "blocks"), F.col("source").eqNullSafe(F.col("s"))).withColumn("block", block).select("doc_id", "source_no", "block", "size", "key")
-    totals = dealt.groupBy("source_no", "block").agg(F.sum("size").alias("block_size"))
+    known = per.select(F.col("source").alias("s"), "source_no", "blocks")
+    dealt = lambda df: df.join(known, F.col("source").eqNullSafe(F.col("s"))).withColumn("block", block).select("doc_id", "source_no", "block", "size", "key", *["row"] * ("row" in df.columns))
+    totals = dealt(sizes).groupBy("source_no", "block").agg(F.sum("size").alias("block_size"))
     order = Window.partitionBy("source_no").orderBy("block")
     placed = stored(
         totals.join(per.select("source_no", "passes", "rest"), "source_no")
@@ -119,40 +128,54 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, shards: int = SHARDS
     runs = quotas.select("source_no", "shard", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("draw"))
     located = draws.join(runs, ["source_no", "draw"]).groupBy("source_no", "block").agg(F.sort_array(F.collect_list(F.struct("pass", "shard"))).alias("at"))
     blocks = placed.join(located, ["source_no", "block"], "left").select("source_no", "block", "block_start", "passes", "rest", "at")
-    inside = Window.partitionBy("source_no", "block").orderBy("key", "size", "doc_id")
-    rows = dealt.withColumn("inside", F.sum("size").over(inside) - F.col("size")).join(blocks, ["source_no", "block"])
+    inside = Window.partitionBy("source_no", "block").orderBy("key", "size", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = dealt(rows).withColumn("inside", F.sum("size").over(inside) - F.col("size")).join(blocks, ["source_no", "block"])
     part = F.greatest(F.lit(0).cast("long"), F.least("size", F.col("rest") - F.col("block_start") - F.col("inside")))
     rows = rows.withColumn("part", part).withColumn("draws", F.expr(
         f"filter(transform(coalesce(at, array()), x -> named_struct('pass', x.pass, 'shard', x.shard, 'words', if(x.pass < passes, size, part), 'place', md5(concat('{seed}', x.shard, ':', x.pass, ':', key)))), x -> x.words > 0)"
     ))
-    return rows.join(per.select("source_no", "source", "source_size", "target"), "source_no").select("doc_id", "source", "size", "source_size", "target", "draws")
+    return rows.join(per.select("source_no", "source", "source_size", "target"), "source_no").select("doc_id", "source", "size", "source_size", "target", "draws", *["row"] * bool(carry))
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: the columns of ``docs``, a row for each draw, its text cut to the words drawn and n_chars, where
-    there is one and the text is cut, following it. Rows that repeat a doc_id are drawn as one row of all their words would be."""
-    drawn = mix(docs, **how).groupBy("doc_id", "size").agg(F.min("draws").alias("draws"))
-    one = drawn.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.explode("draws").alias("_draw"))
-    words = r"split(text, '(?<=[^\\x20\\x09-\\x0D])(?=[\\x20\\x09-\\x0D])')"
-    cut = F.expr(f"if(_draw.words < _size, array_join(slice({words}, 1, CAST(_draw.words AS INT)), ''), text)")
-    rows = docs.join(one, F.col("doc_id").eqNullSafe(F.col("_id")) & (n_words(F.col("text")) == F.col("_size"))).withColumn("text", cut)
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_draw.words") < F.col("_size"), F.length("text")).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+    there is one and the text is cut, following it. Rows lie by shard, each shard's in the order of the mix."""
+    one = mix(docs, carry=tuple(docs.columns), **how).select("size", "row", F.explode("draws").alias("draw")).select("draw.shard", "draw.place", "draw.words", "size", "row")
+    words = r"split(row.text, '(?<=[^\\x20\\x09-\\x0D])(?=[\\x20\\x09-\\x0D])')"
+    part = F.col("words") < F.col("size")
+    rows = one.withColumn("text", F.when(part, F.expr(f"array_join(slice({words}, 1, CAST(words AS INT)), '')")).otherwise(F.col("row.text")))
+    changed = {"text": F.col("text"), "n_chars": F.when(part, F.length("text")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
+    rows = rows.repartition("shard").sortWithinPartitions("shard", "place")
+    return rows.select(*[changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """draws tells each draw as pass:shard:words, comma-joined."""
     mixed = mix(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
     taken = F.expr("aggregate(draws, 0L, (s, x) -> s + x.words)")
-    return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    told = F.expr("array_join(transform(draws, x -> concat(x.pass, ':', x.shard, ':', x.words)), ',')")
+    return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), told.alias("draws"))
 
 
+def _drawn_sql(u: str, big: str, good: str, n: str) -> str:
+    """As :func:`_drawn`, for DuckDB."""
+    mean = f"({n} * {good}::DOUBLE / greatest({big}, 1))"
+    sd = f"sqrt({mean} * (1 - {good} / greatest({big}, 1)) * ({big} - {n}) / greatest({big} - 1, 1))"
+    low = f"greatest(0, {n} - ({big} - {good}), floor({mean} - 12 * {sd})::BIGINT - 12)"
+    support = f"range({low}, least({good}, {n}, ceil({mean} + 12 * {sd})::BIGINT + 12) + 1)"
+    step = f"({good} - k)::DOUBLE * ({n} - k) / ((k + 1.0::DOUBLE) * ({big} - {good} - {n} + k + 1))"
+    total = f"list_reduce({support}, lambda a, k: {{'p': a.p * ({step}), 's': a.s + a.p}}, {{'p': 1::DOUBLE, 's': 0::DOUBLE}}).s"
+    return f"list_reduce({support}, lambda a, k: {{'p': a.p * ({step}), 's': a.s + a.p, 'k': CASE WHEN a.s < a.goal THEN k ELSE a.k END, 'goal': a.goal}}, {{'p': 1::DOUBLE, 's': 0::DOUBLE, 'k': ({low})::BIGINT, 'goal': {u} * {total}}}).k"
+
+
+_LEFT_SQL = _drawn_sql("((('0x' || substr(md5('mix-1:' || low || ':' || high || ':' || x.source_no), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)", "acc.big", "x.k", "acc.n")
+
 OP5_SQL = r"""
-WITH sizes AS (
+WITH RECURSIVE sizes AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5('mix-1:' || coalesce(doc_id::VARCHAR, '')) AS key FROM documents),
-per AS (SELECT source, sum(size)::BIGINT AS source_size FROM sizes GROUP BY source),
-weighed AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END::BIGINT AS weight FROM per),
+         md5('mix-1:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS key FROM documents),
+per AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n_docs, row_number() OVER (ORDER BY source NULLS LAST) AS source_no FROM sizes GROUP BY source),
+weighed AS (SELECT *, CASE (source_no - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END::BIGINT AS weight FROM per),
 steps AS (
   SELECT *, 3 * source_size AS cap,
          (SELECT sum(source_size) FROM per)::BIGINT
@@ -161,15 +184,42 @@ steps AS (
   FROM weighed),
 first AS (SELECT rest_size AS f_left, open AS f_open FROM steps WHERE rest_size * weight <= cap * open ORDER BY cap / weight, source NULLS LAST LIMIT 1),
 goals AS (
-  SELECT source, source_size,
+  SELECT source, source_no, source_size, n_docs,
          CASE WHEN f_left IS NULL OR f_left * weight / f_open > cap THEN cap::DOUBLE ELSE f_left * weight / f_open END AS target
   FROM steps LEFT JOIN first ON true),
+quota AS (
+  SELECT *, greatest(1, ceil(sqrt(n_docs)))::BIGINT AS blocks,
+         CASE WHEN source_size > 0 THEN round(target)::BIGINT // source_size ELSE 0 END AS passes,
+         round(target)::BIGINT - CASE WHEN source_size > 0 THEN round(target)::BIGINT // source_size ELSE 0 END * source_size AS rest FROM goals),
+dealt AS (
+  SELECT s.doc_id, s.size, s.key, q.*, floor(('0x' || substr(key, 1, 8))::BIGINT * blocks / 4294967296)::BIGINT AS block
+  FROM sizes s JOIN quota q ON s.source IS NOT DISTINCT FROM q.source),
+totals AS (SELECT source_no, block, sum(size)::BIGINT AS block_size, any_value(passes) AS passes, any_value(rest) AS rest FROM dealt GROUP BY ALL),
 placed AS (
-  SELECT s.*, g.source_size, g.target,
-         CASE WHEN g.source_size > 0 THEN round(g.target)::BIGINT // g.source_size ELSE 0 END AS passes,
-         (sum(size) OVER (PARTITION BY s.source ORDER BY key, size, doc_id ROWS UNBOUNDED PRECEDING))::BIGINT - size AS before
-  FROM sizes s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source)
-SELECT doc_id, size, source_size, target,
-       (passes * size + greatest(0, least(size, round(target)::BIGINT - passes * source_size - before)))::BIGINT AS taken
-FROM placed
-"""
+  SELECT *, (sum(block_size) OVER w)::BIGINT - block_size AS block_start, row_number() OVER w - 1 AS block_no, count(*) OVER (PARTITION BY source_no) AS n_blocks
+  FROM totals WINDOW w AS (PARTITION BY source_no ORDER BY block)),
+draw_counts AS (SELECT source_no, (max(passes) * max(n_blocks) + count(*) FILTER (block_start < rest))::BIGINT AS k FROM placed GROUP BY source_no),
+tree AS (
+  SELECT 0::BIGINT AS low, greatest(64, ceil((SELECT sum(source_size) FROM per) / 4194304))::BIGINT AS high, list({'source_no': source_no, 'k': k} ORDER BY source_no) AS ks FROM draw_counts
+  UNION ALL
+  SELECT unnest([low, mid]), unnest([mid, high]), unnest([list_transform(ks, lambda x, i: {'source_no': x.source_no, 'k': l[i]}), list_transform(ks, lambda x, i: {'source_no': x.source_no, 'k': x.k - l[i]})])
+  FROM (
+    SELECT *, list_reduce(ks, lambda acc, x: list_reduce([@LEFT@], lambda b, y: {'big': b.big - x.k, 'n': b.n - y, 'out': list_append(b.out, y)}, acc),
+      {'big': n, 'n': n * (mid - low) // (high - low), 'out': []::BIGINT[]}).out AS l
+    FROM (SELECT low, high, ks, (low + high) // 2 AS mid, list_sum(list_transform(ks, lambda x: x.k))::BIGINT AS n FROM tree WHERE high - low > 1))),
+flat AS (SELECT low AS shard, unnest(ks, recursive := true) FROM tree WHERE high - low = 1),
+runs AS (SELECT *, (sum(k) OVER (PARTITION BY source_no ORDER BY shard))::BIGINT - k AS first FROM flat),
+draws AS (SELECT source_no, block, n_blocks, block_no, unnest(range(passes + CASE WHEN block_start < rest THEN 1 ELSE 0 END)) AS pass FROM placed),
+located AS (
+  SELECT d.source_no, block, list({'pass': pass, 'shard': shard} ORDER BY pass, shard) AS spots
+  FROM draws d JOIN runs r ON d.source_no = r.source_no AND pass * n_blocks + block_no >= first AND pass * n_blocks + block_no < first + k GROUP BY ALL),
+cut AS (
+  SELECT d.*, p.block_start, coalesce(l.spots, []) AS spots,
+         (sum(d.size) OVER (PARTITION BY d.source_no, d.block ORDER BY d.key, d.size, d.doc_id ROWS UNBOUNDED PRECEDING))::BIGINT - d.size AS inside
+  FROM dealt d JOIN placed p USING (source_no, block) LEFT JOIN located l USING (source_no, block)),
+told AS (
+  SELECT *, list_filter(list_transform(spots, lambda x: {'pass': x.pass, 'shard': x.shard, 'words': CASE WHEN x.pass < passes THEN size ELSE greatest(0, least(size, rest - block_start - inside)) END}), lambda x: x.words > 0) AS d FROM cut)
+SELECT doc_id, size, source_size, target, coalesce(list_sum(list_transform(d, lambda x: x.words)), 0)::BIGINT AS taken,
+       array_to_string(list_transform(d, lambda x: x.pass || ':' || x.shard || ':' || x.words), ',') AS draws
+FROM told
+""".replace("@LEFT@", _LEFT_SQL)

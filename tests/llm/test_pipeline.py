@@ -4,6 +4,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from inkweave.llm.mixing import mix, mixed_documents, op5_mixing, shard_quotas, targets
@@ -100,6 +101,41 @@ def test_mixed_rows_are_the_draws(spark):
     assert {i: sorted(x) for i, x in got.items()} == {i: x for i, x in drawn.items() if x}
 
 
+def test_mixed_rows_lie_by_shard_in_the_order_of_the_mix(spark):
+    rows, _ = corpus(200)
+    docs = spark.createDataFrame(rows, DOCS)
+    shards = defaultdict(list)
+    for r in mix(docs, shards=5).collect():
+        for x in r.draws:
+            shards[x.shard].append((x.place, r.doc_id, x.words))
+    expected = {tuple((i, n) for _, i, n in sorted(x)) for x in shards.values()}
+    parts = defaultdict(list)
+    for r in mixed_documents(docs, shards=5).select("doc_id", "text", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("n")).orderBy("n").collect():
+        parts[r.p].append((r.doc_id, len(WORD.findall(r.text))))
+    assert len(expected) == 5
+    for part in parts.values():  # some shards, one after the other
+        while part:
+            run = next(x for x in expected if tuple(part[: len(x)]) == x)
+            expected.remove(run)
+            part[: len(run)] = []
+    assert not expected
+
+
+def test_rows_without_an_id_and_repeated_ones_are_drawn_by_themselves(spark):
+    rows = [(None, f"{k} one two three", "en", "a", 5) for k in range(40)] + [(7, "same row here", "en", "a", 3)] * 6 + [(8, "other", "en", "a", 1), (8, "text", "en", "a", 1)] + [(100 + i, "word " * 30, "en", "b", 9) for i in range(20)]
+    docs, sizes, taken = spark.createDataFrame(rows, DOCS), Counter(), Counter()
+    got = mix(docs).collect()
+    for r in got:
+        sizes[r.source] += r.size
+        taken[r.source] += sum(x.words for x in r.draws)
+    assert len(got) == len(rows) and sizes == {"a": 40 * 4 + 6 * 3 + 2, "b": 600}
+    assert {r.source: round(r.target) for r in got} == taken
+    mixed = Counter()
+    for r in mixed_documents(docs).collect():
+        mixed[r.source] += len(WORD.findall(r.text))
+    assert mixed == taken
+
+
 def test_stages(spark, write):
     rows, labels = corpus()
     write("labels", labels, LABELS)
