@@ -9,7 +9,8 @@ has paths. Every rule is keyed by its host and its path up to the last slash; a
 rule's also starts with that, so equality on those keys loses no rule. The join takes the first 8 hex digits of
 the key's SHA-256; the full digest and the rest of the path are confirmed after it.
 
-Null URLs and URLs without ``://`` have empty host and path and match no rule. Repeated rows stay repeated.
+Null URLs and URLs without ``://`` have empty host and path and match no rule; nor does an empty host. Rules with a null host or path fit
+nothing. Repeated rows stay repeated, and repeated rules count once. host, path, rule and verdict replace columns of these names.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stored, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The rules of the query op7.
@@ -67,8 +68,9 @@ def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
 def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
     """``pages`` with host, path, rule and verdict."""
     host, path = split_url(F.col(url))
-    split = pages.withColumns({"host": host, "path": path})
-    found = match_rules(split.select("host", "path").distinct(), rules)
+    split = pages.drop(*{"rule", "verdict"}.difference({url})).withColumns({"host": host, "path": path})
+    #: A join that reads an aggregate where it was made can't be split for a hot URL; one that reads a table can.
+    found = stored(match_rules(split.where("host <> ''").select("host", "path").distinct(), rules), "matched-urls")
     return split.join(found, ["host", "path"], "left").withColumn("verdict", F.coalesce("verdict", F.lit(default)))
 
 
