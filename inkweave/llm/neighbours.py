@@ -2,13 +2,13 @@
 
 Every vector is projected on ``PROJECTIONS`` random directions, and each projection of a shard is a sorted array. A query puts
 a window around its own projection in every array and widens all of them step by step (virtual rehashing: a wider
-window stands for a coarser bucket, and only what it adds is read). A vector found in ``NEEDED`` windows or
+window stands for a coarser bucket). The windows' ends come from binary searches, and a vector lies in a window if its place in that array does. A vector found in ``NEEDED`` windows or
 more is verified: its true distance is computed. Widening ends when a vector as near as the k-th verified one would have been
 found with a probability of ``FOUND``, or when the windows hold everything: the difference of two projections is normal with the distance
-as its deviation, so the number of windows that hold it is binomial. The last step goes to just that width. No cap is put on candidates.
+as its deviation, so the number of windows that hold it is binomial. Steps go to where the counts say that the next vectors come to the threshold, the last one to just that width. No cap is put on candidates.
 
 How sharply the threshold parts near from far depends on the number of projections alone. Of 2,000 evenly spread unit vectors of 64 dimensions,
-whose tenth neighbour is at 0.82 of the middle distance, 256 projections verify 8 % at a recall of 0.97, 96 verified 49 %; the farther the
+whose tenth neighbour is at 0.82 of the middle distance, 256 projections verify 7 % at a recall of 0.96, 96 verified 49 %; the farther the
 neighbours stand out, the fewer. A window covers most of an array on such data, so counts are kept where the arrays are: a row for each
 collision would be some two hundred times as many rows as there are pairs.
 
@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-PROJECTIONS, NEEDED, FOUND, WIDER = 256, 228, 0.8, 1.15
-SHARD_BYTES, BLOCK_BYTES = 48 << 20, 32 << 20
+PROJECTIONS, NEEDED, FOUND = 256, 228, 0.85
+SHARD_BYTES, BLOCK_BYTES, MOST_ROWS = 48 << 20, 32 << 20, 60_000
 FOUND_ROWS = "query_id bigint, vec_id bigint, score double, verified bigint"
 
 
@@ -48,52 +48,74 @@ def reach(m: int = PROJECTIONS, needed: int = NEEDED, found: float = FOUND) -> f
     return high
 
 
+def _half_width(share: float) -> float:
+    """How many deviations to either side hold that share of a normal distribution."""
+    low, high = 0.0, 10.0
+    for _ in range(40):
+        z = (low + high) / 2
+        low, high = (z, high) if erf(z / sqrt(2)) < share else (low, z)
+    return high
+
+
 class Index:
-    """The sorted projections of a shard."""
+    """The sorted projections of a shard, and each vector's place in each."""
 
     def __init__(self, ids, vectors, m: int = PROJECTIONS, seed: int = 7):
         import numpy as np
 
+        if len(ids) > MOST_ROWS:
+            raise ValueError("places have 16 bits")
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order]
         self.directions = np.random.default_rng(seed).normal(size=(vectors.shape[1], m))
         h = np.ascontiguousarray((self.vectors @ self.directions).T)
-        self.spread = float(h.std()) or 1.0
-        order = np.argsort(h, axis=1, kind="stable")
+        self.spread, self.middle = float(h.std()) or 1.0, float(h.mean())
         #: The arrays one after the other; each is moved beyond the one before it, so that one search serves all.
-        self.middle, self.apart = float(h.mean()), 4 * float(np.abs(h - h.mean()).max()) + 1.0
-        self.order = order.astype(np.int32).ravel()
+        self.apart = 4 * float(np.abs(h - self.middle).max()) + 1.0
+        order = np.argsort(h, axis=1, kind="stable")
         self.sorted = (np.take_along_axis(h, order, axis=1) - self.middle + self.apart * np.arange(m)[:, None]).ravel()
+        self.places = np.empty(h.shape, dtype=np.uint16)
+        np.put_along_axis(self.places, order, np.arange(h.shape[1], dtype=np.uint16)[None, :], axis=1)
+
+    def collisions(self, at, width: float):
+        """In how many windows around ``at`` each vector lies, and whether these hold everything."""
+        import numpy as np
+
+        m, n = self.places.shape
+        reached, starts = min(width, self.apart / 2), np.arange(m) * n
+        low, high = (np.clip(np.searchsorted(self.sorted, at + way, side=side) - starts, 0, n) for way, side in ((-reached, "left"), (reached, "right")))
+        first, size = low.astype(np.uint16)[:, None], (high - low).astype(np.uint16)[:, None]
+        counts = np.zeros(n, dtype=np.uint16)
+        for j in range(0, m, 32):  # a place before the window becomes a large number
+            counts += ((self.places[j : j + 32] - first[j : j + 32]) < size[j : j + 32]).sum(axis=0, dtype=np.uint16)
+        return counts, int((high - low).min()) >= n
 
     def nearest(self, queries, query_ids, k: int, needed: int = NEEDED, found: float = FOUND):
         """For each query the ids and distances of the k nearest that were found, and how many were verified."""
         import numpy as np
 
-        n, m = len(self.ids), self.directions.shape[1]
-        starts, z = np.arange(m) * n, reach(m, needed, found)
+        m, n = self.places.shape
+        z, there = reach(m, needed, found), _half_width(needed / m)
         for q in range(len(queries)):
-            at = np.clip(queries[q] @ self.directions - self.middle, -self.apart / 4, self.apart / 4)
-            at += self.apart * np.arange(m)
-            low = high = np.searchsorted(self.sorted, at)
-            counts, width = np.zeros(n, dtype=np.int64), 0.15 * self.spread
+            at = np.clip(queries[q] @ self.directions - self.middle, -self.apart / 4, self.apart / 4) + self.apart * np.arange(m)
             known, distance, verified = self.ids == query_ids[q], np.full(n, np.inf), 0
+            width, last = 0.1 * self.spread, np.inf
             while True:
-                reached = min(width, self.apart / 2)
-                left, right = np.searchsorted(self.sorted, at - reached, side="left"), np.searchsorted(self.sorted, at + reached, side="right")
-                left, right = np.minimum(np.maximum(left, starts), low), np.maximum(np.minimum(right, starts + n), high)
-                more = np.concatenate([low - left, right - high])
-                first = np.concatenate([left, high]) - (np.cumsum(more) - more)
-                counts += np.bincount(self.order[np.repeat(first, more) + np.arange(more.sum())], minlength=n)
-                low, high = left, right
+                counts, whole = self.collisions(at, width)
                 new = np.flatnonzero((counts >= needed) & ~known)
                 if len(new):
                     known[new] = True
                     distance[new] = np.sqrt(((self.vectors[new] - queries[q]) ** 2).sum(axis=1))
                     verified += len(new)
-                last = z * np.partition(distance, k - 1)[k - 1] if verified >= k else np.inf
-                if width >= last or int((high - low).min()) >= n:
+                if verified >= k:
+                    last = z * np.partition(distance, k - 1)[k - 1]
+                if width >= last or whole:
                     break
-                width = min(width * WIDER, last)
+                #: Where the k-th most frequent vector, that isn't verified, would come to the threshold, were its distance what its count says.
+                rest = counts[~known]
+                share = float(np.partition(rest, max(0, len(rest) - k))[max(0, len(rest) - k)]) / m if len(rest) else 0.0
+                wanted = width * there / max(0.05, _half_width(share)) if share > 0.2 else 2 * width
+                width = min(max(1.04 * width, min(0.95 * wanted, 2 * width)) if verified < k else 1.08 * width, last)
             best = np.lexsort((self.ids, distance))[: min(k, verified)]
             yield self.ids[best], distance[best], verified
 
@@ -131,7 +153,7 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, shar
     rows, asked = clean(vectors), clean(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
     sizes = vectors.select(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
     wide = max(1, sizes.d or 1)
-    shard, block = shard or max(1, SHARD_BYTES // (8 * wide + 20 * PROJECTIONS)), block or max(1, BLOCK_BYTES // (8 * wide))
+    shard, block = shard or min(MOST_ROWS // 2, max(1, SHARD_BYTES // (8 * wide + 20 * PROJECTIONS))), block or max(1, BLOCK_BYTES // (8 * wide))
     shards, blocks = max(1, -(-sizes.n // shard)), max(1, -(-queries.select("vec_id").count() // block))
     dealt = lambda parts: F.pmod(F.xxhash64("vec_id", F.lit(parts)), F.lit(parts))
     every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
