@@ -5,6 +5,8 @@ Spark rounds a double by its shortest decimal form, so the SQL goes by way of th
 
 from __future__ import annotations
 
+from .cases import CASES
+
 _STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 _WORDS = "list_filter(string_split(trim(regexp_replace(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), '[0-9]+', ' 0 ', 'g')), ' '), lambda x: x <> '')"
 _GRAMS = "list_distinct(list_transform(CASE WHEN length({0}) >= 3 THEN range(1, length({0}) - 1) ELSE [] END, lambda i: substr({0}, i, 3)))"
@@ -134,6 +136,9 @@ SELECT page, lines, exact_lines, CASE WHEN open = 0 THEN word_edits END AS word_
 SELECT page, n AS hyp_lines, n AS ref_lines, ht AS hyp_tokens, rt AS ref_tokens, a - b AS folded_character_distance, round((a - b) / greatest(1, b), 9) AS folded_character_error_rate, strict AS strict_character_distance FROM g""",
     "compare_sources": f"""WITH {_NUMBERED}, a AS (SELECT page, sum(length(array_to_string(words, ' '))) + count(*) - 1 AS t, sum(length(array_to_string(bad, ' '))) + count(*) - 1 AS u FROM l GROUP BY page),
 c AS (SELECT (t - u) / greatest(t, u) AS cer FROM a) SELECT count(*) AS n, count(*) FILTER (cer = 0) AS identical, list_sort(list(cer))[count(*) // 2 + 1] AS median_cer, max(cer) AS max_cer, 0 AS line_mismatches FROM c""",
+    "best_offset": f"""WITH {_NUMBERED}, h AS (SELECT page, line, array_to_string(words, ' ') AS h FROM l), r AS (SELECT page, line - 2 AS i, array_to_string(bad, ' ') AS f FROM l WHERE line >= 2), o AS (SELECT unnest(range(3)) AS "offset"),
+c AS (SELECT r.page, "offset", h, f FROM r CROSS JOIN o JOIN h ON h.page = r.page AND h.line = r.i + "offset"), m AS (SELECT page, "offset", avg(CASE WHEN "offset" = 2 THEN length(h) - length(f) WHEN regexp_matches(h || f, '^[ -~]*$') THEN levenshtein(h, f) ELSE levenshtein({_BYTES.format('h')}, {_BYTES.format('f')}) END / greatest(length(h), length(f))) AS mean_cer FROM c GROUP BY ALL)
+SELECT page, "offset", round(mean_cer, 9) AS mean_cer FROM m QUALIFY row_number() OVER (PARTITION BY page ORDER BY mean_cer, "offset") = 1""",
     "refrains": f"WITH {_RHYMES} SELECT gid, array_to_string(radif, ' ') AS radif FROM poem",
     "refrain_families": f"WITH {_RHYMES} SELECT array_to_string(radif, ' ') AS radif, count(*) AS members, count(DISTINCT poet) AS poets FROM poem WHERE len(radif) > 0 GROUP BY ALL",
     "family_sizes": f"WITH {_RHYMES}, f AS (SELECT radif, count(*) AS size FROM poem WHERE len(radif) > 0 GROUP BY radif) SELECT size, count(*) AS families FROM f GROUP BY size",
@@ -167,5 +172,13 @@ SELECT page_id, text, row_number() OVER (PARTITION BY page_id ORDER BY n) - 1 AS
     "cache_totals": f"WITH {_LISTED} SELECT lang AS poet, cat_id, count(*) AS listed, count(verses) AS files, coalesce(sum(len(verses)), 0) AS verses, count(*) FILTER (verses IS NULL) AS missing FROM listed LEFT JOIN files USING (id) GROUP BY ROLLUP (lang, cat_id)",
     "reference_verses": f"WITH {_LISTED} SELECT id AS poem_id, generate_subscripts(verses, 1) - 1 AS verse, length(unnest(verses)) AS n_chars FROM files",
     "persian_numbers": "SELECT * FROM (VALUES (1, 123), (2, 45), (3, NULL), (4, NULL)) AS t(id, number)",
+    "reading_noise": f"WITH a AS (SELECT item_id, {_WORDS.format('text')} AS w FROM benchmark) SELECT item_id, len(w) AS before, len(list_filter(range(len(w)), lambda i: ('0x' || substr(md5('0:drop:' || item_id || ':' || i), 1, 8))::BIGINT / 4294967296.0 > 0.3)) AS after FROM a",
+    "normalisation_cases": "SELECT * FROM (VALUES " + ", ".join(f"({k}, {str(merge).lower()}, {'true' if latest else 'NULL'})" for k, (_, _, _, merge, latest) in enumerate(CASES)) + ") AS t(id, merged, early_enough)",
+    "dictionary_books": """SELECT * FROM (VALUES ('a-017-001', 'آپ آرٹ', 'op art', 'آپٹک آرٹ', 'cross_reference', 'english_term', 1), ('a-017-002', 'آپٹک آرٹ', 'optic art', '', 'definition', 'english_term', 2), ('b-275-001', 'ترکیب', 'composition', '', 'definition', 'english_term', 1),
+('b-275-002', 'ترکیب بند', '', '', 'definition', 'ordered_heuristic', 2), ('b-275-003', 'ترکیبی زبانیں', 'organic languages', '', 'definition', 'english_term', 3), ('c-017-001', 'آزاد روپ', '', 'آزاد صرفیہ', 'cross_reference', 'direct_reference', 1)) AS t(id, headword, terms, targets, entry_type, rule, line)""",
+    "dictionary_unresolved": "SELECT * FROM (VALUES ('c', 'no_boundary', 1), ('d', 'page_corruption', 0), ('d', 'no_boundary', 0)) AS t(book, rule, found_at)",
+    "dictionary_recovery": "SELECT 'f-029-r001' AS id, 'اَبَتَث' AS headword, 'مفرد حروف کا مجموعہ۔' AS definition, 'ordered_recovery' AS rule, true AS needs_review",
+    "dictionary_validation": """SELECT * FROM (VALUES (1, 'farhang-017-001', 'اول', NULL), (2, 'farhang-017-002', 'دوم', NULL), (3, 'farhang-018-001', 'سوم', NULL), (4, 'farhang-018-002', 'آتم کتھا', NULL), (5, 'farhang-018-003', 'چار', 'empty definition'), (6, 'farhang-019-001', 'پانچ', 'invalid pages'),
+(7, 'farhang-017-003', ' ', 'invalid headword'), (8, 'farhang-017-004', 'چھ', 'invalid quality score')) AS t(sequence, id, headword, problem)""",
     "agreement_levels": "SELECT * FROM (VALUES ('كتاب', 'کتاب', 'encoding'), ('دیدۂ', 'دیدہ', 'orthographic'), ('دِل', 'دل', 'vocalisation'), ('در خور', 'درخور', 'segmentation'), ('گل', 'گل', 'identical'), ('گل', 'دل', NULL)) AS t(a, b, level)",
 }

@@ -6,14 +6,17 @@ rules are Urdu run on small inline tables.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.normalise import APPARATUS, LATIN, agreement, spaceless, tokens
+from ..functions.normalise import APPARATUS, APPARATUS_2, LATIN, RETRIEVAL, agreement, retrieval_merges, spaceless, tokens
 from ..functions.text import PROSE, VERSE, base_name, corrupt, first_number, increasing_length, keep_line, script_share, slug, split_name, stem, trigrams
 from ..operators import alignment, dictionary, discovery, evaluation, html, manifest, matching, scoring
 from ..sources import references as refs
 from ..sources import texts
+from .cases import CASES
 from .lineage import cut
 
 #: A trigram of more reference lines than this counts as hot in ``gram_frequencies``. Matching has the operator's own cap.
@@ -375,6 +378,56 @@ def agreement_levels(spark, sf_dir):
     return rows.withColumn("level", agreement(F.col("a"), F.col("b"), APPARATUS))
 
 
+def normalisation_cases(spark, sf_dir):
+    """Whether each pair merges under its profile, and no later than it should."""
+    rows = spark.createDataFrame([(k, *case) for k, case in enumerate(CASES)], "id int, a string, b string, profile string, expected boolean, latest string")
+    a, b, names = F.col("a"), F.col("b"), F.array(*map(F.lit, ("identical", *[x["name"] for x in APPARATUS["levels"]])))
+    at = F.when(F.col("profile") == "apparatus", agreement(a, b, APPARATUS)).when(F.col("profile") == "apparatus2", agreement(a, b, APPARATUS_2))
+    same = F.when(F.col("profile") == "retrieval", retrieval_merges(a, b)).when(F.col("profile") == "retrieval-spaceless", spaceless(a, RETRIEVAL) == spaceless(b, RETRIEVAL)).otherwise(at.isNotNull())
+    return rows.select("id", same.alias("merged"), (F.array_position(names, at) <= F.array_position(names, F.col("latest"))).alias("early_enough"))
+
+
+#: Pages of small books: a reference between entries, a head in order between two others, a line under no head, a page that isn't text.
+_BOOKS = {
+    ("a", "017"): ("آپ آرٹ (op art) دیکھیے آپٹک آرٹ۔", "آپٹک آرٹ (optic art) بصری فن۔"),
+    ("b", "275"): ("ترکیب (composition) تعریف۔", "ترکیب بند نظم کے بند کی ایک ہیئت۔", "ترکیبی زبانیں (organic languages) تعریف۔"),
+    ("c", "017"): ("آزاد روپ دیکھیے آزاد صرفیہ۔", "ناقابل شناخت اگلا اندراج"),
+    ("d", "817"): ("نیاناول دیکھیے جدید ناول۔", '"name": "نیچری", "description": "خراب"'),
+}
+
+
+def _book_spans(spark):
+    rows = [(book, page, int(page), n, text, book == "d") for (book, page), lines in _BOOKS.items() for n, text in enumerate(lines, 1)]
+    return dictionary.spans(spark.createDataFrame(rows, "book string, page string, page_no bigint, line bigint, text string, corrupt boolean"))
+
+
+def dictionary_books(spark, sf_dir):
+    rows = dictionary.entries(_book_spans(spark))
+    return rows.select("id", "headword", F.array_join("english_terms", "|").alias("terms"), F.array_join("cross_references", "|").alias("targets"), "entry_type", F.col("source.rule").alias("rule"), F.col("source.start.line").alias("line"))
+
+
+def dictionary_unresolved(spark, sf_dir):
+    return dictionary.unresolved(_book_spans(spark)).select("book", "rule", F.instr("raw_text", "ناقابل").alias("found_at"))
+
+
+def dictionary_recovery(spark, sf_dir):
+    """Of three blocks between two records: the one in order comes back; not the one behind an open line, nor the one out of order."""
+    place = "struct<start: struct<page: string, line: bigint>>"
+    records = spark.createDataFrame([("f", "اباحی", (("029", 1),)), ("f", "ابتدا و ضرب", (("029", 10),))], f"book string, headword string, source {place}")
+    known = "پچھلا اندراج مکمل۔"
+    blocks = [("f", "029", ["029"], 5, known, "اَبَتَث", "heuristic", "اَبَتَث مفرد حروف کا مجموعہ۔"), ("f", "029", ["029"], 6, "پچھلا اندراج", "اَبَتَج", "heuristic", "اَبَتَج مفرد حروف کا مجموعہ۔"), ("f", "029", ["029"], 7, known, "نثر", "heuristic", "نثر مفرد حروف کا مجموعہ۔")]
+    rows = dictionary.recovered(records, spark.createDataFrame(blocks, "book string, page string, pages array<string>, line bigint, previous_text string, candidate_headword string, rule string, raw_text string"))
+    return rows.select("id", "headword", "definition", "rule", F.array_contains("flags", "needs_review").alias("needs_review"))
+
+
+def dictionary_validation(spark, sf_dir):
+    """A model's entries of two pages: ordinals by page, an empty definition for a reference alone, pages that weren't asked."""
+    entry = lambda head, page, definition="تعریف", kind="definition", score=1.0: {"headword": head, "english_terms": None, "definition": definition, "examples": [], "cross_references": [], "raw_text": f"{head} x", "pages": [page], "entry_type": kind, "quality": {"score": score, "flags": []}}
+    found = [entry("اول", "017"), entry("دوم", "017"), entry("سوم", "018"), entry("آتم کتھا", "018", "", "cross_reference"), entry("چار", "018", ""), entry("پانچ", "019"), entry(" ", "017"), entry("چھ", "017", score=1.5)]
+    rows = spark.createDataFrame([("r", json.dumps({"entries": found}), ["017", "018"])], "response string, text string, allowed array<string>")
+    return dictionary.validated(rows, "farhang").select("sequence", "id", "headword", "problem")
+
+
 def dictionary_entries(spark, sf_dir):
     lines = ["اتب   وہ لفظ جو پہلے آئے۔", "دوسری سطر۔", "اجب (Term) ایک لفظ ہے۔", "اخر دیکھیے اتب۔", "بےحد", "کوئی سطر نہیں"]
     rows = spark.sql("SELECT " + "inline(array(" + ", ".join(f"named_struct('book', 'b', 'page', '1', 'page_no', 1L, 'line', {i}L, 'text', '{t}', 'corrupt', false)" for i, t in enumerate(lines, 1)) + "))")
@@ -385,5 +438,6 @@ QUERIES = {f.__name__: f for f in (
     scan_verse, scan_prose, scan_dictionary, poem_files, file_status, normalised, line_lengths, word_frequencies, gram_frequencies, match_lines, align, align_totals, align_quantiles, align_pages, negative_control,
     discover_gaps, line_votes, restricted_votes, rare_words, idf_overlap, best_offset, pair_rates, prose_rates, compare_sources, refrains, refrain_families, family_sizes, refrain_share, trial_pool, threshold_sweep,
     rising_steps, retrieval_report, increasing_runs, split_counts, build_manifest, hash_mismatches, page_alignment, page_states, state_counts, last_attempts, html_lines, kept_html_lines, page_links, links_to_fetch, url_parts,
-    reference_problems, cache_totals, reference_verses, persian_numbers, reading_noise, agreement_levels, dictionary_entries,
+    reference_problems, cache_totals, reference_verses, persian_numbers, reading_noise, agreement_levels, normalisation_cases,
+    dictionary_entries, dictionary_books, dictionary_unresolved, dictionary_recovery, dictionary_validation,
 )}
