@@ -12,6 +12,23 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def rounded(value: Column, places: int) -> Column:
+    """To so many places by the double's exact value, ties to even. A decimal place is rarely a double, so whether a value is above or below a
+    tie shows in the error of a product, which two halves of the value give exactly."""
+    scale = float(10**places)
+
+    def of(x):
+        twice, high = x * (2 * scale), x * 134217729.0 - (x * 134217729.0 - x)
+        error = (high * (2 * scale) - twice) + (x - high) * (2 * scale)
+        whole = F.rint(twice)
+        off = (twice - whole) + error
+        even = 2 * F.rint(whole / 4)
+        tied = F.when(off > 0, (whole + 1) / 2).when(off < 0, (whole - 1) / 2).otherwise(even)
+        return F.when((whole % 2 != 0) & (F.abs(off) < 0.001), tied).otherwise(F.rint(x * scale)) / scale
+
+    return let(value.cast("double"), of)
+
+
 def trigrams(words: Column) -> Column:
     """Distinct three-character strings of the words joined by ``_``; none under three characters. From an array of single
     characters, so that no string function reads the whole line for each position."""

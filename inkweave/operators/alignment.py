@@ -1,6 +1,6 @@
 """Alignment: a page's line matches grouped by poem, tested for order, and put in tiers.
 
-Scores are rounded to 4 places, half to even, before they are compared with the threshold. A poem is gold with enough distinct verses in
+Scores are rounded to 4 places, by their exact values, before they are compared with the threshold. A poem is gold with enough distinct verses in
 a mostly rising order, review with a few, and left out otherwise.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import cer, f1, increasing_length, upper_quantile
+from ..functions.text import cer, f1, increasing_length, rounded, upper_quantile
 from .matching import CAP, best_matches, withheld_matches
 
 WEAK, STRONG, LINES, MONOTONE, REVIEW = 0.30, 0.55, 4, 0.80, 2
@@ -29,16 +29,16 @@ def span_metrics(pairs: Column) -> dict[str, Column]:
     return {
         "aligned_lines": aligned,
         "hypothesis_span_lines": span(lines),
-        "hypothesis_span_precision": F.bround(precision, 4),
+        "hypothesis_span_precision": rounded(precision, 4),
         "reference_span_lines": span(verses),
-        "reference_span_recall": F.bround(recall, 4),
-        "span_f1": F.bround(f1(precision, recall), 4),
+        "reference_span_recall": rounded(recall, 4),
+        "span_f1": rounded(f1(precision, recall), 4),
     }
 
 
 def strong_pairs(matches: DataFrame, query: DataFrame, index: DataFrame, strong: float = STRONG) -> DataFrame:
     """page, poem_id, pairs: the strong matches by line, with both sides' words."""
-    rows = matches.withColumn("jaccard", F.bround("score", 4)).where(F.col("jaccard") >= strong)
+    rows = matches.withColumn("jaccard", rounded(F.col("score"), 4)).where(F.col("jaccard") >= strong)
     rows = rows.join(query.select("page", "line", F.col("text").alias("hyp"), F.col("words").alias("hyp_words")), ["page", "line"])
     rows = rows.join(index.select("poem_id", "verse", F.col("text").alias("ref"), F.col("words").alias("ref_words")), ["poem_id", "verse"])
     pair = F.struct("line", "verse", "jaccard", "hyp", "ref", "hyp_words", "ref_words")
@@ -54,9 +54,9 @@ def tiered(pairs: DataFrame, lines: int = LINES, least: float = MONOTONE, review
     rows = rows.withColumn("tier", tier(F.col("distinct_verses"), F.col("_mono"), lines, least, review)).where("tier <> 'reject'")
     return rows.select(
         "page", "poem_id", "tier", "matched_lines", "distinct_verses",
-        F.bround("_mono", 3).alias("monotone_ratio"),
-        F.bround(F.aggregate("pairs", F.lit(0.0), lambda s, p: s + p["jaccard"]) / n, 4).alias("mean_jaccard"),
-        F.bround(cer(joined("hyp_words"), joined("ref_words")), 4).alias("cer_matched_span"),
+        rounded(F.col("_mono"), 3).alias("monotone_ratio"),
+        rounded(F.aggregate("pairs", F.lit(0.0), lambda s, p: s + p["jaccard"]) / n, 4).alias("mean_jaccard"),
+        rounded(cer(joined("hyp_words"), joined("ref_words")), 4).alias("cer_matched_span"),
         *[c.alias(k) for k, c in span_metrics(F.col("pairs")).items()],
         F.transform("pairs", lambda p: F.struct(*[p[c].alias(c) for c in ("line", "verse", "jaccard", "hyp", "ref")])).alias("pairs"),
     )
@@ -86,7 +86,7 @@ def totals(records: DataFrame) -> DataFrame:
     sums = records.where("tier = 'gold'").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("matched_lines", "aligned_lines", "hypothesis_span_lines", "reference_span_lines")])
     rate = lambda c: F.col("aligned_lines") / F.greatest(F.lit(1), F.col(c))
     p, r = rate("hypothesis_span_lines"), rate("reference_span_lines")
-    return sums.withColumns({"hypothesis_span_precision": F.bround(p, 4), "reference_span_recall": F.bround(r, 4), "span_f1": F.bround(f1(p, r), 4)})
+    return sums.withColumns({"hypothesis_span_precision": rounded(p, 4), "reference_span_recall": rounded(r, 4), "span_f1": rounded(f1(p, r), 4)})
 
 
 def quantiles(records: DataFrame, value: str = "cer_matched_span") -> DataFrame:
@@ -107,7 +107,7 @@ def page_summary(records: DataFrame) -> DataFrame:
     counts = F.map_from_arrays(kinds, F.transform(kinds, lambda t: F.size(F.filter("_t", lambda x: x == t))))
     p = F.col("aligned_lines") / F.greatest(F.lit(1), F.col("hypothesis_span_lines"))
     r = F.col("aligned_lines") / F.greatest(F.lit(1), F.col("reference_span_lines"))
-    return rows.select("page", counts.alias("tiers"), "matched_lines", "poems", *sums, F.bround(p, 4).alias("hypothesis_span_precision"), F.bround(r, 4).alias("reference_span_recall"), F.when(F.col("aligned_lines").isNotNull(), F.bround(f1(p, r), 4)).alias("span_f1"))
+    return rows.select("page", counts.alias("tiers"), "matched_lines", "poems", *sums, rounded(p, 4).alias("hypothesis_span_precision"), rounded(r, 4).alias("reference_span_recall"), F.when(F.col("aligned_lines").isNotNull(), rounded(f1(p, r), 4)).alias("span_f1"))
 
 
 def ordered(records: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import rounded
 from .matching import CAP, overlaps
 
 FLOOR, ACCEPT = 0.30, 0.55
@@ -29,7 +30,7 @@ def discover(records: DataFrame, query: DataFrame, index: DataFrame, floor: floa
     found = gaps(records)
     asked = query.join(found.select("page", "line").distinct(), ["page", "line"], "left_semi")
     scored = overlaps(asked, index, ("page", "line"), cap=cap)
-    best = F.min_by(F.struct("poem_id", "verse", F.bround("score", 4).alias("jaccard")), F.struct(-F.col("score"), "poem_id", "verse"))
+    best = F.min_by(F.struct("poem_id", "verse", rounded(F.col("score"), 4).alias("jaccard")), F.struct(-F.col("score"), "poem_id", "verse"))
     top = scored.groupBy("page", "line").agg(best.alias("global_top"))
     rows = found.join(query.select("page", "line", F.col("text").alias("hyp")), ["page", "line"], "left")
     rows = rows.join(index.select("poem_id", "verse", F.col("text").alias("ref")), ["poem_id", "verse"], "left")
@@ -37,4 +38,4 @@ def discover(records: DataFrame, query: DataFrame, index: DataFrame, floor: floa
     score = F.coalesce("score", F.lit(0.0))
     same = F.coalesce((F.col("global_top.poem_id") == F.col("poem_id")) & (F.col("global_top.verse") == F.col("verse")), F.lit(False))
     exclusion = F.when(score < floor, "below_discovery_floor").when(score < accept, "below_acceptance_threshold").otherwise("not_excluded")
-    return rows.select("page", "poem_id", "line", "verse", F.bround(score, 4).alias("jaccard"), "hyp", "ref", same.alias("is_global_top"), "global_top", "left", "right", exclusion.alias("exclusion"))
+    return rows.select("page", "poem_id", "line", "verse", rounded(score, 4).alias("jaccard"), "hyp", "ref", same.alias("is_global_top"), "global_top", "left", "right", exclusion.alias("exclusion"))

@@ -1,6 +1,6 @@
 """The same queries as SQL for DuckDB, written on their own: joins without pruning, lists and windows.
 
-Spark rounds a double by its shortest decimal form, so the SQL goes by way of that form too.
+``ROUNDED((x), n)`` stands for a rounding by the double's exact value, and is written out at the end.
 """
 
 from __future__ import annotations
@@ -57,7 +57,7 @@ _BYTES = "array_to_string(list_transform(string_split({0}, ''), lambda c: chr((3
 
 def _records(best: str = "best", name: str = "rec") -> str:
     return f"""
-{name}_p AS (SELECT page, poem_id, line, verse, round_even((score)::VARCHAR::DECIMAL(38, 20), 4)::DOUBLE AS jaccard FROM {best} WHERE round_even((score)::VARCHAR::DECIMAL(38, 20), 4)::DOUBLE >= 0.55),
+{name}_p AS (SELECT page, poem_id, line, verse, ROUNDED((score), 4) AS jaccard FROM {best} WHERE ROUNDED((score), 4) >= 0.55),
 {name}_t AS (SELECT p.*, array_to_string(q.words, ' ') AS h, array_to_string(r.words, ' ') AS f FROM {name}_p p JOIN q USING (page, line) JOIN r USING (poem_id, verse)),
 {name}_g AS (SELECT page, poem_id, list(verse ORDER BY line, verse)::BIGINT[] AS vs, count(*) AS matched_lines, count(DISTINCT verse) AS distinct_verses, sum(jaccard) AS sj,
   max(line) - min(line) + 1 AS hs, max(verse) - min(verse) + 1 AS rs, string_agg(h, ' ' ORDER BY line, verse) AS h, string_agg(f, ' ' ORDER BY line, verse) AS f FROM {name}_t GROUP BY page, poem_id),
@@ -105,15 +105,15 @@ ORACLE_SQL = {
     "gram_frequencies": f"WITH {_SENTENCES}, g AS (SELECT unnest(grams) AS gram FROM r) SELECT gram, count(*) AS df, count(*) > 60 AS is_hot FROM g GROUP BY gram",
     "match_lines": f"WITH {_BEST} SELECT page, line, poem_id, verse, score FROM best",
     "align": f"""WITH {_BEST}, {_records()}
-SELECT page, poem_id, tier, matched_lines, distinct_verses, round_even((lis / matched_lines)::VARCHAR::DECIMAL(38, 20), 3)::DOUBLE AS monotone_ratio, round_even((sj / matched_lines)::VARCHAR::DECIMAL(38, 20), 4)::DOUBLE AS mean_jaccard,
-  round_even((levenshtein({_BYTES.format('h')}, {_BYTES.format('f')}) / greatest(length(h), length(f)))::VARCHAR::DECIMAL(38, 20), 4)::DOUBLE AS cer_matched_span, lis AS aligned_lines, hs AS hypothesis_span_lines, round_even((lis / hs)::VARCHAR::DECIMAL(38, 20), 4)::DOUBLE AS hypothesis_span_precision,
-  rs AS reference_span_lines, round_even((lis / rs)::VARCHAR::DECIMAL(38, 20), 4)::DOUBLE AS reference_span_recall, round_even((2 * (lis / hs) * (lis / rs) / (lis / hs + lis / rs))::VARCHAR::DECIMAL(38, 20), 4)::DOUBLE AS span_f1 FROM rec""",
+SELECT page, poem_id, tier, matched_lines, distinct_verses, ROUNDED((lis / matched_lines), 3) AS monotone_ratio, ROUNDED((sj / matched_lines), 4) AS mean_jaccard,
+  ROUNDED((levenshtein({_BYTES.format('h')}, {_BYTES.format('f')}) / greatest(length(h), length(f))), 4) AS cer_matched_span, lis AS aligned_lines, hs AS hypothesis_span_lines, ROUNDED((lis / hs), 4) AS hypothesis_span_precision,
+  rs AS reference_span_lines, ROUNDED((lis / rs), 4) AS reference_span_recall, ROUNDED((2 * (lis / hs) * (lis / rs) / (lis / hs + lis / rs)), 4) AS span_f1 FROM rec""",
     "align_totals": f"""WITH {_BEST}, {_records()}, s AS (SELECT coalesce(sum(matched_lines), 0) AS matched_lines, coalesce(sum(lis), 0) AS aligned_lines, coalesce(sum(hs), 0) AS hypothesis_span_lines, coalesce(sum(rs), 0) AS reference_span_lines FROM rec WHERE tier = 'gold'),
 t AS (SELECT *, aligned_lines / greatest(1, hypothesis_span_lines) AS p, aligned_lines / greatest(1, reference_span_lines) AS r FROM s)
-SELECT matched_lines, aligned_lines, hypothesis_span_lines, reference_span_lines, round_even((p)::VARCHAR::DECIMAL(38, 20), 4)::DOUBLE AS hypothesis_span_precision, round_even((r)::VARCHAR::DECIMAL(38, 20), 4)::DOUBLE AS reference_span_recall, round_even((CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END)::VARCHAR::DECIMAL(38, 20), 4)::DOUBLE AS span_f1 FROM t""",
-    "align_quantiles": f"WITH {_BEST}, {_records()}, v AS (SELECT coalesce(list_sort(list(round_even((sj / matched_lines)::VARCHAR::DECIMAL(38, 20), 4)::DOUBLE)), []) AS v FROM rec WHERE tier = 'gold') SELECT len(v) AS n, v[len(v) // 4 + 1] AS q25, v[len(v) // 2 + 1] AS q50, v[3 * len(v) // 4 + 1] AS q75 FROM v",
+SELECT matched_lines, aligned_lines, hypothesis_span_lines, reference_span_lines, ROUNDED((p), 4) AS hypothesis_span_precision, ROUNDED((r), 4) AS reference_span_recall, ROUNDED((CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END), 4) AS span_f1 FROM t""",
+    "align_quantiles": f"WITH {_BEST}, {_records()}, v AS (SELECT coalesce(list_sort(list(ROUNDED((sj / matched_lines), 4))), []) AS v FROM rec WHERE tier = 'gold') SELECT len(v) AS n, v[len(v) // 4 + 1] AS q25, v[len(v) // 2 + 1] AS q50, v[3 * len(v) // 4 + 1] AS q75 FROM v",
     "align_pages": f"""WITH {_BEST}, {_records()} SELECT page, count(*) FILTER (tier = 'gold') AS gold, count(*) FILTER (tier = 'review') AS review, sum(matched_lines) AS matched_lines, sum(lis) FILTER (tier = 'gold') AS aligned_lines,
-round_even((sum(lis) FILTER (tier = 'gold') / greatest(1, sum(hs) FILTER (tier = 'gold')))::VARCHAR::DECIMAL(38, 20), 4)::DOUBLE AS hypothesis_span_precision, round_even((sum(lis) FILTER (tier = 'gold') / greatest(1, sum(rs) FILTER (tier = 'gold')))::VARCHAR::DECIMAL(38, 20), 4)::DOUBLE AS reference_span_recall FROM rec GROUP BY page""",
+ROUNDED((sum(lis) FILTER (tier = 'gold') / greatest(1, sum(hs) FILTER (tier = 'gold'))), 4) AS hypothesis_span_precision, ROUNDED((sum(lis) FILTER (tier = 'gold') / greatest(1, sum(rs) FILTER (tier = 'gold'))), 4) AS reference_span_recall FROM rec GROUP BY page""",
     "negative_control": f"""WITH {_BEST}, {_records()}, truth AS (SELECT DISTINCT page, poem_id FROM rec WHERE tier = 'gold'),
 held AS (SELECT sc.* FROM sc ANTI JOIN truth USING (page, poem_id) WHERE page IN (SELECT page FROM truth) AND score >= 0.3 QUALIFY row_number() OVER (PARTITION BY page, line ORDER BY score DESC, poem_id, verse) = 1), {_records('held', 'neg')}
 SELECT (SELECT count(DISTINCT page) FROM truth) AS pages, count(DISTINCT page) AS false_pages, count(*) AS false_records, coalesce(sum(matched_lines), 0) AS false_lines FROM neg WHERE tier = 'gold'""",
@@ -122,7 +122,7 @@ gap AS (SELECT page, poem_id, unnest(range(line + 1, line2)) AS line, verse - li
 asked AS MATERIALIZED (SELECT DISTINCT page, line FROM cand), ag AS MATERIALIZED (SELECT page, line, gram FROM qc JOIN asked USING (page, line)), an AS (SELECT page, line, count(*) AS n_q FROM ag GROUP BY ALL),
 ao AS (SELECT page, line, poem_id, verse, n_r, count(*) AS o FROM ag JOIN post USING (gram) GROUP BY ALL), asc_ AS MATERIALIZED (SELECT page, line, poem_id, verse, o / (n_q + n_r - o) AS score FROM ao JOIN an USING (page, line)),
 top AS (SELECT * FROM asc_ QUALIFY row_number() OVER (PARTITION BY page, line ORDER BY score DESC, poem_id, verse) = 1), got AS (SELECT c.*, coalesce(s.score, 0) AS score, t.poem_id AS tp, t.verse AS tv FROM cand c LEFT JOIN asc_ s USING (page, line, poem_id, verse) LEFT JOIN top t USING (page, line))
-SELECT page, poem_id, line, verse, round_even((score)::VARCHAR::DECIMAL(38, 20), 4)::DOUBLE AS jaccard, coalesce(tp = poem_id AND tv = verse, false) AS is_global_top, CASE WHEN score < 0.3 THEN 'below_discovery_floor' WHEN score < 0.55 THEN 'below_acceptance_threshold' ELSE 'not_excluded' END AS exclusion FROM got""",
+SELECT page, poem_id, line, verse, ROUNDED((score), 4) AS jaccard, coalesce(tp = poem_id AND tv = verse, false) AS is_global_top, CASE WHEN score < 0.3 THEN 'below_discovery_floor' WHEN score < 0.55 THEN 'below_acceptance_threshold' ELSE 'not_excluded' END AS exclusion FROM got""",
     "line_votes": f"WITH {_BEST}, v AS (SELECT page, poem_id, sum(score) AS votes FROM best GROUP BY ALL) SELECT page, poem_id, round(votes, 6) AS votes, row_number() OVER (PARTITION BY page ORDER BY votes DESC, poem_id) AS rank FROM v QUALIFY rank <= 5",
     "restricted_votes": f"WITH {_MATCH}, w AS (SELECT DISTINCT poem_id, unnest(words) AS token FROM r), d AS (SELECT token, count(*) AS df FROM w GROUP BY token), k AS (SELECT DISTINCT page, unnest(words) AS token FROM q), allowed AS (SELECT DISTINCT page, poem_id FROM k JOIN w USING (token) JOIN d USING (token) WHERE df <= 25 AND length(token) >= 3), b AS (SELECT sc.* FROM sc SEMI JOIN allowed USING (page, poem_id) WHERE score >= 0.3 QUALIFY row_number() OVER (PARTITION BY page, line ORDER BY score DESC, poem_id, verse) = 1) SELECT page, poem_id, round(sum(score), 6) AS votes FROM b GROUP BY ALL",
     "rare_words": f"WITH {_SENTENCES}, w AS (SELECT DISTINCT poem_id, unnest(words) AS token FROM r), d AS (SELECT token, count(*) AS df FROM w GROUP BY token), k AS (SELECT DISTINCT page, unnest(words) AS token FROM q), s AS (SELECT page, poem_id, count(*) AS shared FROM k JOIN w USING (token) JOIN d USING (token) WHERE df <= 25 AND length(token) >= 3 GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY page ORDER BY shared DESC, poem_id) AS rank FROM s QUALIFY rank <= 5",
@@ -182,3 +182,26 @@ SELECT page_id, text, row_number() OVER (PARTITION BY page_id ORDER BY n) - 1 AS
 (7, 'farhang-017-003', ' ', 'invalid headword'), (8, 'farhang-017-004', 'چھ', 'invalid quality score')) AS t(sequence, id, headword, problem)""",
     "agreement_levels": "SELECT * FROM (VALUES ('كتاب', 'کتاب', 'encoding'), ('دیدۂ', 'دیدہ', 'orthographic'), ('دِل', 'دل', 'vocalisation'), ('در خور', 'درخور', 'segmentation'), ('گل', 'گل', 'identical'), ('گل', 'دل', NULL)) AS t(a, b, level)",
 }
+
+
+def _written_out(sql: str) -> str:
+    """Each ROUNDED((x), n) as an expression: a tie at n places is one in which twice the scaled value is odd, and the product's error says to
+    which side of it the value lies."""
+    while (start := sql.rfind("ROUNDED((")) >= 0:  # the last one holds no other
+        depth, end = 0, start + len("ROUNDED(")
+        while True:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+            if not depth:
+                break
+        value, (places, rest) = sql[start + len("ROUNDED(") : end], sql[end + 2 :].split(")", 1)
+        y = f"{2 * 10 ** int(places)}::DOUBLE"
+        split = f"list_transform([{value}::DOUBLE], lambda v: {{'x': v, 't': v * {y}, 'h': v * 134217729::DOUBLE - (v * 134217729::DOUBLE - v)}})"
+        off = f"list_transform({split}, lambda v: {{'x': v.x, 'w': floor(v.t + 0.5::DOUBLE), 'o': (v.t - floor(v.t + 0.5::DOUBLE)) + ((v.h * {y} - v.t) + (v.x - v.h) * {y})}})"
+        tied = "CASE WHEN v.o > 0 THEN (v.w + 1) / 2 WHEN v.o < 0 THEN (v.w - 1) / 2 ELSE 2 * floor(v.w / 4 + 0.5::DOUBLE) END"
+        scale = f"{10 ** int(places)}::DOUBLE"
+        sql = f"{sql[:start]}list_transform({off}, lambda v: CASE WHEN v.w % 2 <> 0 AND abs(v.o) < 0.001 THEN {tied} ELSE floor(v.x * {scale} + 0.5::DOUBLE) END / {scale})[1]{rest}"
+    return sql
+
+
+ORACLE_SQL = {name: _written_out(sql) for name, sql in ORACLE_SQL.items()}

@@ -3,10 +3,12 @@
 import bisect
 import itertools
 
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from inkweave.functions.normalise import APPARATUS, APPARATUS_2, LATIN, agreement, profile_hash, profile_id, retrieval_merges, tokens
-from inkweave.functions.text import cer, increasing_length, sequence_distance, trigrams, upper_quantile
+from inkweave.functions.text import cer, increasing_length, rounded, sequence_distance, trigrams, upper_quantile
 from inkweave.operators import alignment, discovery, matching, scoring
 from inkweave.streaming import pages as streaming
 
@@ -83,6 +85,13 @@ def test_sequence_expressions(spark):
     assert spark.range(1).select(trigrams(F.array(F.lit("ab"), F.lit("c"))), trigrams(F.array(F.lit("ab")))).first() == (["ab_", "b_c"], [])
 
 
+@settings(max_examples=15, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.one_of(st.integers(0, 20001).map(lambda k: k / 20000), st.fractions(0, 2, max_denominator=999).map(float), st.floats(0, 3)), min_size=200, max_size=200))
+def test_rounding_by_the_exact_value(spark, values):
+    frame = spark.createDataFrame([(x,) for x in [0.71265, 0.65625, 0.5, 0.00005, 2.5, *values]], "x double")
+    assert [(r.a, r.b) for r in frame.select("x", rounded(F.col("x"), 4).alias("a"), rounded(F.col("x"), 3).alias("b")).collect()] == [(round(r.x, 4), round(r.x, 3)) for r in frame.collect()]
+
+
 def test_best_offset(spark):
     frame = lambda lines: spark.createDataFrame([("p", i, t.split()) for i, t in enumerate(lines)], "page string, line int, words array<string>")
     assert scoring.best_offset(frame(VERSES), frame([VERSES[3], VERSES[4][:-2]])).first().offset == 3
