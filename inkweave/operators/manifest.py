@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import base_name, identifier, stem
 from ..sources.sinks import MANIFEST, STATUSES
+from ..sources.texts import strip
 
 DONE = ("complete", "edited", "unrecorded")
 STATES = (*DONE, "partial", "failed", "corrupt", "pending")
@@ -54,7 +55,7 @@ def build_manifest(images: DataFrame, dataset: str, status: str = "candidate", m
 def state(corrupt: Column, text: Column, partial: Column, response_text: Column, finish: Column, has_response: Column, attempts: Column) -> Column:
     """A page's state from its files, in the order in which the rules apply."""
     there = lambda x: F.coalesce(F.length(x) > 0, F.lit(False))
-    matches = F.coalesce((finish == "STOP") & (F.trim(F.coalesce(response_text, F.lit(""))) == F.trim(text)), F.lit(False))
+    matches = F.coalesce((finish == "STOP") & (strip(F.coalesce(response_text, F.lit(""))) == strip(text)), F.lit(False))
     return (
         F.when(corrupt, "corrupt")
         .when(there(text) & ~has_response, "unrecorded")

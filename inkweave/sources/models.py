@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import importlib
 import json
+import re
 from collections.abc import Callable, Iterable
+from pathlib import Path
 
 MODES = ("verse", "prose", "dictionary")
 
@@ -37,3 +40,35 @@ def read_pages(images: Iterable[str], state: Callable[[str], str], model: Callab
         except Exception as e:  # noqa: BLE001
             out[image] = f"error: {e}"
     return out
+
+
+def reader(name: str) -> Callable:
+    """The function that ``module:function`` names."""
+    module, _, function = name.partition(":")
+    if not function:
+        raise ValueError(f"a reader is module:function, not {name}")
+    return getattr(importlib.import_module(module), function)
+
+
+def request_parts(images: Iterable[str]) -> list[dict]:
+    """What a reader of consecutive dictionary pages is given: the task, and each page's image and first reading. Pages have names of three digits."""
+    parts: list[dict] = [{"text": "Extract the entries of these consecutive dictionary pages."}]
+    for image in map(Path, images):
+        if not re.fullmatch(r"\d{3}", image.stem):
+            raise ValueError(f"a page's name has three digits: {image}")
+        text = image.with_suffix(".txt").read_text(encoding="utf-8")
+        parts += [{"text": f"Image of page {image.stem}:"}, {"image": str(image)}, {"text": f"First reading of page {image.stem}, with mistakes:\n{text}"}]
+    return parts
+
+
+def extract_once(images: list[str], response: Path, model: Callable[[list[dict]], dict]) -> dict:
+    """What ``model`` answers for the pages, kept in ``response``. A response that is there is never asked for again, nor replaced."""
+    if response.exists():
+        raise FileExistsError(f"there is a response already: {response}")
+    answer = dict(model(request_parts(images)))
+    answer["request"] = {"model": answer.get("model"), "pages": [Path(x).stem for x in images]}
+    response.parent.mkdir(parents=True, exist_ok=True)
+    new = response.with_suffix(response.suffix + ".new")
+    new.write_text(json.dumps(answer, ensure_ascii=False), encoding="utf-8")
+    new.replace(response)
+    return answer

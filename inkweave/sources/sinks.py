@@ -55,6 +55,20 @@ def hash_mismatches(rows: DataFrame, content: str = "content", recorded: str = "
     return rows.where(~F.coalesce(F.sha2(F.col(content), 256) == F.col(recorded), F.lit(False)))
 
 
-def export_splits(manifest: DataFrame, path: str, seed: int = 42, validation: float = 0.1, test: float = 0.1) -> None:
-    """The manifest by split, written once and as a whole."""
-    manifest.withColumn("split", split_name(F.col("id"), seed, validation, test)).write.mode("errorifexists").partitionBy("split").json(path)
+def export_pages(manifest: DataFrame, files: DataFrame, path: str, seed: int = 42, validation: float = 0.1, test: float = 0.1) -> None:
+    """The pages themselves, written once: ``path``/pages (Parquet by split: id, export_image, image, export_text, text and the manifest's other columns),
+    ``path``/manifest (JSON lines) and ``path``/<split>.lst (the images' names, sorted). ``files`` (path, content) hold the images and texts; each
+    has to be there, with the recorded SHA-256, before anything is written."""
+    name = F.regexp_extract("path", r"([^/]*)$", 1)
+    of = lambda kind: files.select(name.alias(kind), F.col("content").alias(f"_{kind}")).dropDuplicates([kind])
+    rows = manifest.join(of("image"), "image", "left").join(of("text"), "text", "left")
+    wrong = rows.where(F.greatest(*[~F.coalesce(F.sha2(f"_{k}", 256) == F.col(f"{k}_sha256"), F.lit(False)) for k in ("image", "text")]))
+    if bad := wrong.select("id").orderBy("id").limit(5).collect():
+        raise ValueError("content differs from the manifest: " + ", ".join(r.id for r in bad))
+    end = F.lower(F.regexp_extract("image", r"(\.[^.]*)$", 1))
+    named = {"split": split_name(F.col("id"), seed, validation, test), "export_image": F.concat("id", end), "export_text": F.concat("id", F.lit(".txt"))}
+    clean = manifest.withColumns(named)
+    rows.withColumns(named).withColumn("image", F.col("_image")).withColumn("text", F.decode("_text", "UTF-8")).drop("_image", "_text").write.mode("errorifexists").partitionBy("split").parquet(f"{path}/pages")
+    write_json(clean, f"{path}/manifest", once=True)
+    for split in ("train", "validation", "test"):
+        clean.where(F.col("split") == split).select("export_image").orderBy("export_image").write.mode("errorifexists").text(f"{path}/{split}.lst")

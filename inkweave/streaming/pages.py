@@ -27,7 +27,7 @@ def page_stream(spark: SparkSession, folder: str, per_batch: int = 100) -> DataF
 def align_pages(pages: DataFrame, index: DataFrame, words: Callable[[Column], Column], cap: int = matching.CAP) -> DataFrame:
     """The records of a table of pages (path, text)."""
     lines = verse_lines(pages.select(page_of().alias("page"), "text"), "page")
-    query = matching.with_trigrams(lines.select("page", "line", "text"), words).persist()
+    query = matching.with_trigrams(lines.select("page", "line", "text"), words)
     return alignment.align(query, index, cap=cap)
 
 

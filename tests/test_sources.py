@@ -2,13 +2,14 @@
 
 import json
 import urllib.error
+from datetime import UTC, datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from inkweave import cli
 from inkweave.operators import dictionary, evaluation, html, manifest
-from inkweave.sources import config, models, references, sinks, texts
+from inkweave.sources import attempts, config, models, references, sinks, texts
 
 
 def test_line_rules(spark, tmp_path):
@@ -129,10 +130,9 @@ def test_manifest_round_trip(spark, tmp_path):
     assert back.count() == 40 and rows.first().id == "My-set-p-0"
     with pytest.raises(ValueError, match="neither"):
         sinks.exportable(back)
-    sinks.export_splits(sinks.exportable(back, True), str(tmp_path / "out"))
-    assert sum(r["count"] for r in spark.read.json(str(tmp_path / "out")).groupBy("split").count().collect()) == 40
-    with pytest.raises(Exception, match="exist"):
-        sinks.export_splits(back, str(tmp_path / "out"))
+    with pytest.raises(ValueError, match="differs"):
+        sinks.export_pages(back, spark.createDataFrame([], "path string, content binary"), str(tmp_path / "none"))
+    assert not (tmp_path / "none").exists() and sinks.exportable(back, True).count() == 40
     with pytest.raises(ValueError, match="used twice"):
         manifest.build_manifest(images.union(images.limit(1)), "s")
     with pytest.raises(ValueError, match="not complete"):
@@ -158,8 +158,85 @@ def test_refrains_and_sweep(spark):
     assert evaluation.sweep(scores.where("present")).count() == 0
 
 
+def a_reader(image, mode):
+    name = image.rsplit("/", 1)[-1]
+    answers = {"a.jpg": {"text": "one\ntwo\n", "finish": "STOP", "model": "m"}, "b.jpg": {"text": "cut", "finish": "MAX"}, "c.jpg": {"error": "no"}, "e.jpg": {"text": " "}}
+    return answers.get(name) or {"text": f"text of {name}", "finish": "STOP"}
+
+
+def an_extractor(parts):
+    entry = {"headword": "آپ", "definition": "تعریف", "raw_text": "آپ تعریف", "entry_type": "definition", "english_terms": [], "cross_references": [], "pages": ["017"], "examples": [], "quality": {"score": 1.0, "flags": []}}
+    return {"text": json.dumps([{"entries": [entry, entry | {"pages": [parts[-2]["image"][-7:-4]]}]}]), "model": "x"}
+
+
+def test_attempts(tmp_path):
+    image = tmp_path / "p.jpg"
+    now = datetime(2024, 2, 3, 4, 5, 6, 7, UTC)
+    assert attempts.new_attempt(now)["created_at"] == "2024-02-03T04:05:06.000007Z" and attempts.new_attempt(now)["id"].startswith("20240203T040506000007Z-")
+    assert attempts.last_attempt(image) is None
+    assert attempts.record(image, {"error": "x"}, {}) == "error" and attempts.record(image, {"text": " "}, {}) == "empty" and attempts.record(image, {"text": "half", "finish": "MAX"}, {}) == "partial"
+    assert attempts.record(image, {"text": "whole ", "finish": "STOP"}, {"mode": "verse"}) == "complete"
+    assert (tmp_path / "p.txt").read_text() == "whole\n" and (tmp_path / "p.partial.txt").read_text() == "half\n"
+    assert attempts.record(image, {"text": "again", "finish": "STOP"}, {}) == "complete" and attempts.record(image, {"error": "later"}, {}) == "error"
+    assert attempts.last_attempt(image)["error"] == "later" and (tmp_path / "p.txt").read_text() == "again\n"
+    kept = sorted(p.name.split(".", 1)[1] for p in (tmp_path / "p.attempts").iterdir())
+    assert kept == ["response.json"] * 6 + ["superseded.response.json", "superseded.txt"]
+    assert not [p for p in tmp_path.rglob(".*")]
+
+
 def test_commands(spark, tmp_path, capsys):
-    (tmp_path / "a.jpg").write_bytes(b"")
-    (tmp_path / "a.txt").write_text("t")
-    assert cli.main(["states", str(tmp_path)]) == 0 and "unrecorded" in capsys.readouterr().out
-    assert cli.main(["export", str(tmp_path / "a.txt"), str(tmp_path / "o")]) == 2
+    scans = tmp_path / "scans"
+    scans.mkdir()
+    for x in "abcdef":
+        (scans / f"{x}.jpg").write_bytes(x.encode())
+    (scans / "d.txt").write_text("t")
+    (scans / "e.txt").write_text("")
+    me = "tests.test_sources"
+    images = [str(scans / f"{x}.jpg") for x in "abcdf"]
+    assert cli.main(["ocr", *images, "--reader", f"{me}:a_reader"]) == 1
+    told = dict(reversed(x.split()) for x in capsys.readouterr().out.splitlines() if x.endswith(".jpg"))
+    assert [told[x] for x in images] == ["complete", "partial", "error", "unrecorded", "complete"]
+    assert cli.main(["ocr", images[0], images[4], "--reader", f"{me}:a_reader"]) == 0 and cli.main(["ocr", images[0], "--reader", "none"]) == 2
+    assert cli.main(["states", str(scans)]) == 1
+    out = capsys.readouterr().out
+    assert "complete=2" in out and "unrecorded=1" in out and "partial=1" in out and "failed=1" in out and "pending=1" in out
+    assert cli.main(["manifest", str(scans), "--dataset", "s", "--output", str(tmp_path / "m")]) == 2  # b, c and e have no text
+    for x in "bce":
+        (scans / f"{x}.jpg").unlink()
+    assert cli.main(["manifest", str(scans), "--dataset", "s", "--output", str(tmp_path / "m"), "--status", "gold"]) == 0
+    assert cli.main(["export", str(tmp_path / "m"), str(tmp_path / "out"), "--files", str(scans)]) == 0
+    pages = {r.id: r for r in spark.read.parquet(str(tmp_path / "out" / "pages")).collect()}
+    assert sorted(pages) == ["s-a", "s-d", "s-f"] and pages["s-a"].text == "one\ntwo\n" and bytes(pages["s-a"].image) == b"a" and pages["s-a"].export_image == "s-a.jpg"
+    listed = [r.value for split in ("train", "validation", "test") for r in spark.read.text(str(tmp_path / "out" / f"{split}.lst")).collect()]
+    assert sorted(listed) == ["s-a.jpg", "s-d.jpg", "s-f.jpg"]
+    (scans / "a.txt").write_text("changed")
+    assert cli.main(["export", str(tmp_path / "m"), str(tmp_path / "new"), "--files", str(scans)]) == 2 and not (tmp_path / "new").exists()
+    assert cli.main(["export", str(scans / "d.txt"), str(tmp_path / "o"), "--files", str(scans)]) == 2
+
+
+def test_commands_of_references_and_entries(spark, tmp_path, capsys, monkeypatch):
+    answers = {"http://h/cat/7": [{"id": 1, "title": "x"}, {"id": 2, "title": "y"}], "http://h/poem/1": {"id": 1, "title": "x", "verses": ["a", "b"]}, "http://h/poem/2": {"id": 2, "title": "y", "verses": [" "]}}
+    asked = []
+    monkeypatch.setattr(references, "fetch_json", lambda url: asked.append(url) or answers[url])
+    for _ in range(2):
+        assert not cli.main(["fetch", "7", "--directory", str(tmp_path / "r"), "--listing", "http://h/cat/{id}", "--poem", "http://h/poem/{id}"])
+    assert sorted(asked) == sorted(answers)
+    (tmp_path / "scans").mkdir()
+    (tmp_path / "scans" / "a.jpg").write_bytes(b"")
+    reference = ["--catalogue", str(tmp_path / "r" / "cat_7.json"), "--poems", str(tmp_path / "r" / "poem_*.json")]
+    assert cli.main(["verify", *reference]) == 1 and cli.main(["states", str(tmp_path / "scans"), *reference]) == 1
+    assert "category 7: 2 poems, 0 missing, 1 empty" in capsys.readouterr().out
+    (tmp_path / "texts").mkdir()
+    (tmp_path / "texts" / "1.txt").write_text("a\nb\n")
+    assert cli.main(["directory", str(tmp_path / "texts")]) == 0
+    (tmp_path / "texts" / "2.txt").write_text("a\n")
+    assert cli.main(["directory", str(tmp_path / "texts")]) == 1 and "1 usable, 1 invalid" in capsys.readouterr().out
+    for x in ("017", "018"):
+        (tmp_path / f"{x}.jpg").write_bytes(b"")
+        (tmp_path / f"{x}.txt").write_text("reading")
+    given = ["extract", str(tmp_path / "017.jpg"), str(tmp_path / "018.jpg"), "--response", str(tmp_path / "answer.json"), "--output"]
+    assert not cli.main([*given, str(tmp_path / "e"), "--reader", "tests.test_sources:an_extractor"])
+    assert sorted(r.id for r in spark.read.json(str(tmp_path / "e")).collect()) == ["dictionary-017-001", "dictionary-018-001"]
+    assert cli.main([*given, str(tmp_path / "e2"), "--reader", "tests.test_sources:an_extractor"]) == 2 and not cli.main([*given, str(tmp_path / "e3"), "--reuse-response"])
+    with pytest.raises(ValueError, match="three digits"):
+        models.request_parts([str(tmp_path / "a.jpg")])
