@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import cer, f1, increasing_length, rounded, upper_quantile
+from ..functions.text import cer, f1, increasing_length, rounded
+from . import order
 from .matching import CAP, best_matches, withheld_matches
 
 WEAK, STRONG, LINES, MONOTONE, REVIEW = 0.30, 0.55, 4, 0.80, 2
@@ -91,8 +92,7 @@ def totals(records: DataFrame) -> DataFrame:
 
 def quantiles(records: DataFrame, value: str = "cer_matched_span") -> DataFrame:
     """n and the lower, middle and upper quantile by index, of gold records."""
-    rows = records.where("tier = 'gold'").agg(F.collect_list(value).alias("v"))
-    return rows.select(F.size("v").alias("n"), *[upper_quantile(F.col("v"), s).alias(k) for k, s in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))])
+    return order.quantiles(records.where("tier = 'gold'").select(value), value, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
 
 
 def page_summary(records: DataFrame) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import let, upper_quantile
+from ..functions.text import let
+from . import order
+from .lineage import cut
 
 REFRAIN = 3
 
@@ -49,7 +51,7 @@ def largest_families(poems: DataFrame, top: int = 10) -> DataFrame:
 def refrain_share(poems: DataFrame) -> DataFrame:
     """n, median, p90 of the share of a rhyming line's words that is radif."""
     rows = poems.where(F.size("radif") > 0).select("radif", F.posexplode("lines").alias("i", "line")).where("i % 2 = 1").where(F.size("line") > F.size("radif"))
-    return rows.agg(F.collect_list(F.size("radif") / F.size("line")).alias("v")).select(F.size("v").alias("n"), upper_quantile(F.col("v")).alias("median"), upper_quantile(F.col("v"), 0.9).alias("p90"))
+    return order.quantiles(rows.select((F.size("radif") / F.size("line")).alias("share")), "share", {"median": 0.5, "p90": 0.9})
 
 
 def trial_pool(poems: DataFrame, least: int = 8) -> DataFrame:
@@ -60,8 +62,8 @@ def trial_pool(poems: DataFrame, least: int = 8) -> DataFrame:
 
 def retrieval_report(scores: DataFrame, truth: DataFrame, refrains: DataFrame, score: str = "votes") -> DataFrame:
     """trials, top1, top5, decided, margin_median, decoys_with_refrain. ``scores`` (page, poem_id, score), ``truth`` (page, poem_id), ``refrains`` (poem_id, radif)."""
-    order = Window.partitionBy("page").orderBy(F.desc(score), "poem_id")
-    rows = scores.withColumn("rank", F.row_number().over(order)).join(truth.select("page", F.col("poem_id").alias("true_id")), "page")
+    place = Window.partitionBy("page").orderBy(F.desc(score), "poem_id")
+    rows = scores.withColumn("rank", F.row_number().over(place)).join(truth.select("page", F.col("poem_id").alias("true_id")), "page")
     own = F.col("poem_id") == F.col("true_id")
     pages = rows.groupBy("page", "true_id").agg(
         F.min(F.when(own, F.col("rank"))).alias("rank"), F.max(F.when(own, F.col(score))).alias("true_score"),
@@ -72,11 +74,13 @@ def retrieval_report(scores: DataFrame, truth: DataFrame, refrains: DataFrame, s
     pages = pages.join(of("true_id", "r_true"), F.col("true_id") == F.col("_r_true"), "left").join(of("decoy", "r_decoy"), F.col("decoy.poem_id") == F.col("_r_decoy"), "left")
     decided = (F.col("true_score") > 0) & F.col("decoy").isNotNull()
     margin = (F.col("true_score") - F.col("decoy.score")) / F.col("true_score")
-    return pages.agg(
+    same = same_refrain(F.col("r_true"), F.col("r_decoy"))
+    pages = cut(pages.select("rank", decided.alias("decided"), F.when(decided, margin).alias("margin"), (decided & same).alias("same")))
+    counts = pages.agg(
         F.count(F.lit(1)).alias("trials"), F.count(F.when(F.col("rank") == 1, 1)).alias("top1"), F.count(F.when(F.col("rank") <= 5, 1)).alias("top5"),
-        F.count(F.when(decided, 1)).alias("decided"), upper_quantile(F.collect_list(F.when(decided, margin))).alias("margin_median"),
-        F.count(F.when(decided & same_refrain(F.col("r_true"), F.col("r_decoy")), 1)).alias("decoys_with_refrain"),
+        F.count(F.when(F.col("decided"), 1)).alias("decided"), F.count(F.when(F.col("same"), 1)).alias("decoys_with_refrain"),
     )
+    return counts.crossJoin(order.quantiles(pages, "margin", {"margin_median": 0.5}).select("margin_median")).select("trials", "top1", "top5", "decided", "margin_median", "decoys_with_refrain")
 
 
 def best_normalised(scores: DataFrame, sizes: DataFrame, score: str = "votes") -> DataFrame:
@@ -87,20 +91,19 @@ def best_normalised(scores: DataFrame, sizes: DataFrame, score: str = "votes") -
 
 def sweep(scores: DataFrame) -> DataFrame:
     """The one threshold of highest accuracy over (score, present): cut, acc, recall, fpr, and where the two sides' scores lie. Of equally good
-    cuts the lowest. Counts run over the distinct scores, so rows are never paired."""
+    cuts the lowest. Counts run over the distinct scores, so rows are never paired, and no task holds all of them."""
     counts = scores.groupBy("score").agg(F.count(F.when(F.col("present"), 1)).alias("p"), F.count(F.when(~F.col("present"), 1)).alias("a"))
-    above = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    every = scores.agg(F.count(F.when(F.col("present"), 1)).alias("n_p"), F.count(F.when(~F.col("present"), 1)).alias("n_a"))
-    rows = counts.select("score", F.sum("p").over(above).alias("tp"), F.sum("a").over(above).alias("fp")).crossJoin(F.broadcast(every)).where("n_p > 0 AND n_a > 0")
-    accuracy = (F.col("tp") + F.col("n_a") - F.col("fp")) / (F.col("n_p") + F.col("n_a"))
-    found = F.struct(F.col("score").alias("cut"), accuracy.alias("acc"), (F.col("tp") / F.col("n_p")).alias("recall"), (F.col("fp") / F.col("n_a")).alias("fpr"))
-    best = rows.agg(F.min_by(found, F.struct(-accuracy, F.col("score"))).alias("_b"))
-    side = lambda keep: F.collect_list(F.when(keep, F.col("score")))
-    lists = scores.agg(side(F.col("present")).alias("_p"), side(~F.col("present")).alias("_a"))
-    low = upper_quantile(F.col("_p"), 0.05)
-    over = F.size(F.filter("_a", lambda x: x >= low)) / F.size("_a")
-    told = lists.where((F.size("_p") > 0) & (F.size("_a") > 0)).select(low.alias("present_p05"), upper_quantile(F.col("_p")).alias("present_med"), upper_quantile(F.col("_a")).alias("absent_med"), F.array_max("_a").alias("absent_max"), over.alias("absent_above_present_p05"))
-    return best.where("_b IS NOT NULL").select("_b.*").crossJoin(told)
+    ranked, totals = order.cumulated(counts, "score", ("p", "a"))
+    rows = ranked.crossJoin(F.broadcast(totals)).where("p_all > 0 AND a_all > 0")
+    tp, fp = (F.col(f"{c}_all") - F.col(f"{c}_upto") + F.col(c) for c in "pa")
+    accuracy = (tp + F.col("a_all") - fp) / (F.col("p_all") + F.col("a_all"))
+    found = F.struct(F.col("score").alias("cut"), accuracy.alias("acc"), (tp / F.col("p_all")).alias("recall"), (fp / F.col("a_all")).alias("fpr"))
+    told = rows.agg(
+        F.min_by(found, F.struct(-accuracy, F.col("score"))).alias("_b"), order.at_share("score", "p", 0.05).alias("present_p05"), order.at_share("score", "p", 0.5).alias("present_med"),
+        order.at_share("score", "a", 0.5).alias("absent_med"), F.max(F.when(F.col("a") > 0, F.col("score"))).alias("absent_max"),
+    ).where("_b IS NOT NULL")
+    over = rows.crossJoin(F.broadcast(told.select("present_p05"))).where("score >= present_p05").agg((F.coalesce(F.sum("a"), F.lit(0)) / F.max("a_all")).alias("absent_above_present_p05"))
+    return told.crossJoin(over).select("_b.*", "present_p05", "present_med", "absent_med", "absent_max", "absent_above_present_p05")
 
 
 def rising_steps(pages: DataFrame) -> DataFrame:

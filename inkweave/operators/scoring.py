@@ -8,7 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import edit_distance, upper_quantile
+from ..functions.text import edit_distance
+from . import order
+from .lineage import cut
 
 
 def _spaced(words: str):
@@ -77,4 +79,6 @@ def compare_sources(left: DataFrame, right: DataFrame, key: str = "slug") -> Dat
 
 def comparison_totals(rows: DataFrame) -> DataFrame:
     """n, identical, median_cer, max_cer, line_mismatches of :func:`compare_sources`."""
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("cer") == 0, 1)).alias("identical"), upper_quantile(F.collect_list("cer")).alias("median_cer"), F.max("cer").alias("max_cer"), F.count(F.when(F.col("lines") != F.col("other_lines"), 1)).alias("line_mismatches"))
+    rows = cut(rows.select("cer", (F.col("lines") != F.col("other_lines")).alias("differ")))
+    sums = rows.agg(F.count(F.when(F.col("cer") == 0, 1)).alias("identical"), F.max("cer").alias("max_cer"), F.count(F.when(F.col("differ"), 1)).alias("line_mismatches"))
+    return order.quantiles(rows, "cer", {"median_cer": 0.5}).crossJoin(sums).select("n", "identical", "median_cer", "max_cer", "line_mismatches")

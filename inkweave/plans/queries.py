@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from ..functions.normalise import APPARATUS, APPARATUS_2, LATIN, RETRIEVAL, agreement, retrieval_merges, spaceless, tokens
 from ..functions.text import PROSE, VERSE, base_name, corrupt, first_number, increasing_length, keep_line, script_share, slug, split_name, stem, trigrams
 from ..operators import alignment, dictionary, discovery, evaluation, html, manifest, matching, scoring
+from ..operators.lineage import cut
 from ..sources import references as refs
 from ..sources import texts
 from .cases import CASES
-from .lineage import cut
 
 #: A trigram of more reference lines than this counts as hot in ``gram_frequencies``. Matching has the operator's own cap.
 HOT = 60
