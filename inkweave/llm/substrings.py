@@ -9,8 +9,10 @@ places, so only suffixes at anchors (about one byte in 85) need sorting, with wh
 3. Every different context that is there twice, or whose string occurs in another, is fetched once and
    sorted by deep-shallow sorting (see :mod:`.suffixes`) among those of its string, twice if there are several of it. The order gives exact matches to either
    side of the anchor, and so the bytes of each context that stand elsewhere too.
-4. Strings with more than ``HOT`` different contexts, as at the border of a passage that a third of all documents share, would be one task's: their contexts
-   are dealt out further, by a digest of each of their windows, and windows that meet another are repeats. That is exact too.
+4. A string with more than ``HOT`` different contexts, as at the border of a passage that a third of all documents share, would be one task's. Such a
+   group is parted by longer strings: the windows of a context that start within 13 bytes share all but 12 bytes, and by these their piece of the context meets
+   the same pieces of others, which are counted, deduplicated and sorted as contexts are. What is still hot is parted into single windows, and goes the same
+   way. So whatever repeats is found by the sort, and no task sorts more than ``HOT`` strings of a group.
 5. What the sort says about a context goes to all places that have it; intervals are merged by document and taken out of the text.
 
 Counts are aggregated before every shuffle, contexts are deduplicated before they are sorted, and joins have the rows of one key
@@ -38,7 +40,9 @@ ANCHORS = "doc bigint, own bigint, at bigint, gram bigint, high bigint, low bigi
 CONTEXTS = "doc bigint, own bigint, at bigint, gram bigint, high bigint, low bigint, many boolean, hot boolean, context binary"
 #: start and stop are places in the text, or for contexts that are many, distances from the anchor.
 VERDICTS = "doc bigint, own bigint, gram bigint, high bigint, low bigint, many boolean, start bigint, stop bigint"
-WINDOWS = "doc bigint, own bigint, many boolean, start bigint, high bigint, low bigint"
+PIECES = "doc bigint, own bigint, at bigint, gram bigint, high bigint, low bigint, parent boolean, context binary"
+#: How many starts a piece of a hot group's contexts has, from one round to the next.
+STEPS = (13, 1)
 TEXTS = "doc bigint, own bigint, doc_id bigint, z binary"
 RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, removed string"
 _POWERS: dict[int, tuple] = {}
@@ -247,20 +251,26 @@ def _sorted_groups(length: int):
     return run
 
 
-def _windows(length: int):
-    """CONTEXTS to a row for each window: its digest and place."""
+def _pieces(length: int, step: int):
+    """CONTEXTS to PIECES: each has the windows whose distances from the anchor are alike but for their rest by ``step``, and is told by the bytes
+    that all such windows share."""
 
     def run(batches):
-        from xxhash import xxh3_128_intdigest
+        from xxhash import xxh3_64_intdigest, xxh3_128_intdigest
 
         def found():
             for batch in batches:
                 for doc, own, at, many, context in zip(*(batch.column(c).to_pylist() for c in ("doc", "own", "at", "many", "context"))):
-                    _, low, _ = _unpacked(at)
-                    digests = [xxh3_128_intdigest(context[k : k + length]) for k in range(len(context) - length + 1)]
-                    yield [(doc, own, many, low + k, _signed(d >> 64), _signed(d & (1 << 64) - 1)) for k, d in enumerate(digests)]
+                    place, before, least, rows = at >> 16, at >> 8 & 255, at & 255, []
+                    for k in range(least - least % step, before + 1, step):
+                        low, high = max(least, k), min(before, k + step - 1)
+                        piece, core = context[before - high : before - low + length], context[before - k : before + length - k - step + 1]
+                        packed = place << 16 | high << 8 | low
+                        d = xxh3_128_intdigest(piece, seed=packed & 0xFFFF)
+                        rows.append((doc, own, packed, _signed(xxh3_64_intdigest(core, seed=k + 1)), _signed(d >> 64), _signed(d & (1 << 64) - 1), many, piece))
+                    yield rows
 
-        return _batched_rows(found(), WINDOWS, 50_000)
+        return _batched_rows(found(), PIECES, 20_000)
 
     return run
 
@@ -299,11 +309,55 @@ def _removed(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
 
+CONTEXT = ["gram", "high", "low"]
+
+
+def _counted(places: DataFrame, hot: int, more: tuple = ()) -> DataFrame:
+    """Different contexts of ``places`` (ANCHORS) that repeat, or whose string has several: copies, their first place, whether they are hot."""
+    contexts = stored(places.groupBy(*CONTEXT).agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc", "own", "at")).alias("first"), *more), "contexts")
+    kinds = stored(contexts.groupBy(F.col("gram").alias("g")).agg(F.count(F.lit(1)).alias("kinds")), "kinds")
+    counted = stored(contexts.join(kinds, F.col("gram") == F.col("g")).where("copies > 1 OR kinds > 1").drop("g").withColumn("hot", F.col("kinds") > hot), "counted")
+    drop_stored(contexts)
+    drop_stored(kinds)
+    return counted
+
+
+def _verdicts(fetched: DataFrame, length: int) -> DataFrame:
+    """VERDICTS on CONTEXTS: of those that aren't hot by the sort; of hot ones that are many, all."""
+    near = fetched.where("NOT hot").repartition("gram").sortWithinPartitions("gram").mapInArrow(_sorted_groups(length), VERDICTS)
+    reach = [-F.shiftright("at", 8).bitwiseAND(F.lit(255)), length - F.col("at").bitwiseAND(F.lit(255))]
+    equal = fetched.where("hot AND many").select("doc", "own", *CONTEXT, "many", reach[0].alias("start"), reach[1].alias("stop"))
+    return stored(near.unionByName(equal), "verdicts")
+
+
+def _told(verdicts: DataFrame, places: DataFrame) -> DataFrame:
+    """(doc, own, start, stop) of the verdicts: of contexts that are many for each of the ``places`` that has them."""
+    place = F.shiftright("at", 16)
+    shared = places.select("doc", "own", "at", *CONTEXT).join(verdicts.where("many").select(*CONTEXT, "start", "stop"), CONTEXT)
+    shared = shared.select("doc", "own", (place + F.col("start")).alias("start"), (place + F.col("stop")).alias("stop"))
+    return stored(verdicts.where("NOT many").select("doc", "own", "start", "stop").unionByName(shared), "spans")
+
+
+def _deeper(contexts: DataFrame, length: int, step: int, hot: int) -> tuple[DataFrame, DataFrame]:
+    """(doc, own, start, stop) for hot contexts that stand once, by their pieces; and the pieces that are hot themselves, as CONTEXTS."""
+    pieces = stored(contexts.mapInArrow(_pieces(length, step), PIECES), "pieces")
+    counted = _counted(pieces, hot if step > 1 else 2**62, (F.bool_or("parent").alias("inherited"),))
+    one = counted.select(*CONTEXT, "first", ((F.col("copies") > 1) | F.col("inherited")).alias("many"), "hot")
+    first = pieces.join(one, CONTEXT).where(F.struct("doc", "own", "at") == F.col("first"))
+    fetched = stored(first.select(*[x.split()[0] for x in CONTEXTS.split(", ")]), "fetched")
+    drop_stored(counted)
+    verdicts = _verdicts(fetched, length)
+    spans = _told(verdicts, pieces.where("NOT parent"))
+    drop_stored(pieces)
+    drop_stored(verdicts)
+    return spans, fetched
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(doc, own, start, stop) of the bytes that lie in repeated substrings; spans of a document may overlap."""
     if not gram <= length < gram + 256:
         raise ValueError("length has to be gram to gram + 255")
-    spark, context = docs.sparkSession, ["gram", "high", "low"]
+    spark = docs.sparkSession
     found = batched(docs).select("doc_id", "text").mapInArrow(_anchored(length, gram), ANCHORS)
     several = found.groupBy("gram").agg(F.count(F.lit(1)).alias("places")).where("places > 1").select("gram")
     #: A join that reads an aggregate where it was made can't be split for a hot key; one that reads a table can.
@@ -311,35 +365,29 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     repeated = stored(found.join(several, "gram", "left_semi"), "anchors")
     drop_stored(several)
     release(spark)
-    contexts = stored(repeated.groupBy(*context).agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc", "own", "at")).alias("first")), "contexts")
-    kinds = stored(contexts.groupBy(F.col("gram").alias("g")).agg(F.count(F.lit(1)).alias("kinds")), "kinds")
-    wanted = contexts.join(kinds, F.col("gram") == F.col("g")).where("copies > 1 OR kinds > 1")
-    one = F.struct("first.at", *context, (F.col("copies") > 1).alias("many"), (F.col("kinds") > hot).alias("hot"))
-    asked = stored(wanted.groupBy("first.doc", "first.own").agg(F.collect_list(one).alias("wanted")), "asked")
-    drop_stored(contexts)
-    drop_stored(kinds)
+    counted = _counted(repeated, hot)
+    one = F.struct("first.at", *CONTEXT, (F.col("copies") > 1).alias("many"), "hot")
+    asked = stored(counted.groupBy("first.doc", "first.own").agg(F.collect_list(one).alias("wanted")), "asked")
+    drop_stored(counted)
     release(spark)
     texts = docs.select("doc_id", "text").mapInArrow(_compressed, TEXTS).select("doc", "own", "z")
     fetched = stored(texts.join(asked, ["doc", "own"]).mapInArrow(_contexts(length), CONTEXTS), "fetched")
     drop_stored(asked)
     release(spark)
-    verdicts = fetched.where("NOT hot").repartition("gram").sortWithinPartitions("gram").mapInArrow(_sorted_groups(length), VERDICTS)
-    if not (widely := fetched.where("hot")).isEmpty():
-        windows = widely.mapInArrow(_windows(length), WINDOWS)
-        twice = stored(windows.groupBy("high", "low").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("high", "low"), "twice")
-        none = [F.lit(None).cast("bigint").alias(c) for c in context]
-        met = windows.where("NOT many").join(twice, ["high", "low"], "left_semi").select("doc", "own", *none, "many", "start", (F.col("start") + length).alias("stop"))
-        reach = [-F.shiftright("at", 8).bitwiseAND(F.lit(255)), length - F.col("at").bitwiseAND(F.lit(255))]
-        equal = widely.where("many").select("doc", "own", *context, "many", reach[0].alias("start"), reach[1].alias("stop"))
-        verdicts = verdicts.unionByName(met).unionByName(equal)
-    verdicts = stored(verdicts, "verdicts")
-    drop_stored(fetched)
-    release(spark)
-    place = F.shiftright("at", 16)
-    shared = repeated.join(verdicts.where("many").select(*context, "start", "stop"), context).select("doc", "own", (place + F.col("start")).alias("start"), (place + F.col("stop")).alias("stop"))
-    spans = stored(verdicts.where("NOT many").select("doc", "own", "start", "stop").unionByName(shared), "spans")
+    verdicts = _verdicts(fetched, length)
+    spans = _told(verdicts, repeated)
     drop_stored(repeated)
+    drop_stored(verdicts)
     release(spark)
+    for step in STEPS:
+        if (wide := fetched.where("hot")).isEmpty():
+            break
+        more, deeper = _deeper(wide, length, step, hot)
+        spans = spans.unionByName(more)
+        drop_stored(fetched)
+        fetched = deeper
+        release(spark)
+    drop_stored(fetched)
     return spans
 
 
