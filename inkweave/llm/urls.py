@@ -69,9 +69,10 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     """``pages`` with host, path, rule and verdict."""
     host, path = split_url(F.col(url))
     split = pages.drop(*{"rule", "verdict"}.difference({url})).withColumns({"host": host, "path": path})
-    #: A join that reads an aggregate where it was made can't be split for a hot URL; one that reads a table can.
+    #: A join that reads an aggregate where it was made can't be split for a hot URL; one that reads a table can. Files of URLs are far smaller than
+    #: the URLs in memory, so Spark isn't left to broadcast them by the files' size.
     found = stored(match_rules(split.where("host <> ''").select("host", "path").distinct(), rules), "matched-urls")
-    return split.join(found, ["host", "path"], "left").withColumn("verdict", F.coalesce("verdict", F.lit(default)))
+    return split.join(found.hint("merge"), ["host", "path"], "left").withColumn("verdict", F.coalesce("verdict", F.lit(default)))
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
