@@ -12,9 +12,12 @@ _WORDS = "list_filter(string_split(trim(regexp_replace(regexp_replace(lower({0})
 _GRAMS = "list_distinct(list_transform(CASE WHEN length({0}) >= 3 THEN range(1, length({0}) - 1) ELSE [] END, lambda i: substr({0}, i, 3)))"
 
 
-def _lines(split: str, keep: str, ends: str = r"\r\n|[\n\r]") -> str:
+_HEADED = r"""CASE WHEN doc_id % 3 = 0 THEN '## head' || chr(10) || ' ## inner' || chr(10) ELSE '' END || text || CASE WHEN doc_id % 10 = 0 THEN chr(10) || '"name": "x"' ELSE '' END"""
+
+
+def _lines(split: str, keep: str, ends: str = r"\r\n|[\n\r]", of: str = _HEADED) -> str:
     return f"""
-WITH a AS (SELECT doc_id, string_split_regex(text, '{ends}') AS parts FROM documents WHERE text IS NOT NULL),
+WITH a AS (SELECT doc_id, string_split_regex({of}, '{ends}') AS parts FROM documents WHERE text IS NOT NULL),
 b AS (SELECT doc_id, unnest(parts) AS raw, generate_subscripts(parts, 1) AS number FROM a),
 c AS (SELECT doc_id, raw, number, {_STRIP.format('raw')} AS text FROM b),
 d AS (SELECT doc_id, number, text, row_number() OVER (PARTITION BY doc_id ORDER BY number) - 1 AS line FROM c WHERE text <> '' AND {keep})
@@ -96,11 +99,17 @@ _STATE = """st AS (SELECT 'p' || doc_id AS page, CASE doc_id % 10 WHEN 0 THEN CA
 ORACLE_SQL = {
     "scan_verse": _lines("doc_id, line, text", "NOT starts_with(text, '##')"),
     "scan_prose": _lines("doc_id, line, text", "NOT starts_with(raw, '##')"),
-    "scan_dictionary": _lines("doc_id, line, number, text", r"NOT regexp_matches(text, '^\s*\d+\s*$')", r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"),
+    "scan_pairs": _lines("doc_id, line, text", "true"),
+    "page_images": "SELECT '/scans/p' || doc_id || '.txt' AS path, CASE doc_id % 4 WHEN 0 THEN '/scans/p' || doc_id || '.jpg' WHEN 1 THEN '/scans/p' || doc_id || '.jpeg' WHEN 2 THEN '/scans/p' || doc_id || '.png' END AS image FROM documents",
+    "first_sources": "SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN 'a' WHEN doc_id % 2 = 0 THEN 'b' ELSE 'c' END AS source FROM documents",
+    "held_out": f"""WITH {_BEST}, v AS (SELECT page, poem_id, round(sum(score), 6) AS votes FROM best GROUP BY ALL), truth AS (SELECT page, poem_id FROM v QUALIFY row_number() OVER (PARTITION BY page ORDER BY votes DESC, poem_id) = 1),
+other AS (SELECT * FROM sc ANTI JOIN truth USING (page, poem_id) WHERE score >= 0.3 QUALIFY row_number() OVER (PARTITION BY page, line ORDER BY score DESC, poem_id, verse) = 1), w AS (SELECT page, poem_id, round(sum(score), 6) AS votes FROM other GROUP BY ALL),
+n AS (SELECT page, count(*) AS n FROM q GROUP BY page) SELECT page, round(coalesce((SELECT max(votes) FROM v WHERE v.page = n.page) / n, 0), 9) AS present, round(coalesce((SELECT max(votes) FROM w WHERE w.page = n.page) / n, 0), 9) AS absent FROM n""",
+    "scan_dictionary": _lines("doc_id, line, number, text, doc_id % 10 = 0 AS corrupt", r"NOT regexp_matches(text, '^\s*\d+\s*$')", r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"),
     "poem_files": f"WITH a AS (SELECT 'w' || doc_id || '-' || lang || '-poet-ghazals-' || (doc_id % 3) AS gid, lang || '-poet' AS poet, len(list_filter(string_split_regex(text, '\\r\\n|[\\n\\r]'), lambda x: {_STRIP.format('x')} <> '')) AS n_lines FROM documents) SELECT * FROM a WHERE n_lines >= 4",
     "file_status": f"WITH a AS (SELECT len(list_filter(string_split_regex(text, '\\r\\n|[\\n\\r]'), lambda x: {_STRIP.format('x')} <> '')) AS n FROM documents) SELECT count(*) FILTER (n >= 2) AS usable, count(*) FILTER (n < 2) AS bad FROM a",
     "normalised": f"WITH a AS (SELECT item_id, {_WORDS.format('text')} AS w FROM benchmark) SELECT item_id, array_to_string(w, ' ') AS folded, array_to_string(w, '') AS spaceless, len({_GRAMS.format(chr(39).join(['array_to_string(w, ', '_', ')']))}) AS n_grams FROM a",
-    "line_lengths": _lines("doc_id, line, length(regexp_replace(text, '[^a-zA-Z]', '', 'g')) AS n_letters, length(regexp_replace(text, '[^a-zA-Z]', '', 'g')) / greatest(1, length(text)) AS share, length(regexp_replace(text, '[^a-zA-Z]', '', 'g')) >= 4 AND length(regexp_replace(text, '[^a-zA-Z]', '', 'g')) / greatest(1, length(text)) >= 0.5 AND length(text) <= 200 AS is_verse, length(regexp_replace(text, '[^a-zA-Z]', '', 'g')) >= 8 AND length(regexp_replace(text, '[^a-zA-Z]', '', 'g')) / greatest(1, length(text)) >= 0.45 AS is_prose", "NOT starts_with(text, '##')"),
+    "line_lengths": _lines("doc_id, line, length(regexp_replace(text, '[^a-zA-Z]', '', 'g')) AS n_letters, length(regexp_replace(text, '[^a-zA-Z]', '', 'g')) / greatest(1, length(text)) AS share, length(regexp_replace(text, '[^a-zA-Z]', '', 'g')) >= 4 AND length(regexp_replace(text, '[^a-zA-Z]', '', 'g')) / greatest(1, length(text)) >= 0.5 AND length(text) <= 200 AS is_verse, length(regexp_replace(text, '[^a-zA-Z]', '', 'g')) >= 8 AND length(regexp_replace(text, '[^a-zA-Z]', '', 'g')) / greatest(1, length(text)) >= 0.45 AS is_prose", "NOT starts_with(text, '##')", of="text"),
     "word_frequencies": f"WITH {_SENTENCES}, w AS (SELECT DISTINCT poem_id, unnest(words) AS token FROM r) SELECT token, count(*) AS df FROM w GROUP BY token",
     "gram_frequencies": f"WITH {_SENTENCES}, g AS (SELECT unnest(grams) AS gram FROM r) SELECT gram, count(*) AS df, count(*) > 60 AS is_hot FROM g GROUP BY gram",
     "match_lines": f"WITH {_BEST} SELECT page, line, poem_id, verse, score FROM best",

@@ -61,16 +61,52 @@ def kept_records(spark, sf_dir):
     return cut(found), query, index
 
 
+def _headed(spark, sf_dir):
+    """doc_id, text: every third with a heading and an indented one, every tenth with a line that makes a page corrupt."""
+    head = F.when(F.col("doc_id") % 3 == 0, "## head\n ## inner\n").otherwise("")
+    end = F.when(F.col("doc_id") % 10 == 0, '\n"name": "x"').otherwise("")
+    return read(spark, sf_dir, "documents").select("doc_id", F.concat(head, "text", end).alias("text"))
+
+
 def scan_verse(spark, sf_dir):
-    return texts.verse_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", "line", "text")
+    return texts.verse_lines(_headed(spark, sf_dir), "doc_id").select("doc_id", "line", "text")
+
+
+def scan_pairs(spark, sf_dir):
+    return texts.verse_lines(_headed(spark, sf_dir), "doc_id", headings=True).select("doc_id", "line", "text")
 
 
 def scan_prose(spark, sf_dir):
-    return texts.prose_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", "line", "text")
+    return texts.prose_lines(_headed(spark, sf_dir), "doc_id").select("doc_id", "line", "text")
 
 
 def scan_dictionary(spark, sf_dir):
-    return texts.dictionary_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", r"^\s*\d+\s*$").select("doc_id", "line", "number", "text")
+    return texts.dictionary_lines(_headed(spark, sf_dir), "doc_id", r"^\s*\d+\s*$").select("doc_id", "line", "number", "text", "corrupt")
+
+
+def page_images(spark, sf_dir):
+    """Each page's image by the kind that comes first; every fourth has none."""
+    k, page = F.col("doc_id") % 4, F.concat(F.lit("/scans/p"), "doc_id")
+    ends = F.when(k == 0, F.array(F.lit(".png"), F.lit(".jpg"))).when(k == 1, F.array(F.lit(".jpeg"), F.lit(".png"))).when(k == 2, F.array(F.lit(".partial.txt"), F.lit(".png"))).otherwise(F.array(F.lit(".gif")))
+    paths = read(spark, sf_dir, "documents").select(F.explode(F.transform(F.concat(ends, F.array(F.lit(".txt"))), lambda x: F.concat(page, x))).alias("path"))
+    return texts.images_of(paths)
+
+
+def first_sources(spark, sf_dir):
+    """Of three sources the first that has a document."""
+    of = lambda n, name: read(spark, sf_dir, "documents").where(F.col("doc_id") % n == 0).select(F.col("doc_id").alias("id"), F.lit(name).alias("source"))
+    return refs.by_priority(of(3, "a"), of(2, "b"), of(1, "c"))
+
+
+def held_out(spark, sf_dir):
+    """Each page's best score by its lines, with all poems there, and with the one that scored best gone."""
+    query, index = both(spark, sf_dir)
+    votes = cut(matching.line_votes(query, index).withColumn("votes", F.round("votes", 6)))
+    truth = matching.ranked(votes, "votes", 1).select("page", "poem_id")
+    gone = matching.withheld_matches(query, index, truth).groupBy("page", "poem_id").agg(F.round(F.sum("score"), 6).alias("votes"))
+    sizes = query.groupBy("page").agg(F.count(F.lit(1)).alias("size"))
+    of = lambda scores, name: evaluation.best_normalised(scores, sizes).select("page", F.round("score", 9).alias(name))
+    return of(votes, "present").join(of(gone, "absent"), "page")
 
 
 def _files(spark, sf_dir):
@@ -435,7 +471,7 @@ def dictionary_entries(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    scan_verse, scan_prose, scan_dictionary, poem_files, file_status, normalised, line_lengths, word_frequencies, gram_frequencies, match_lines, align, align_totals, align_quantiles, align_pages, negative_control,
+    scan_verse, scan_pairs, scan_prose, scan_dictionary, page_images, first_sources, held_out, poem_files, file_status, normalised, line_lengths, word_frequencies, gram_frequencies, match_lines, align, align_totals, align_quantiles, align_pages, negative_control,
     discover_gaps, line_votes, restricted_votes, rare_words, idf_overlap, best_offset, pair_rates, prose_rates, compare_sources, refrains, refrain_families, family_sizes, refrain_share, trial_pool, threshold_sweep,
     rising_steps, retrieval_report, increasing_runs, split_counts, build_manifest, hash_mismatches, page_alignment, page_states, state_counts, last_attempts, html_lines, kept_html_lines, page_links, links_to_fetch, url_parts,
     reference_problems, cache_totals, reference_verses, persian_numbers, reading_noise, agreement_levels, normalisation_cases,

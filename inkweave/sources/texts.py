@@ -31,13 +31,14 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(BLANKS))
 
 
-def _lines(texts: DataFrame, key: str, ends: str, keep) -> DataFrame:
-    """key, line (from 0, after filtering), number (from 1, before), text. The array of a text's lines is filtered and
-    numbered in place, so nothing is shuffled."""
+def _lines(texts: DataFrame, key: str, ends: str, keep, *more: Column) -> DataFrame:
+    """key, line (from 0, after filtering), number (from 1, before), text, and ``more`` columns of the whole text. The array of a text's lines is
+    filtered and numbered in place, so nothing is shuffled."""
     raw = F.split(F.col("text"), ends)
     marked = F.transform(raw, lambda x, i: F.struct((i + 1).alias("number"), x.alias("raw"), strip(x).alias("text")))
     kept = F.filter(marked, lambda x: (x["text"] != "") & keep(x))
-    return texts.select(F.col(key), F.posexplode(kept).alias("line", "_x")).select(key, "line", F.col("_x.number").alias("number"), F.col("_x.text").alias("text"))
+    found = texts.select(F.col(key), F.struct(F.lit(0), *more).alias("_m"), F.posexplode(kept).alias("line", "_x"))
+    return found.select(key, "line", F.col("_x.number").alias("number"), F.col("_x.text").alias("text"), *["_m.*"] * bool(more)).drop("col1")
 
 
 def verse_lines(texts: DataFrame, key: str = "path", headings: bool = False) -> DataFrame:
@@ -53,9 +54,8 @@ def prose_lines(texts: DataFrame, key: str = "path") -> DataFrame:
 def dictionary_lines(texts: DataFrame, key: str = "path", head: str = RUNNING_HEAD) -> DataFrame:
     """Lines by every line end, with numbers as they stand in the file; without running heads and page numbers. ``corrupt``
     marks the lines of corrupt pages."""
-    lines = _lines(texts, key, LINE_ENDS, lambda x: ~x["text"].rlike(head))
-    corrupt = texts.where(F.col("text").rlike(CORRUPT_PAGE)).select(F.col(key).alias("_c")).distinct()
-    return lines.join(corrupt, F.col(key) == F.col("_c"), "left").withColumn("corrupt", F.col("_c").isNotNull()).drop("_c")
+    corrupt = F.coalesce(F.col("text").rlike(CORRUPT_PAGE), F.lit(False))
+    return _lines(texts, key, LINE_ENDS, lambda x: ~x["text"].rlike(head), corrupt.alias("corrupt"))
 
 
 def poems(texts: DataFrame, poet: str | None = None, least: int = 4, key: str = "path") -> DataFrame:
