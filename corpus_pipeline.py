@@ -4,8 +4,8 @@
 2. near_dedup: of each group of near duplicates (five-word shingles, similarity 0.8) the smallest doc_id stays;
 3. secrets: spans of secrets are replaced in the texts;
 4. mixing: sources are drawn to their target weights. A document that is drawn several times is as many rows, and one
-   that is drawn in part has the words drawn;
-5. packing: the ids of the texts are packed into sequences.
+   that is drawn in part has the words drawn; rows lie by shard of the mix, in its order;
+5. packing: the ids of the texts are packed into sequences, as the shards lie.
 
 All but the last return the columns of documents (doc_id, text, lang, source, n_chars). n_chars follows a text that a stage has changed. Rows with nulls pass as
 the operators say; a null or empty text stays through the first three stages, and is drawn 0 times.
