@@ -15,8 +15,6 @@ import re
 import sys
 from array import array
 
-#: Words kept by each worker, about 200 bytes each.
-CACHED = 400_000
 
 
 def vocabulary(name: str) -> str:
@@ -74,6 +72,9 @@ def _parts(ids: list[int], starts, ends) -> list[bytes]:
 
 
 class _Ids:
+    #: Words kept by each worker, about 200 bytes each.
+    cached = 400_000
+
     def __init__(self, path: str, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -95,7 +96,7 @@ class _Ids:
 
     def _learn(self, words: set) -> None:
         """Puts ``words`` into the cache. A full cache becomes the one before, out of which what is still in use comes back."""
-        if len(self.cache) > CACHED // 2:
+        if len(self.cache) > self.cached // 2:
             self.cache, self.before = {}, self.cache
         missing = words.difference(self.cache)
         if known := missing.intersection(self.before):
@@ -153,6 +154,8 @@ class ByteIds(_Ids):
     """Byte-level BPE: a piece's ids depend on the space before it, and on nothing else. Pieces that stand behind no space
     begin with a NUL."""
 
+    cached = 1_200_000
+
     @staticmethod
     def _marks(token: str) -> bool:
         return token.startswith("\u0120")  # how a space is written
