@@ -33,7 +33,7 @@ from .common import batched, drop_stored, release, stored, table
 from .suffixes import matches
 from .tokens import slices
 
-LENGTH, GRAM, HOT = 200, 32, 1024
+LENGTH, GRAM, HOT = 200, 32, 256
 CHUNK = 1 << 19
 #: A context is (gram, high, low); ``many`` if there are several equal ones.
 ANCHORS = "doc bigint, own bigint, at bigint, gram bigint, high bigint, low bigint"
