@@ -37,9 +37,13 @@ def _sentences(df: DataFrame, key: str, name: str, line: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """page, line, text, words, grams of all documents' sentences. One large Parquet file is few tasks, so documents are dealt out first."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
-    return matching.with_trigrams(_sentences(docs, "doc_id", "page", "line"), words)
+    """page, line, text, words, grams of all documents' sentences. One large Parquet file is few tasks, so documents are dealt out first; finely, as a line
+    makes thousands of pairs, whose counts a task should hold in memory."""
+    return matching.with_trigrams(_sentences(_dealt(spark, sf_dir), "doc_id", "page", "line"), words)
+
+
+def _dealt(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", "text").repartition(16 * int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
 
 
 def poems(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,7 +175,7 @@ def negative_control(spark, sf_dir):
 
 def discover_gaps(spark, sf_dir):
     """Of pages whose every third line has faded, so that plain matching leaves it out."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
+    docs = _dealt(spark, sf_dir)
     faded = F.when(F.col("line") % 3 == 1, F.regexp_replace("text", "([a-z]{2})[a-z]", "$1")).otherwise(F.col("text"))
     query = matching.with_trigrams(_sentences(docs, "doc_id", "page", "line").withColumn("text", faded), words)
     index = poems(spark, sf_dir)
