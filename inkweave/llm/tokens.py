@@ -44,7 +44,7 @@ def _classes() -> bytes:
     return "".join(kind(chr(i)) for i in range(256)).encode()
 
 
-_CLASS, _SPACE = _classes(), ord("s")
+_CLASS, _SPACE, _BLANK = _classes(), ord("s"), ord(" ")
 #: White space other than spaces and line feeds, and these two where they don't stand alone between other characters.
 _ODD_SPACE = re.compile(r"[^\S \n]|[ \n]{2}|\A[ \n]|[ \n]\Z|\0")
 
@@ -99,7 +99,7 @@ class _Ids:
         if len(self.cache) > self.cached // 2:
             self.cache, self.before = {}, self.cache
         missing = words.difference(self.cache)
-        if known := missing.intersection(self.before):
+        if known := {w for w in missing if w in self.before}:  # intersection() would walk the whole cache before
             self.cache.update(zip(known, map(self.before.__getitem__, known)))
             missing -= known
         simple, rest = self._sorted_out(missing)
@@ -178,10 +178,9 @@ class ByteIds(_Ids):
         return _parts(ids, starts, [*starts[1:], len(ids)])
 
     @staticmethod
-    def _pieces(text: str):
-        """None unless white space is single spaces and line feeds between other characters only."""
-        if not text:
-            return []
+    def _spaced(text: str) -> str | None:
+        """The pieces of a text that isn't empty, divided by single spaces. None unless white space is single spaces and line
+        feeds between other characters only."""
         if (kinds := _kinds(text)) is None:
             if _ODD_SPACE.search(text):
                 return None
@@ -189,7 +188,45 @@ class ByteIds(_Ids):
             return None
         elif _stops_stand_alone(kinds) and " ." not in text and " ," not in text:
             text = text.replace(".", " \0.").replace(",", " \0,")
-        return ("\0" + text.replace("\n", " \0\n \0")).split(" ")
+        return "\0" + text.replace("\n", " \0\n \0")
+
+    def _ids(self, texts):
+        """All texts' pieces go through one Arrow dictionary, so that Python meets each different piece of a call once."""
+        out: list[bytes] = [b""] * len(texts)
+        spaced, odd = {}, []
+        for i, text in enumerate(texts):
+            if self._has_special(text) or text and (pieces := self._spaced(text)) is None:
+                odd.append(i)
+            elif text:
+                spaced[i] = pieces
+        if spaced:
+            ends, ids = self._joined(" ".join(spaced.values()))
+            start = last = 0
+            for i, pieces in spaced.items():
+                last += pieces.count(" ") + 1
+                out[i] = ids[start : (start := ends[last])]
+        for i, ids in zip(odd, self._encode([texts[i] for i in odd])):
+            out[i] = ids
+        return out
+
+    def _joined(self, spaced: str):
+        """Where the bytes of each piece's ids end, from a 0 on, and the ids of all pieces one after the other."""
+        import numpy as np
+        import pyarrow as pa
+
+        raw = f"{spaced} ".encode()
+        at = np.flatnonzero(np.frombuffer(raw, dtype=np.uint8) == _BLANK)
+        starts = np.concatenate([[0], at + 1]).astype(np.int64, copy=False)
+        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(starts), pa.py_buffer(raw)]).dictionary_encode()
+        words = pieces.dictionary.buffers()[2].to_pybytes().decode().split(" ")  # each ends with its space
+        words.pop()
+        ids = list(map(self.cache.get, words))
+        if missing := [k for k, x in enumerate(ids) if x is None]:
+            self._learn({words[k] for k in missing})
+            for k in missing:
+                ids[k] = self.cache[words[k]]
+        _, ends, data = pa.array(ids, pa.large_binary()).take(pieces.indices).buffers()
+        return np.frombuffer(ends, dtype=np.int64), data.to_pybytes()
 
 
 class WordIds(_Ids):

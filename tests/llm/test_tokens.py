@@ -49,6 +49,54 @@ def test_any_text_gives_the_librarys_ids(text):
         assert encoder(kind, vocabulary(name))([text])[0] == packed(plain(name, text))
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([*PARTS, " ", "é.", "word.", " Да"]), max_size=8).map("".join), max_size=12))
+@example(["", "", "a.b,c\nd e", "", "“Да”, e", " a", "a.b,c\nd e"])
+def test_texts_of_one_call_keep_to_their_own_ids(texts):
+    """Also where the cache turns over within and between calls."""
+    encode = encoder(ByteIds, vocabulary(BYTES))
+    encode.cached = 8
+    try:
+        assert encode(texts) == [packed(plain(BYTES, t)) for t in texts]
+    finally:
+        del encode.cached
+
+
+class Lookups(dict):
+    n = 0
+
+    def __getitem__(self, word):
+        self.n += 1
+        return super().__getitem__(word)
+
+    def get(self, word, default=None):
+        self.n += 1
+        return super().get(word, default)
+
+
+def test_each_piece_of_a_call_is_looked_up_once():
+    """What op6_token_binary has to do in Python goes by different words, not by words."""
+    encode, text = ByteIds(vocabulary(BYTES)), "one two, three. four\nünf " * 500 + "end"
+    encode.cache = Lookups()
+    for lookups in (20, 30):  # 10 different pieces: looked up, learned and fetched; then looked up
+        assert encode([text, "one two", text]) == [packed(plain(BYTES, t)) for t in (text, "one two", text)]
+        assert encode.cache.n <= lookups
+
+
+class Unwalked(dict):
+    def __iter__(self):
+        raise AssertionError("a call walks all words of the cache before")
+
+
+def test_the_cache_before_is_asked_for_words_and_not_walked():
+    for kind, name in ((ByteIds, BYTES), (WordIds, WORDS)):
+        encode = kind(vocabulary(name))
+        encode(["one two three"])
+        encode.cache, encode.before = {}, Unwalked(encode.cache)
+        assert encode(["one two four"]) == [packed(plain(name, "one two four"))]
+        assert encode.cache["two"] is encode.before["two"] and "three" not in encode.cache
+
+
 def test_special_strings_as_ordinary_text():
     own = Tokenizer.from_file(vocabulary(BYTES))
     own.encode_special_tokens = True
