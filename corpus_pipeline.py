@@ -24,6 +24,8 @@ from inkweave.llm.secrets import redacted
 from inkweave.llm.tokens import vocabulary
 from inkweave.llm.toxicity import drop_toxic
 
+#: Words whose ids a worker keeps in packing, where op9_packing keeps 800,000: beside the other stages an executor has less room.
+WORDS = 300_000
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -46,7 +48,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack_documents(docs, vocabulary("word_bpe_49k.json"))
+    return pack_documents(docs, vocabulary("word_bpe_49k.json"), words=WORDS)
 
 
 STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("secrets", secrets), ("mixing", mixing), ("packing", packing)]

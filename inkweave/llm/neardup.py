@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import batched, drop_stored, release, stored, table
 from .graph import components
-from .tokens import slices
+from .tokens import slices, unload
 
 BANDS, ROWS, BASE, RATE, ESTIMATED = 42, 6, 1.001, 20.0, 128
 NEED, DEVIATIONS = 80, 6.0
@@ -116,6 +116,7 @@ def _sketches(k: int):
         import numpy as np
         import pyarrow as pa
 
+        unload()
         for batch in batches:
             for part in slices(batch):
                 n, high, low, regs, bands = [], [], [], [], []

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import batched, table
-from .tokens import WordIds, encoder, slices, vocabulary
+from .tokens import WordIds, encoder, give_back, slices, vocabulary
 
 LENGTH, SEGMENTS, WASTE = 2048, 256, 16
 PROMPT, LOSS = 32, 2016
@@ -150,11 +150,13 @@ class _Rows:
         return out
 
 
-def packer(path: str, end: int, length: int, segments: int, waste: int, prompt: int, most: int):
+def packer(path: str, end: int, length: int, segments: int, waste: int, prompt: int, most: int, words: int = WordIds.cached):
     """The function for mapInArrow over (doc_id, text)."""
 
     def run(batches):
+        give_back()
         encode, tail = encoder(WordIds, path), end.to_bytes(4, "little")
+        encode.cached = words
         pack, out = Packer(length, segments, most, waste, _cutter(prompt)), _Rows()
 
         def flush(last: bool):
@@ -180,11 +182,12 @@ def packer(path: str, end: int, length: int, segments: int, waste: int, prompt:
     return run
 
 
-def pack_documents(docs: DataFrame, path: str, end: int = 1, length: int = LENGTH, segments: int = SEGMENTS, waste: int = WASTE, prompt: int = PROMPT, loss: int = LOSS) -> DataFrame:
-    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens."""
+def pack_documents(docs: DataFrame, path: str, end: int = 1, length: int = LENGTH, segments: int = SEGMENTS, waste: int = WASTE, prompt: int = PROMPT, loss: int = LOSS, words: int = WordIds.cached) -> DataFrame:
+    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens. A worker keeps the ids of
+    about ``words`` words; any number gives the same rows."""
     if not 0 < loss <= length or prompt < 0:
         raise ValueError("loss has to be from 1 to length, and prompt not negative")
-    return batched(docs).select("doc_id", "text").mapInArrow(packer(path, end, length, segments, waste, prompt, loss), PIECES)
+    return batched(docs).select("doc_id", "text").mapInArrow(packer(path, end, length, segments, waste, prompt, loss, words), PIECES)
 
 
 def _talk_packer(path: str, end: int, length: int, segments: int, most: int, bearing: str):

@@ -25,7 +25,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import batched, table
-from .tokens import slices, vocabulary
+from .tokens import slices, unload, vocabulary
 
 KINDS = ("assign", "access", "hex", "random")
 LEAST, RATIO, ONE_CASE = 20, 2.0, 1.9
@@ -164,6 +164,7 @@ def redacted(docs: DataFrame, mask: str = "[secret]", ratio: float = RATIO) -> D
     def run(batches):
         import pyarrow as pa
 
+        unload()
         encoding = _encoding(ranks, pattern)
         for part in (x for batch in batches for x in slices(batch, at)):
             columns, texts = list(part.columns), part.column(at).to_pylist()

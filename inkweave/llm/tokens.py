@@ -9,6 +9,7 @@ token's id as the library does, unless ``plain`` makes such strings ordinary tex
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import re
@@ -273,6 +274,24 @@ def encoder(kind: type, path: str, plain: bool = False) -> _Ids:
     return _LOADED[kind, path, plain]
 
 
+def give_back() -> None:
+    """Hands memory that is free back to the system. Arrow and malloc keep it otherwise, as long as the worker lives."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # the C library isn't glibc
+        pass
+
+
+def unload() -> None:
+    """Drops the encoders of this worker with their caches. Spark keeps workers for the stages that follow, which may need the memory
+    and no encoder; one that does loads it again."""
+    _LOADED.clear()
+    give_back()
+
+
 def slices(batch, text="text", size: int = 4_000_000, rows: int = 1024):
     """Arrow batches cut so that each holds about ``size`` characters of its column ``text`` (name or place) at most, or one row."""
     import pyarrow.compute as pc

@@ -2,14 +2,19 @@
 
 import re
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
+import pyspark
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from inkweave.llm import tokens
 from inkweave.llm.mixing import mix, mixed_documents, op5_mixing, shard_quotas, targets
+from inkweave.llm.neardup import _sketches
 from inkweave.llm.secrets import base_spans
-from inkweave.llm.tokens import vocabulary
+from inkweave.llm.tokens import WordIds, encoder, vocabulary
 
 from .conftest import ODD
 from .test_neardup import brute as brute_components
@@ -169,6 +174,47 @@ def test_stages(spark, write):
     assert len(corpus_pipeline.run(spark, folder).collect()) > 0
 
 
+def _functions(monkeypatch, *stages):
+    """What the stages give to mapInArrow."""
+    found = []
+    with monkeypatch.context() as m:
+        m.setattr(pyspark.sql.classic.dataframe.DataFrame, "mapInArrow", lambda self, f, *_: found.append(f) or self)
+        for stage in stages:
+            stage()
+    return found
+
+
+def test_stages_before_packing_drop_its_words(spark, write, monkeypatch):
+    """Workers outlive a stage: what packing has kept would lie beside all that the next run's stages need."""
+    rows, labels = corpus(20)
+    folder = write("labels", labels, LABELS)
+    docs = spark.createDataFrame(rows, DOCS)
+    stages = _functions(monkeypatch, lambda: corpus_pipeline.toxicity(spark, docs, folder), lambda: corpus_pipeline.secrets(spark, docs, folder))
+    for run in [*stages, _sketches(5)]:
+        encoder(WordIds, vocabulary("word_bpe_49k.json"))(["some words"])
+        assert tokens._LOADED
+        assert list(run(iter([]))) == []
+        assert not tokens._LOADED
+
+
+def test_packing_keeps_few_words_and_packs_the_same(spark, monkeypatch):
+    rows, _ = corpus(60)
+    docs = spark.createDataFrame(rows, DOCS)
+    batches = [pa.RecordBatch.from_pylist([{"doc_id": r[0], "text": r[1]} for r in rows[i : i + 10]]) for i in range(0, len(rows), 10)]
+    monkeypatch.setattr(pyspark.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    results = []
+    for words in (corpus_pipeline.WORDS, 100):
+        monkeypatch.setattr(corpus_pipeline, "WORDS", words)
+        (run,) = _functions(monkeypatch, lambda: corpus_pipeline.packing(spark, docs, ""))
+        tokens._LOADED.clear()
+        results.append([x for batch in run(iter(batches)) for x in batch.to_pylist()])
+        (encode,) = tokens._LOADED.values()
+        assert encode.cached == words < WordIds.cached
+    most = max(len({w for x in batch.column("text").to_pylist() for w in encode._pieces(x or "") or []}) for batch in batches)
+    assert len(encode.cache) <= 100 // 2 + most and len(encode.before) <= 100 // 2 + most
+    assert results[0] == results[1] and sum(x["length"] for x in results[0]) == sum({x["doc_id"]: x["doc_tokens"] for x in results[0]}.values())
+
+
 def test_empty(spark, write):
     write("labels", [], LABELS)
     assert corpus_pipeline.run(spark, write("documents", [], DOCS)).count() == 0
