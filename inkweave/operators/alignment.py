@@ -14,6 +14,8 @@ from . import order
 from .matching import CAP, best_matches, withheld_matches
 
 WEAK, STRONG, LINES, MONOTONE, REVIEW = 0.30, 0.55, 4, 0.80, 2
+#: What a match takes along of its line, so that it needn't be looked up.
+CARRY = ("text", "words")
 
 
 def tier(distinct: Column, monotone: Column, lines: int = LINES, least: float = MONOTONE, review: int = REVIEW) -> Column:
@@ -37,10 +39,10 @@ def span_metrics(pairs: Column) -> dict[str, Column]:
     }
 
 
-def strong_pairs(matches: DataFrame, query: DataFrame, index: DataFrame, strong: float = STRONG) -> DataFrame:
-    """page, poem_id, pairs: the strong matches by line, with both sides' words."""
+def strong_pairs(matches: DataFrame, index: DataFrame, strong: float = STRONG) -> DataFrame:
+    """page, poem_id, pairs: the strong ``matches`` (with the query's text and words) by line, with both sides' words."""
     rows = matches.withColumn("jaccard", rounded(F.col("score"), 4)).where(F.col("jaccard") >= strong)
-    rows = rows.join(query.select("page", "line", F.col("text").alias("hyp"), F.col("words").alias("hyp_words")), ["page", "line"])
+    rows = rows.withColumnsRenamed({"text": "hyp", "words": "hyp_words"})
     rows = rows.join(index.select("poem_id", "verse", F.col("text").alias("ref"), F.col("words").alias("ref_words")), ["poem_id", "verse"])
     pair = F.struct("line", "verse", "jaccard", "hyp", "ref", "hyp_words", "ref_words")
     return rows.groupBy("page", "poem_id").agg(F.array_sort(F.collect_list(pair)).alias("pairs"))
@@ -63,17 +65,17 @@ def tiered(pairs: DataFrame, lines: int = LINES, least: float = MONOTONE, review
     )
 
 
-def align(query: DataFrame, index: DataFrame, strong: float = STRONG, lines: int = LINES, least: float = MONOTONE, review: int = REVIEW, cap: int = CAP) -> DataFrame:
+def align(query: DataFrame, index: DataFrame, strong: float = STRONG, lines: int = LINES, least: float = MONOTONE, review: int = REVIEW, cap: int | None = CAP) -> DataFrame:
     """The records of all pages. Weak matches reach no output, so the join already prunes at the strong threshold, less
     what rounding may add; each line has one best match, which pruning can't change."""
     floor = max(WEAK, strong - 0.00005) if strong > WEAK else WEAK
-    return tiered(strong_pairs(best_matches(query, index, threshold=floor, cap=cap), query, index, strong), lines, least, review)
+    return tiered(strong_pairs(best_matches(query, index, threshold=floor, cap=cap, carry=CARRY), index, strong), lines, least, review)
 
 
-def control(query: DataFrame, index: DataFrame, truth: DataFrame, strong: float = STRONG, cap: int = CAP) -> DataFrame:
+def control(query: DataFrame, index: DataFrame, truth: DataFrame, strong: float = STRONG, cap: int | None = CAP) -> DataFrame:
     """Records found when each page's true poems are withheld: gold ones are false. Only pages that have a truth are asked."""
     asked = query.join(truth.select("page").distinct(), "page", "left_semi")
-    return tiered(strong_pairs(withheld_matches(asked, index, truth, threshold=max(WEAK, strong - 0.00005), cap=cap), asked, index, strong))
+    return tiered(strong_pairs(withheld_matches(asked, index, truth, threshold=max(WEAK, strong - 0.00005), cap=cap, carry=CARRY), index, strong))
 
 
 def control_rates(records: DataFrame, truth: DataFrame) -> DataFrame:

@@ -117,3 +117,37 @@ def test_streamed_pages(spark, tmp_path):
     streaming.start(stream, index, words, str(tmp_path / "out"), str(tmp_path / "state"), once=True).awaitTermination(120)
     rows = spark.read.json(str(tmp_path / "out")).collect()
     assert [(r.page, r.poem_id, r.tier, r.matched_lines) for r in rows] == [("a_1.txt", 1, "gold", 6)]
+
+
+def test_a_reference_in_blocks_has_the_same_matches(spark, monkeypatch):
+    lines = [v[k:] + " " + w[:9] for k, (v, w) in enumerate(itertools.permutations(VERSES, 2))]
+    query, index = frames(spark, {"p": lines, "q": VERSES[:2]}, {1: VERSES[:3], 2: VERSES[2:], 3: VERSES[:3]})
+    of = lambda threshold, cap: sorted(matching.best_matches(query, index, threshold=threshold, cap=cap).collect())
+    cases = [(0.0, None), (0.3, None), (0.55, None), (0.1, 3)]
+    whole = [of(*case) for case in cases]
+    monkeypatch.setattr(matching, "BLOCK", 4)
+    assert [of(*case) for case in cases] == whole and all(whole)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("abé😀_ ", max_size=30), max_size=12), st.lists(st.text("abé😀日_", max_size=30), max_size=12), st.sampled_from([0.0, 0.2, 0.3, 0.55, 1.0]), st.integers(0, 12))
+def test_pairs_by_plain_python(lines, verses, threshold, common):
+    """Also with no trigram or few of them in the product of matrices, and hot ones left out."""
+    import pyarrow as pa
+
+    from inkweave.functions import overlap
+
+    sets = [{t[i : i + 3] for i in range(len(t) - 2)} for t in verses]
+    hot = {x for x in itertools.chain(*sets) if sum(x in s for s in sets) > 5}
+    expected = {}
+    for i, t in enumerate(lines):
+        own = {t[k : k + 3] for k in range(len(t) - 2)} - hot
+        expected |= {(i, j): len(own & s) / len(own | s) for j, s in enumerate(sets) if own & s and len(own & s) / len(own | s) >= threshold}
+    rows = pa.table({"poem_id": list(range(len(verses))), "verse": [0] * len(verses), "words": pa.array([[v] for v in verses], pa.list_(pa.string()))})
+    kept, overlap.COMMON = overlap.COMMON, common
+    try:
+        reference = overlap.Reference(rows, frozenset(hot))
+        found = {(i, j): s for i, j, s in zip(*(x.tolist() for x in reference.pairs(pa.array(lines, pa.string()), threshold, False)))}
+    finally:
+        overlap.COMMON = kept
+    assert found == expected
