@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import rounded
-from .matching import CAP, overlaps
+from ..functions.text import jaccard, rounded, trigrams
+from .matching import CAP, best_matches, hot_grams
 
 FLOOR, ACCEPT = 0.30, 0.55
 
@@ -25,16 +25,19 @@ def gaps(records: DataFrame) -> DataFrame:
     return rows.withColumn("verse", F.col("line") + F.col("left.verse") - F.col("left.line"))
 
 
-def discover(records: DataFrame, query: DataFrame, index: DataFrame, floor: float = FLOOR, accept: float = ACCEPT, cap: int = CAP) -> DataFrame:
+def discover(records: DataFrame, query: DataFrame, index: DataFrame, floor: float = FLOOR, accept: float = ACCEPT, cap: int | None = CAP) -> DataFrame:
     """A row for each gap line: candidate, global_top (null if no line shares a trigram), anchors, exclusion."""
     found = gaps(records)
     asked = query.join(found.select("page", "line").distinct(), ["page", "line"], "left_semi")
-    scored = overlaps(asked, index, ("page", "line"), cap=cap)
-    best = F.min_by(F.struct("poem_id", "verse", rounded(F.col("score"), 4).alias("jaccard")), F.struct(-F.col("score"), "poem_id", "verse"))
-    top = scored.groupBy("page", "line").agg(best.alias("global_top"))
-    rows = found.join(query.select("page", "line", F.col("text").alias("hyp")), ["page", "line"], "left")
-    rows = rows.join(index.select("poem_id", "verse", F.col("text").alias("ref")), ["poem_id", "verse"], "left")
-    rows = rows.join(scored, ["page", "line", "poem_id", "verse"], "left").join(top, ["page", "line"], "left")
+    best = best_matches(asked, index, threshold=0.0, cap=cap)
+    top = best.select("page", "line", F.struct("poem_id", "verse", rounded(F.col("score"), 4).alias("jaccard")).alias("global_top"))
+    rows = found.join(query.select("page", "line", F.col("text").alias("hyp"), F.col("words").alias("_q")), ["page", "line"], "left")
+    rows = rows.join(index.select("poem_id", "verse", F.col("text").alias("ref"), F.col("words").alias("_r")), ["poem_id", "verse"], "left").join(top, ["page", "line"], "left")
+    left, right = trigrams(F.col("_q")), trigrams(F.col("_r"))
+    if cap is not None:
+        rows = rows.crossJoin(F.broadcast(hot_grams(index, cap).agg(F.collect_list("gram").alias("_hot"))))
+        left = F.array_except(left, "_hot")
+    rows = rows.withColumns({"_q": left, "_r": right}).withColumn("score", jaccard(F.size(F.array_intersect("_q", "_r")), F.size("_q"), F.size("_r")))
     score = F.coalesce("score", F.lit(0.0))
     same = F.coalesce((F.col("global_top.poem_id") == F.col("poem_id")) & (F.col("global_top.verse") == F.col("verse")), F.lit(False))
     exclusion = F.when(score < floor, "below_discovery_floor").when(score < accept, "below_acceptance_threshold").otherwise("not_excluded")
