@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import cer, f1, increasing_length, rounded
 from . import order
-from .matching import CAP, best_matches, withheld_matches
+from .matching import best_matches, withheld_matches
 
 WEAK, STRONG, LINES, MONOTONE, REVIEW = 0.30, 0.55, 4, 0.80, 2
 #: What a match takes along of its line, so that it needn't be looked up.
@@ -65,14 +65,14 @@ def tiered(pairs: DataFrame, lines: int = LINES, least: float = MONOTONE, review
     )
 
 
-def align(query: DataFrame, index: DataFrame, strong: float = STRONG, lines: int = LINES, least: float = MONOTONE, review: int = REVIEW, cap: int | None = CAP) -> DataFrame:
+def align(query: DataFrame, index: DataFrame, strong: float = STRONG, lines: int = LINES, least: float = MONOTONE, review: int = REVIEW, cap: int | None = None) -> DataFrame:
     """The records of all pages. Weak matches reach no output, so the join already prunes at the strong threshold, less
     what rounding may add; each line has one best match, which pruning can't change."""
     floor = max(WEAK, strong - 0.00005) if strong > WEAK else WEAK
     return tiered(strong_pairs(best_matches(query, index, threshold=floor, cap=cap, carry=CARRY), index, strong), lines, least, review)
 
 
-def control(query: DataFrame, index: DataFrame, truth: DataFrame, strong: float = STRONG, cap: int | None = CAP) -> DataFrame:
+def control(query: DataFrame, index: DataFrame, truth: DataFrame, strong: float = STRONG, cap: int | None = None) -> DataFrame:
     """Records found when each page's true poems are withheld: gold ones are false. Only pages that have a truth are asked."""
     asked = query.join(truth.select("page").distinct(), "page", "left_semi")
     return tiered(strong_pairs(withheld_matches(asked, index, truth, threshold=max(WEAK, strong - 0.00005), cap=cap, carry=CARRY), index, strong))

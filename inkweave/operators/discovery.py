@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import jaccard, rounded, trigrams
-from .matching import CAP, best_matches, hot_grams
+from .matching import best_matches, hot_grams
 
 FLOOR, ACCEPT = 0.30, 0.55
 
@@ -25,7 +25,7 @@ def gaps(records: DataFrame) -> DataFrame:
     return rows.withColumn("verse", F.col("line") + F.col("left.verse") - F.col("left.line"))
 
 
-def discover(records: DataFrame, query: DataFrame, index: DataFrame, floor: float = FLOOR, accept: float = ACCEPT, cap: int | None = CAP) -> DataFrame:
+def discover(records: DataFrame, query: DataFrame, index: DataFrame, floor: float = FLOOR, accept: float = ACCEPT, cap: int | None = None) -> DataFrame:
     """A row for each gap line: candidate, global_top (null if no line shares a trigram), anchors, exclusion."""
     found = gaps(records)
     asked = query.join(found.select("page", "line").distinct(), ["page", "line"], "left_semi")

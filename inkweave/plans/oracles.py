@@ -40,17 +40,22 @@ r AS (SELECT * FROM r0 WHERE len(grams) > 0)"""
 _READ = "sl AS (SELECT page, unnest(p) AS text, generate_subscripts(p, 1) - 1 AS line FROM sp)"
 _FADED = r"sf AS (SELECT page, unnest(p) AS text, generate_subscripts(p, 1) - 1 AS line FROM sp), sl AS (SELECT page, CASE WHEN line % 3 = 1 THEN regexp_replace(text, '([a-z]{2})[a-z]', '\1', 'g') ELSE text END AS text, line FROM sf)"
 assert _READ in _SENTENCES
-_MATCH = f"""{_SENTENCES},
-post AS (SELECT poem_id, verse, len(grams) AS n_r, unnest(grams) AS gram FROM r),
+_HOT = """
 df AS (SELECT gram, count(*) AS df FROM post GROUP BY gram),
-hot AS (SELECT gram FROM df WHERE df > 3000),
+hot AS (SELECT gram FROM df WHERE df > 3000),"""
+_COLD = " WHERE gram NOT IN (SELECT gram FROM hot)"
+_CAPPED_MATCH = f"""{_SENTENCES},
+post AS (SELECT poem_id, verse, len(grams) AS n_r, unnest(grams) AS gram FROM r),{_HOT}
 qg AS (SELECT page, line, unnest(grams) AS gram FROM q),
-qc AS (SELECT * FROM qg WHERE gram NOT IN (SELECT gram FROM hot)),
+qc AS (SELECT * FROM qg{_COLD}),
 qn AS (SELECT page, line, count(*) AS n_q FROM qc GROUP BY ALL),
 ov AS (SELECT page, line, poem_id, verse, n_r, count(*) AS o FROM qc JOIN post USING (gram) GROUP BY ALL),
 sc AS (SELECT page, line, poem_id, verse, o / (n_q + n_r - o) AS score FROM ov JOIN qn USING (page, line))"""
-_BEST = f"""{_MATCH},
+_CAPPED_BEST = f"""{_CAPPED_MATCH},
 best AS (SELECT * FROM sc WHERE score >= 0.3 QUALIFY row_number() OVER (PARTITION BY page, line ORDER BY score DESC, poem_id, verse) = 1)"""
+#: The same where every trigram counts.
+_MATCH, _BEST = (x.replace(_HOT, "").replace(_COLD, "") for x in (_CAPPED_MATCH, _CAPPED_BEST))
+assert "hot" not in _MATCH.removeprefix(_SENTENCES)
 _LIS = "len(list_reduce({0}, lambda t, x: list_concat(list_filter(t, lambda y: y < x), [x], t[len(list_filter(t, lambda y: y < x)) + 2:]), []::BIGINT[]))"
 
 
@@ -102,7 +107,7 @@ ORACLE_SQL = {
     "scan_pairs": _lines("doc_id, line, text", "true"),
     "page_images": "SELECT '/scans/p' || doc_id || '.txt' AS path, CASE doc_id % 4 WHEN 0 THEN '/scans/p' || doc_id || '.jpg' WHEN 1 THEN '/scans/p' || doc_id || '.jpeg' WHEN 2 THEN '/scans/p' || doc_id || '.png' END AS image FROM documents",
     "first_sources": "SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN 'a' WHEN doc_id % 2 = 0 THEN 'b' ELSE 'c' END AS source FROM documents",
-    "held_out": f"""WITH {_BEST}, v AS (SELECT page, poem_id, round(sum(score), 6) AS votes FROM best GROUP BY ALL), truth AS (SELECT page, poem_id FROM v QUALIFY row_number() OVER (PARTITION BY page ORDER BY votes DESC, poem_id) = 1),
+    "held_out": f"""WITH {_CAPPED_BEST}, v AS (SELECT page, poem_id, round(sum(score), 6) AS votes FROM best GROUP BY ALL), truth AS (SELECT page, poem_id FROM v QUALIFY row_number() OVER (PARTITION BY page ORDER BY votes DESC, poem_id) = 1),
 other AS (SELECT * FROM sc ANTI JOIN truth USING (page, poem_id) WHERE score >= 0.3 QUALIFY row_number() OVER (PARTITION BY page, line ORDER BY score DESC, poem_id, verse) = 1), w AS (SELECT page, poem_id, round(sum(score), 6) AS votes FROM other GROUP BY ALL),
 n AS (SELECT page, count(*) AS n FROM q GROUP BY page) SELECT page, round(coalesce((SELECT max(votes) FROM v WHERE v.page = n.page) / n, 0), 9) AS present, round(coalesce((SELECT max(votes) FROM w WHERE w.page = n.page) / n, 0), 9) AS absent FROM n""",
     "scan_dictionary": _lines("doc_id, line, number, text, doc_id % 10 = 0 AS corrupt", r"NOT regexp_matches(text, '^\s*\d+\s*$')", r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"),
@@ -159,7 +164,7 @@ c AS (SELECT DISTINCT score AS cut FROM s), k AS (SELECT cut, count(*) FILTER (p
 b AS (SELECT cut, (tp + n_a - fp) / (n_p + n_a) AS acc, tp / n_p AS recall, fp / n_a AS fpr FROM k, n ORDER BY acc DESC, cut LIMIT 1)
 SELECT b.*, p[len(p) // 20 + 1] AS present_p05, p[len(p) // 2 + 1] AS present_med, a[len(a) // 2 + 1] AS absent_med, a[-1] AS absent_max, len(list_filter(a, lambda x: x >= p[len(p) // 20 + 1])) / len(a) AS absent_above_present_p05 FROM b, n""",
     "rising_steps": "WITH a AS (SELECT source AS book, doc_id AS page_no, CASE WHEN doc_id % 4 <> 1 THEN n_chars % 97 END AS number FROM documents), b AS (SELECT *, last_value(number IGNORE NULLS) OVER (PARTITION BY book ORDER BY page_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM a) SELECT book, page_no, number, CASE WHEN prev IS NULL OR number IS NULL THEN NULL WHEN number > prev THEN 'rising' ELSE 'falling' END AS step FROM b",
-    "retrieval_report": f"""WITH {_BEST}, v AS (SELECT page, poem_id, round(sum(score), 6) AS votes FROM best GROUP BY ALL), t AS (SELECT page, min(poem_id) AS true_id FROM v GROUP BY page), k AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY votes DESC, poem_id) AS rank FROM v JOIN t USING (page)),
+    "retrieval_report": f"""WITH {_CAPPED_BEST}, v AS (SELECT page, poem_id, round(sum(score), 6) AS votes FROM best GROUP BY ALL), t AS (SELECT page, min(poem_id) AS true_id FROM v GROUP BY page), k AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY votes DESC, poem_id) AS rank FROM v JOIN t USING (page)),
 p AS (SELECT page, any_value(true_id) AS true_id, min(rank) FILTER (poem_id = true_id) AS rank, max(votes) FILTER (poem_id = true_id) AS own, arg_min(poem_id, rank) FILTER (poem_id <> true_id) AS decoy, arg_min(votes, rank) FILTER (poem_id <> true_id) AS other FROM k GROUP BY page),
 m AS (SELECT list_sort(list((own - other) / own) FILTER (own > 0 AND other IS NOT NULL)) AS v FROM p)
 SELECT count(*) AS trials, count(*) FILTER (rank = 1) AS top1, count(*) FILTER (rank <= 5) AS top5, count(*) FILTER (own > 0 AND decoy IS NOT NULL) AS decided, (SELECT round(v[len(v) // 2 + 1], 6) FROM m) AS margin_median, count(*) FILTER (own > 0 AND true_id % 3 = decoy % 3) AS decoys_with_refrain FROM p""",

@@ -24,7 +24,7 @@ def page_stream(spark: SparkSession, folder: str, per_batch: int = 100) -> DataF
     return rows.select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 
 
-def align_pages(pages: DataFrame, index: DataFrame, words: Callable[[Column], Column], cap: int = matching.CAP) -> DataFrame:
+def align_pages(pages: DataFrame, index: DataFrame, words: Callable[[Column], Column], cap: int | None = None) -> DataFrame:
     """The records of a table of pages (path, text)."""
     lines = verse_lines(pages.select(page_of().alias("page"), "text"), "page")
     query = matching.with_trigrams(lines.select("page", "line", "text"), words)

@@ -100,3 +100,27 @@ def test_trigrams_of_many_reference_lines_still_match(spark, write):
     folder = write("documents", [(1, "the quiet lantern burns")], "doc_id bigint, text string")
     write("benchmark", [(i, "the quiet lantern burns") for i in range(70)], "item_id bigint, text string")
     assert [tuple(r) for r in queries.match_lines(spark, folder).collect()] == [(1, 0, 0, 0, 1.0)]
+
+
+_SUNG = ["the quiet lantern burns beside", "seven geese are crossing over", "nobody answers when evening calls", "we count windows of houses", "and winter comes to every door", "a river runs below bridges"]
+#: What each query finds of a page of six verses which 3,001 poems have.
+_COMMON = {
+    "match_lines": lambda rows: [tuple(r) for r in sorted(rows)] == [(1, i, 0, i, 1.0) for i in range(6)],
+    "align": lambda rows: [(r.page, r.poem_id, r.tier, r.matched_lines) for r in rows] == [(1, 0, "gold", 6)],
+    "align_totals": lambda rows: rows[0].matched_lines == 6,
+    "align_quantiles": lambda rows: (rows[0].n, rows[0].q50) == (1, 1.0),
+    "align_pages": lambda rows: [(r.page, r.gold, r.matched_lines) for r in rows] == [(1, 1, 6)],
+    "negative_control": lambda rows: tuple(rows[0]) == (1, 1, 1, 6),
+    "discover_gaps": lambda rows: {(r.page, r.poem_id, r.line, r.verse) for r in rows} == {(1, 0, 1, 1), (1, 0, 4, 4)},
+    "line_votes": lambda rows: [(r.page, r.poem_id, r.votes) for r in rows] == [(1, 0, 6.0)],
+    "restricted_votes": lambda rows: [(r.page, r.poem_id, r.votes) for r in rows] == [(1, 7, 7.0)],
+}
+
+
+@pytest.mark.parametrize("name", _COMMON)
+def test_trigrams_of_thousands_of_reference_lines_count(spark, write, name):
+    text, rare = ". ".join(_SUNG), ". lone" if name == "restricted_votes" else ""
+    folder = write("documents", [(1, text + rare)], "doc_id bigint, text string")
+    write("benchmark", [(i, text + rare * (i == 7)) for i in range(3001)], "item_id bigint, text string")
+    rows = getattr(queries, name)(spark, folder).collect()
+    assert _COMMON[name](rows), rows
