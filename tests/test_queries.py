@@ -70,6 +70,55 @@ def test_edit_distance(a, b):
     assert levenshtein(a, b) == levenshtein(list(a), list(b)) == distance(a, b)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.text("abé😀", max_size=200), st.text("abé😀", max_size=200)), max_size=12), st.booleans(), st.booleans())
+def test_edit_distances_of_many_pairs(pairs, as_words, alone):
+    """Strings and arrays of words; in a few words of bits or, all larger ones, on their own."""
+    import pyarrow as pa
+
+    from inkweave.functions import edits
+
+    pairs = [*pairs, ("", ""), ("", "ab"), ("abab" * 40, "baba" * 33), ("a" * 64, "a" * 63 + "b"), (None, "a")]
+    columns = [pa.array([None if p[k] is None else list(p[k]) if as_words else p[k] for p in pairs], pa.list_(pa.string()) if as_words else pa.string()) for k in (0, 1)]
+    kept, edits.WORDS = edits.WORDS, 1 if alone else edits.WORDS
+    try:
+        assert edits.distances(*columns).to_pylist() == [None if a is None else distance(a, b) for a, b in pairs]
+    finally:
+        edits.WORDS = kept
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text("abcé", max_size=12), min_size=1, max_size=8), st.lists(st.text("abcé", max_size=12), min_size=1, max_size=5))
+def test_best_place(hyp, ref):
+    import numpy as np
+
+    from inkweave.functions.edits import best_place
+
+    means = [sum(distance(a, b) / max(len(a), len(b), 1) for a, b in zip(hyp[k:], ref)) / len(ref) for k in range(len(hyp) - len(ref) + 1)]
+    found = best_place((np.arange(len(hyp)), hyp), (np.arange(len(ref)), ref))
+    assert found is None and not means or found[0] == pytest.approx(min(means), abs=1e-12) and means[found[1]] == pytest.approx(min(means), abs=1e-12)
+
+
+def test_places_that_the_letters_rule_out_are_not_counted(monkeypatch):
+    import numpy as np
+
+    from inkweave.functions import edits
+
+    counted = []
+    monkeypatch.setattr(edits, "levenshtein", lambda a, b: counted.append((a, b)) or levenshtein(a, b))
+    hyp = [chr(97 + k) * 30 for k in range(20)]
+    assert edits.best_place((np.arange(20), hyp), (np.arange(3), hyp[7:10])) == (0.0, 7) and len(counted) == 3
+
+
+def test_letters_lost_in_a_long_text_are_found_at_once():
+    """A column of the table for each of 400,000 letters took minutes."""
+    import time
+
+    text, begun = "whatever comes of it all " * 16_000, time.process_time()
+    assert levenshtein(text, text.replace("v", "")) == levenshtein(list(text.replace("v", "")), list(text)) == 16_000
+    assert time.process_time() - begun < 5
+
+
 def test_refrains_hold_for_all_lines(spark, write):
     shared = [f"verse {k} moon" for k in range(14)]
     texts = {1: shared, 2: [*shared[:11], "verse 11 sun", *shared[12:]], 8: shared[:8]}
