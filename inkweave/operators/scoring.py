@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from ..functions.text import edit_distance
 from . import order
@@ -25,13 +26,22 @@ def _cer(hyp, ref):
 
 def best_offset(hyp: DataFrame, ref: DataFrame, key: str = "page") -> DataFrame:
     """key, offset, mean_cer: where in the reading the whole reference fits best, by the mean error of its lines; the first of equal
-    ones. No row where the reading is shorter."""
-    sizes = hyp.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).join(ref.groupBy(key).agg(F.count(F.lit(1)).alias("_m")), key)
-    starts = sizes.where("_m > 0 AND _n >= _m").select(key, F.explode(F.sequence(F.lit(0), (F.col("_n") - F.col("_m")).cast("int"))).alias("offset"))
-    lines = ref.select(key, F.col("line").alias("_i"), _spaced("words").alias("_r")).join(starts, key).withColumn("line", F.col("_i") + F.col("offset"))
-    scored = lines.join(hyp.select(key, "line", _spaced("words").alias("_h")), [key, "line"])
-    scored = scored.withColumn("_c", _cer(F.col("_h"), F.col("_r"))).groupBy(key, "offset").agg(F.avg("_c").alias("mean_cer"))
-    return scored.groupBy(key).agg(F.min_by(F.struct("offset", "mean_cer"), F.struct("mean_cer", "offset")).alias("_b")).select(key, "_b.*")
+    ones. No row where the reading is shorter. A key is a unit that one task holds."""
+    side = lambda df, name: df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("line").cast("long").alias("line"), _spaced("words").alias("text")))).alias(name))
+    both = side(hyp, "_h").join(side(ref, "_r"), key).where(F.size("_h") >= F.size("_r"))
+
+    def place(batches):
+        import pyarrow as pa
+
+        from inkweave.functions.edits import best_place
+
+        for batch in batches:
+            sides = [(x.offsets.to_numpy(), x.values.field("line").to_numpy(), x.values.field("text")) for x in (batch["_h"], batch["_r"])]
+            found = [best_place(*[(line[at[i] : at[i + 1]], text[int(at[i]) : int(at[i + 1])].to_pylist()) for at, line, text in sides]) for i in range(len(batch))]
+            rows = [i for i, x in enumerate(found) if x]
+            yield pa.RecordBatch.from_arrays([batch[key].take(pa.array(rows, pa.int64())), pa.array([found[i][1] for i in rows], pa.int32()), pa.array([found[i][0] for i in rows], pa.float64())], names=[key, "offset", "mean_cer"])
+
+    return both.mapInArrow(place, StructType([hyp.schema[key], StructField("offset", IntegerType()), StructField("mean_cer", DoubleType())]))
 
 
 def paired(hyp: DataFrame, ref: DataFrame, key: str = "page") -> DataFrame:
