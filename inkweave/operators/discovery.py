@@ -37,8 +37,9 @@ def discover(records: DataFrame, query: DataFrame, index: DataFrame, floor: floa
     if cap is not None:
         rows = rows.crossJoin(F.broadcast(hot_grams(index, cap).agg(F.collect_list("gram").alias("_hot"))))
         left = F.array_except(left, "_hot")
-    rows = rows.withColumns({"_q": left, "_r": right}).withColumn("score", jaccard(F.size(F.array_intersect("_q", "_r")), F.size("_q"), F.size("_r")))
-    score = F.coalesce("score", F.lit(0.0))
+    rows = rows.withColumns({"_q": left, "_r": right}).withColumn("_o", F.size(F.array_intersect("_q", "_r")))
+    rows = rows.withColumn("score", F.when(F.col("_o") > 0, jaccard(F.col("_o"), F.size("_q"), F.size("_r"))).otherwise(F.lit(0.0)))
+    score = F.col("score")
     same = F.coalesce((F.col("global_top.poem_id") == F.col("poem_id")) & (F.col("global_top.verse") == F.col("verse")), F.lit(False))
     exclusion = F.when(score < floor, "below_discovery_floor").when(score < accept, "below_acceptance_threshold").otherwise("not_excluded")
     return rows.select("page", "poem_id", "line", "verse", rounded(score, 4).alias("jaccard"), "hyp", "ref", same.alias("is_global_top"), "global_top", "left", "right", exclusion.alias("exclusion"))

@@ -70,6 +70,16 @@ def test_alignment_tiers_spans_and_control(spark):
     assert summary["p1"].tiers == {"gold": 1} and summary["p2"].span_f1 is None
 
 
+def test_gaps_of_lines_without_trigrams(spark):
+    """A gap line and its verse may both be too short for a trigram, and are in neither frame."""
+    page = [*VERSES[:3], "a", *VERSES[4:]]
+    query, index = frames(spark, {"p1": page}, {1: [*VERSES[:3], "b", *VERSES[4:]]})
+    gaps = discovery.discover(alignment.align(query, index), query, index).collect()
+    assert [(g.line, g.verse, g.jaccard, g.exclusion, g.is_global_top, g.global_top) for g in gaps] == [(3, 3, 0.0, "below_discovery_floor", False, None)]
+    capped = discovery.discover(alignment.align(query, index), query, index, cap=3).collect()
+    assert [(g.line, g.jaccard) for g in capped] == [(3, 0.0)]
+
+
 def test_sequence_expressions(spark):
     cases = [[3, 1, 2, 2, 5, 4], [], [1], [5, 4, 3], [1, 2, 3]]
     rows = spark.createDataFrame([(c,) for c in cases], "v array<bigint>").select(increasing_length(F.col("v")), upper_quantile(F.col("v"))).collect()
